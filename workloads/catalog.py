@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workloads import q_features  # noqa: F401
-from workloads.registry import ORACLES, QUERIES  # noqa: F401
+from workloads import q_analytics, q_backtest, q_features  # noqa: F401
+from workloads.registry import QUERIES, oracle_statements  # noqa: F401

@@ -14,7 +14,7 @@ from workloads.oracle import ORACLE_VIEWS
 from workloads.views import Inputs, duck_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_STATEMENTS: dict[str, tuple[str, str]] = {}
 _TYPES = {"i": "BIGINT", "b": "BOOLEAN", "s": "VARCHAR", "d": "DATE"}
 
 
@@ -50,8 +50,15 @@ def query(name: str, cols: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            picked = ", ".join(_duck_column(n, k) for n, k in _specs(cols))
-            ORACLES[name] = duck_with(f"SELECT {picked} FROM (\n{sql.strip()}\n) result", ORACLE_VIEWS)
+            _STATEMENTS[name] = (cols, sql.strip())
         return fn
 
     return wrap
+
+
+def oracle_statements() -> dict[str, str]:
+    out = {}
+    for name, (cols, sql) in _STATEMENTS.items():
+        picked = ", ".join(_duck_column(n, k) for n, k in _specs(cols))
+        out[name] = duck_with(f"SELECT {picked} FROM (\n{sql}\n) result", ORACLE_VIEWS)
+    return out
