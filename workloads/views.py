@@ -70,7 +70,7 @@ SELECT date, floor(total / (n * 1e0)) / 1e6 AS close FROM index_day WHERE n >= (
 def _news(d):
     ts = _from_us(d, "(9131 * 24 + (doc_id * 37 % 2490) * 24 + doc_id % 24) * 3600000000")
     return f"""
-SELECT concat('Brand#', CAST(1 + doc_id % 25 AS VARCHAR(2))) AS symbol, {ts} AS ts, doc_id, text AS headline, source
+SELECT concat('Brand#', CAST(1 + doc_id % 25 AS VARCHAR(2))) AS symbol, {ts} AS ts, doc_id, text AS headline, source, lang
 FROM documents"""
 
 
