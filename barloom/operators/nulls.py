@@ -28,9 +28,10 @@ def null_positions(df: DataFrame, delays: tuple[int, ...] = (2, 3), n_random: in
     flips = [f"sum(IF({keyed_uniform(str(seed + k), 'symbol', 'date')} < _rate, 1, 0)) {R.running()} AS _f{k}" for k in range(n_random)]
     lags = [f"lag(position, {d}, 1D) {R.over()} AS _d{d}" for d in delays]
     df = df.selectExpr("*", *flips, *lags)
-    rows = ["struct('Real' AS strategy, 0 AS draw, position AS position)", "struct('Always-Long', 0, 1D)", "struct('Inverse', 0, 1 - position)"]
-    rows += [f"struct('Delayed-T+{d}', 0, _d{d})" for d in delays]
-    rows += [f"struct('Random', {k}, CAST((1 + _f{k}) % 2 AS DOUBLE))" for k in range(n_random)]
+    variants = [("Real", 0, "position"), ("Always-Long", 0, "1D"), ("Inverse", 0, "1 - position")]
+    variants += [(f"Delayed-T+{d}", 0, f"_d{d}") for d in delays]
+    variants += [("Random", k, f"CAST((1 + _f{k}) % 2 AS DOUBLE)") for k in range(n_random)]
+    rows = [f"struct('{name}' AS strategy, {k} AS draw, {held} AS position)" for name, k, held in variants]
     return df.selectExpr("symbol", "date", "ret", f"inline(array({', '.join(rows)}))")
 
 

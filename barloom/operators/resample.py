@@ -55,11 +55,9 @@ def strategy(returns: str, positions: str) -> str:
 
 def block_bootstrap(arrays: DataFrame, n_perm: int, block: int = 20, seed: int = RESEARCH.seed, value: str = "ret", chunk: int = 50) -> DataFrame:
     """Resampled returns from random blocks; block starts are uniform in [0, max(1, n - block))."""
-    draw = keyed_draw(f"'{seed}'", "symbol", "path_id", "b")
-    starts = f"transform(sequence(0, CAST(ceil(n / {block}D) AS INT) - 1), b -> CAST({draw} % greatest(n - {block}, 1) AS INT))"
-    df = spread(arrays, n_perm, chunk=chunk).selectExpr("*", f"{starts} AS _starts")
-    picked = f"transform(sequence(0, n - 1), i -> {value}[_starts[CAST(floor(i / {block}) AS INT)] + i % {block}])"
-    return df.selectExpr("* EXCEPT (_starts)", f"{picked} AS perm_ret")
+    start = f"CAST({keyed_draw(f"'{seed}'", 'symbol', 'path_id', 'b')} % greatest(n - {block}, 1) AS INT) + 1"
+    blocks = f"transform(sequence(0, CAST(ceil(n / {block}D) AS INT) - 1), b -> slice({value}, {start}, {block}))"
+    return spread(arrays, n_perm, chunk=chunk).selectExpr("*", f"slice(flatten({blocks}), 1, n) AS perm_ret")
 
 
 def regime_shuffle(arrays: DataFrame, n_perm: int, seed: int = RESEARCH.seed, value: str = "ret", regime: str | None = "regime", chunk: int = 50) -> DataFrame:

@@ -148,10 +148,10 @@ V["boot_seq"] = """SELECT p.symbol, p.path_id, p.k, r.t0, r.len, r.regime, sum(r
 V["path_boot"] = """SELECT s.symbol, 'RegimeBootstrap' AS path_type, s.path_id, CAST(s.offs + s.j AS BIGINT) AS t, g.ret, s.regime, 1e0 AS position
   FROM (SELECT *, unnest(range(0, len)) AS j FROM boot_seq WHERE offs < 500) s JOIN gate_idx g ON g.symbol = s.symbol AND g.t = s.t0 + s.j WHERE s.offs + s.j < 500"""
 V["crisis_v"] = f"SELECT *, {roll('stddev_samp', 'ret', 20)} AS v FROM gate_idx"
-V["crisis_cut"] = "SELECT symbol, quantile_cont(v, 0.8) AS q, quantile_cont(ret, 0.1) AS low FROM crisis_v GROUP BY symbol"
+V["crisis_cut"] = "SELECT symbol, quantile_cont(v, 0.8) AS q, quantile_cont(ret, 0.1) AS cut_low FROM crisis_v GROUP BY symbol"
 V["crisis_pick"] = """SELECT symbol, count(*) FILTER (v > q) AS wild FROM crisis_v JOIN crisis_cut USING (symbol) GROUP BY symbol"""
 V["crisis_rows"] = f"""SELECT symbol, ret, row_number() OVER {W} - 1 AS k, count(*) OVER (PARTITION BY symbol) AS m FROM crisis_v JOIN crisis_cut USING (symbol) JOIN crisis_pick USING (symbol)
-  WHERE CASE WHEN wild < 20 THEN ret < low ELSE v > q END"""
+  WHERE CASE WHEN wild < 20 THEN ret < cut_low ELSE v > q END"""
 V["crisis_m"] = "SELECT DISTINCT symbol, m FROM crisis_rows"
 V["stitch_blocks"] = f"""SELECT symbol, path_id, c, p0 + j AS t, {draw("'42'", "'day'", 'symbol', 'path_id', 'c', 'j')} % m AS pick FROM (
   SELECT symbol, m, path_id, c, 20 + {draw("'42'", "'point'", 'symbol', 'path_id', 'c')} % (n - 40) AS p0, unnest(range(0, least(20, m))) AS j

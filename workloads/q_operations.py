@@ -18,7 +18,7 @@ RAW = """SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedp
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
-@query("bars_first_per_day", "symbol date open:6 high:6 low:6 close:6 volume:i",
+@query("bars_first_per_day", "symbol date open:9 high:9 low:9 close:6 volume:i",
        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, open, volume) AS rn
        FROM ({RAW}) r) x WHERE rn = 1""")
 def _(t):
