@@ -89,8 +89,12 @@ def score_sentiment(
     min_confidence: float = RESEARCH.min_confidence,
 ) -> DataFrame:
     """Weighted sum of news features mapped from [-1, 1] to a probability."""
-    # Without a key the weights are one row.
-    joined = df.join(weights, by) if by else df.join(F.broadcast(weights), F.expr("true"))
+    if by:
+        joined = df.join(weights, by)
+    else:
+        # Pooled weights are one row, keyed by a constant.
+        one = F.broadcast(weights.selectExpr("*", "0 AS _pool"))
+        joined = df.selectExpr("*", "0 AS _pool").join(one, "_pool")
     total = " + ".join(f"coalesce({c}, 0D) * w_{c}" for c in features)
     keep = [c for c in df.columns if c not in ("signal", "model")]
     out = joined.selectExpr(*keep, f"greatest(0D, least(1D, (({total}) + 1) / 2)) AS prob_up")

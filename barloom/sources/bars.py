@@ -34,9 +34,9 @@ def read_bars(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
 def benchmark(bars: DataFrame, symbol: str | None = None, years: int = 5) -> DataFrame:
     """The benchmark's last ``years`` years, counted back from its latest bar."""
     df = bars.where(F.col("symbol") == symbol) if symbol else bars
-    latest = df.agg(F.expr(f"add_months(max(date), {-12 * years}) AS _from"))
-    # The cut-off is one row, whatever the size of the bars.
-    return df.join(F.broadcast(latest), F.expr("date >= _from")).drop("_from")
+    return df.sparkSession.sql(
+        "SELECT * FROM {bars} WHERE date >= (SELECT add_months(max(date), CAST({months} AS INT)) FROM {bars})", bars=df, months=-12 * years
+    )
 
 
 def partition_by_symbol(bars: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -140,40 +140,40 @@ SELECT symbol, max(date) AS as_of, max_by(close, date) AS underlying_price FROM
 
 
 def _option_quotes(d):
-    exp = "date_add(as_of, e.n * 15 + 5)" if d == "spark" else "as_of + CAST(e.n * 15 + 5 AS INTEGER)"
-    grid = (
-        "(SELECT explode(sequence(1, 6)) AS n) e, (SELECT explode(sequence(-10, 10)) AS n) k"
-        if d == "spark"
-        else "(SELECT unnest(range(1, 7)) AS n) e, (SELECT unnest(range(-10, 11)) AS n) k"
-    )
+    # Six expiries and 21 strikes around the last close of every symbol, both option types.
     if d == "spark":
-        source = """(SELECT as_of, symbol, underlying_price, n FROM last_bars LATERAL VIEW explode(sequence(1, 6)) x AS n) e
-  LATERAL VIEW explode(sequence(-10, 10)) y AS k"""
-        e_n, k_n = "e.n", "k"
-        exp = "date_add(as_of, e.n * 15 + 5)"
+        source = """last_bars LATERAL VIEW explode(sequence(1, 6)) x AS n LATERAL VIEW explode(sequence(-10, 10)) y AS k"""
+        exp, types = "date_add(as_of, n * 15 + 5)", "explode(array('call', 'put'))"
     else:
-        source = """(SELECT as_of, symbol, underlying_price, unnest(range(1, 7)) AS n, range(-10, 11) AS ks FROM last_bars) e,
-  unnest(e.ks) y(k)"""
-        e_n, k_n = "e.n", "k"
-        exp = "CAST(as_of + CAST(e.n * 15 + 5 AS INTEGER) AS DATE)"
+        source = """(SELECT *, unnest(range(-10, 11)) AS k FROM (SELECT *, unnest(range(1, 7)) AS n FROM last_bars) a) b"""
+        exp, types = "CAST(as_of + CAST(n * 15 + 5 AS INTEGER) AS DATE)", "unnest(['call', 'put'])"
     return f"""
 SELECT underlying, as_of, expiration, dte, strike, option_type, price * 95e-2 AS bid, price * 105e-2 AS ask, price AS last,
        CASE WHEN volume_raw > 9000 THEN NULL ELSE volume_raw END AS volume, open_interest, iv, underlying_price
 FROM (
-  SELECT q.*, t.option_type,
-         CASE WHEN (t.option_type = 'call') = (strike < underlying_price) THEN abs(underlying_price - strike) + time_value
+  SELECT *, CASE WHEN (option_type = 'call') = (strike < underlying_price) THEN abs(underlying_price - strike) + time_value
               ELSE time_value * 8e-1 END AS price,
          CAST(floor(strike * 37 + dte * 11) AS BIGINT) % 10000 AS volume_raw,
          CAST(floor(strike * 53 + dte * 29) AS BIGINT) % 50000 AS open_interest
   FROM (
-    SELECT underlying, as_of, expiration, dte, strike, underlying_price,
+    SELECT underlying, as_of, expiration, dte, strike, underlying_price, {types} AS option_type,
            2e-1 + abs((strike - underlying_price) / underlying_price) * 5e-1 AS iv,
            sqrt(dte / 365e0) * (2e-1 + abs((strike - underlying_price) / underlying_price) * 5e-1) * underlying_price * 4e-1 AS time_value
     FROM (
-      SELECT symbol AS underlying, as_of, {exp} AS expiration, CAST({e_n} * 15 + 5 AS INT) AS dte,
-             floor(underlying_price * (1e0 + {k_n} / 1e2) + 5e-1) AS strike, underlying_price
-      FROM {source}) s) q
-  JOIN (SELECT 'call' AS option_type UNION ALL SELECT 'put') t ON 1 = 1) p"""
+      SELECT symbol AS underlying, as_of, {exp} AS expiration, CAST(n * 15 + 5 AS INT) AS dte,
+             floor(underlying_price * (1e0 + k / 1e2) + 5e-1) AS strike, underlying_price
+      FROM {source}) s) q) p"""
+
+
+def _option_positions(d):
+    return """
+SELECT l_suppkey AS account_id, CAST(l_shipdate AS DATE) AS opened, l_orderkey, l_partkey, l_linenumber, l_quantity,
+       CASE l_linenumber WHEN 1 THEN 'long_call' WHEN 2 THEN 'covered_call' WHEN 3 THEN 'protective_put' WHEN 4 THEN 'short_call'
+            WHEN 5 THEN 'short_put' WHEN 6 THEN 'iron_condor' ELSE 'stock' END AS position_type,
+       CASE WHEN l_linenumber IN (1, 2, 4) THEN 'call' ELSE 'put' END AS option_type, l_linenumber > 3 AS is_short,
+       p_retailprice / 10e0 AS underlying_price, p_retailprice / 10e0 * (1e0 + (l_discount - 5e-2) * 4e0) AS strike,
+       l_tax * 50e0 AS premium, CAST(1 AS INT) AS contracts, CAST(NULL AS DOUBLE) AS spread_width, CAST(l_quantity AS INT) AS dte
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
 def _trades(d):
@@ -192,6 +192,7 @@ VIEWS = {
     "news": (_news, ()), "fills": (_fills, ()), "order_ledger": (_order_ledger, ()), "broker_fills": (_broker_fills, ()),
     "account_events": (_account_events, ()), "signals": (_signals, ()), "preds": (_preds, ("bars",)),
     "last_bars": (_last_bars, ("bars",)), "option_quotes": (_option_quotes, ("last_bars",)), "trades": (_trades, ()),
+    "option_positions": (_option_positions, ()),
 }
 
 
