@@ -12,7 +12,7 @@ from barloom.config import RESEARCH
 from barloom.functions import rolling as R
 from barloom.functions.text import keyed_draw, keyed_normal, keyed_uniform
 from barloom.operators.persistence import regime_runs
-from barloom.operators.resample import max_drawdown, series_arrays, spread, strategy
+from barloom.operators.resample import curve_stats, series_arrays, spread
 
 _COLUMNS = ("symbol", "path_type", "path_id", "ret", "regime", "position")
 
@@ -128,10 +128,8 @@ def explode_paths(paths: DataFrame) -> DataFrame:
 
 
 def path_results(paths: DataFrame, catastrophic: float = -0.25) -> DataFrame:
-    df = paths.selectExpr(
-        "symbol", "path_type", "path_id", f"{max_drawdown(strategy('ret', 'position'))} AS max_dd",
-        f"aggregate({strategy('ret', 'position')}, 1D, (s, x) -> s * (1 + x)) - 1 AS final_return",
-    )
+    df = paths.select("symbol", "path_type", "path_id", curve_stats(-0.02)("ret", "position").alias("_c"))
+    df = df.selectExpr("symbol", "path_type", "path_id", "_c.max_dd", "_c.final_return")
     return df.selectExpr("*", f"max_dd > {catastrophic} AS survived")
 
 
