@@ -12,7 +12,7 @@ from barloom.config import RESEARCH
 from barloom.functions import rolling as R
 from barloom.functions.text import keyed_draw, keyed_normal, keyed_uniform
 from barloom.operators.persistence import regime_runs
-from barloom.operators.resample import curve_stats, series_arrays, spread
+from barloom.operators.resample import bind, curve_stats, series_arrays, spread
 
 _COLUMNS = ("symbol", "path_type", "path_id", "ret", "regime", "position")
 
@@ -34,7 +34,8 @@ def crisis_returns(df: DataFrame, n: int = 20, q: float = 0.8, minimum: int = 20
 
 
 def _finish(df: DataFrame, kind: str, ret: str, regime: str, position: str) -> DataFrame:
-    return df.selectExpr("symbol", f"'{kind}' AS path_type", "path_id", f"{ret} AS ret", f"{regime} AS regime", f"{position} AS position")
+    made = bind(df, f"{ret} AS _ret", f"{regime} AS _regime", f"{position} AS _position")
+    return made.selectExpr("symbol", f"'{kind}' AS path_type", "path_id", "_ret AS ret", "_regime AS regime", "_position AS position")
 
 
 def regime_bootstrap(df: DataFrame, n_paths: int = 10, n_days: int = 500, seed: int = RESEARCH.seed) -> DataFrame:
@@ -50,7 +51,7 @@ def regime_bootstrap(df: DataFrame, n_paths: int = 10, n_days: int = 500, seed:
     runs = runs.selectExpr("symbol", "_runs", f"{first} AS _first", "array_min(_runs.len) AS _min")
     arrays = series_arrays(df, ["ret"]).join(runs, "symbol")
     draws = f"transform(sequence(0, CAST(ceil({n_days} / _min) AS INT) - 1), k -> CAST({_draw(seed, 'runs', 'k')} % size(_runs) AS INT))"
-    out = spread(arrays, n_paths).selectExpr("*", f"{draws} AS _picks")
+    out = bind(spread(arrays, n_paths), f"{draws} AS _picks")
     ret = f"slice(flatten(transform(_picks, d -> slice(ret, _first[d], _runs[d].len))), 1, {n_days})"
     regime = f"slice(flatten(transform(_picks, d -> array_repeat(_runs[d].regime, _runs[d].len))), 1, {n_days})"
     return _finish(out, "RegimeBootstrap", ret, regime, f"array_repeat(1D, {n_days})")
@@ -60,19 +61,20 @@ def crisis_stitch(df: DataFrame, n_paths: int = 10, n_crises: int = 3, length: i
     """Blocks of amplified crisis returns laid over the history; later blocks overwrite earlier ones."""
     arrays = series_arrays(df, ["ret", "position"]).join(crisis_returns(df), "symbol").where(f"n > {2 * length} AND size(crisis) > 0")
     points = [f"CAST({length} + {_draw(seed, 'point', str(c))} % (n - {2 * length}) AS INT) AS _p{c}" for c in range(n_crises)]
-    out = spread(arrays, n_paths).selectExpr("*", f"least({length}, size(crisis)) AS _len", *points)
+    out = bind(spread(arrays, n_paths), f"least({length}, size(crisis)) AS _len", *points)
     cases = " ".join(
         f"WHEN i >= _p{c} AND i < _p{c} + _len THEN {amplify!r}D * crisis[CAST({_draw(seed, 'day', str(c), f'i - _p{c}')} % size(crisis) AS INT)]"
         for c in reversed(range(n_crises))
     )
-    out = out.selectExpr("symbol", "path_id", "n", "position", f"transform(sequence(0, n - 1), i -> CASE {cases} ELSE ret[i] END) AS ret")
+    stitched = f"transform(sequence(0, n - 1), i -> CASE {cases} ELSE ret[i] END) AS _stitched"
+    out = bind(out, stitched).selectExpr("symbol", "path_id", "n", "position", "_stitched AS ret")
     window = "transform(sequence(0, n - 1), i -> IF(i < 4, NULL, slice(ret, i - 3, 5)))"
     means = f"transform({window}, w -> struct(w AS w, aggregate(w, 0D, (s, x) -> s + x) / 5 AS m))"
     vols = f"transform({means}, z -> sqrt(aggregate(z.w, 0D, (s, x) -> s + (x - z.m) * (x - z.m)) / 4))"
-    out = out.selectExpr("*", f"{vols} AS _v").selectExpr("*", "sort_array(filter(_v, x -> x IS NOT NULL)) AS _o")
+    out = bind(bind(out, f"{vols} AS _v"), "sort_array(filter(_v, x -> x IS NOT NULL)) AS _o")
     at = "(0.8D * (size(_o) - 1))"
-    out = out.selectExpr(
-        "*", f"get(_o, CAST(floor({at}) AS INT)) + (get(_o, CAST(ceil({at}) AS INT)) - get(_o, CAST(floor({at}) AS INT))) * ({at} - floor({at})) AS _q"
+    out = bind(
+        out, f"get(_o, CAST(floor({at}) AS INT)) + (get(_o, CAST(ceil({at}) AS INT)) - get(_o, CAST(floor({at}) AS INT))) * ({at} - floor({at})) AS _q"
     )
     return _finish(out, "CrisisStitch", "ret", "transform(_v, x -> IF(x > _q, 'HOSTILE', 'NEUTRAL'))", "position")
 

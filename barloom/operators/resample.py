@@ -26,6 +26,15 @@ def series_arrays(df: DataFrame, columns: list[str], by: str = "symbol") -> Data
     return packed.selectExpr(by, "size(_s) AS n", *[f"_s.{c} AS {c}" for c in columns])
 
 
+def bind(df: DataFrame, *columns: str) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection may be merged into later ones, and a filter pushed below it, which would repeat an
+    array expression for every element that refers to it. A generator of one row is a fence against both.
+    """
+    return df.selectExpr("*", f"inline(array(struct({', '.join(columns)})))")
+
+
 def spread(arrays: DataFrame, n_paths: int, by: str = "symbol", chunk: int = 50, first: int = 0) -> DataFrame:
     """One row per symbol and ``path_id``, spread over the cluster in chunks."""
     chunks = math.ceil(n_paths / chunk)
