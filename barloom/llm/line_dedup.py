@@ -44,12 +44,14 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
         self.spark, self.fan_in, self.buckets = spark, fan_in, partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         """``rows`` must be dealt by ``repartition(buckets, h1, h2)``, which writes one file a bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, name)
         (rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", scratch_path(self.spark, name)).format("parquet").saveAsTable(name))
+         .option("path", self.paths[name]).format("parquet").saveAsTable(name))
         return name
 
     def _runs(self) -> list[str]:
@@ -76,7 +78,7 @@ class LineRuns:
     def _compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fan_in:
-            merged = self._write(self._merged(self.levels[level]))
+            merged = self._write(self._merged(self.levels[level]).repartition(self.buckets, "h1", "h2"))
             if len(self.levels) == level + 1:
                 self.levels.append([])
             self.levels[level + 1].append(merged)
@@ -84,11 +86,9 @@ class LineRuns:
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        # dealt anew in any case: Spark 4.1 takes a union of bucketed tables for dealt even where it then reads them unbucketed
-        return rows.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("fresh").alias("fresh"))
+        # read as files: Spark 4.1 takes a union of bucketed tables for dealt by key even where it then reads them unbucketed
+        rows = self.spark.read.parquet(*[self.paths[name] for name in names])
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("fresh").alias("fresh"))
 
     def totals(self) -> DataFrame:
         """One row per key over all runs."""
