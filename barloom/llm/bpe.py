@@ -14,8 +14,6 @@ columns pass through.
 from __future__ import annotations
 
 import base64
-import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,44 +45,6 @@ def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def _class(*kinds: str) -> str:
-    """The body of a character class with all code points of the given Unicode categories, as ranges."""
-    out, start = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c)).startswith(kinds)
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-#: White_Space of Unicode, which \s stands for in these patterns; the standard library's \s holds four more controls.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def finder(pattern: str):
-    """``findall`` of a pattern with \\p{L}, \\p{N} and \\s for the standard library, which is several times faster; others stay."""
-    classes = {r"\p{L}": lambda: _class("L"), r"\p{N}": lambda: _class("N"), r"\s": lambda: SPACE, r"\S": None}
-    if re.sub(r"\\p\{[LN]\}|\\[sS]", "", pattern).count("\\"):
-        return regex.compile(pattern).findall
-    bodies: dict[str, str] = {}
-    out, inside = [], False
-    for part in re.findall(r"\\p\{[LN]\}|\\[sS]|.", pattern, re.S):
-        if part == r"\S":
-            if inside:
-                return regex.compile(pattern).findall
-            out.append(f"[^{SPACE}]")
-        elif part in classes:
-            body = bodies.setdefault(part, classes[part]())
-            out.append(body if inside else f"[{body}]")
-        else:
-            inside = (inside or part == "[") and part != "]"
-            out.append(part)
-    return re.compile("".join(out)).findall
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -230,7 +190,7 @@ class Encoder:
     """Texts to ids: the pattern's pieces, each through the transducer, with a bounded memory of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.find, self.known = Transducer(ranks), finder(pattern), {}
+        self.transducer, self.find, self.known = Transducer(ranks), regex.compile(pattern).findall, {}
 
     def encode(self, text: str) -> list[int]:
         known, encode = self.known, self.transducer.encode

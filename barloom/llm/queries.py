@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, quality_rules, sharding
+from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, quality_rules, sharding, url_rules
 from barloom.llm.common import LOWER, UPPER, table
 
 #: The white space of the contracts, in DuckDB.
@@ -86,5 +87,96 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op9_sharding)}
-STATEMENTS = {"op1_line_dedup": OP1_SQL, "op3_quality_rules": _op3_sql()}
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, public_tokenizers.PATTERN)
+    both = bpe.decode(ids.select("doc_id", "tokens"), RANK_FILE)
+    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
+    return found.select("doc_id", F.col("word_count").alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
+
+
+_WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP5_SQL = f"""
+WITH d AS (
+    SELECT doc_id, {_WORDS_SQL} AS w FROM documents
+), b AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+    FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows), places AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), hits AS (
+    SELECT doc_id, item, n, i FROM places JOIN windows USING (n, g)
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, unnest(range(0, n)) AS k FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = lsa_quality.scored(docs, lsa_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", lsa_quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= lsa_quality.CUT).cast("int").alias("predicted"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op7_sql() -> str:
+    """Frequent token sets as all subsets of each URL's tokens, by bit masks."""
+    fits = lambda rule: (lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))")(*rule.split("/", 1))
+    rules = sorted(url_rules.FIXED_RULES, key=lambda r: -len(r[0]))
+    case = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in rules) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules) + " END"
+    return f"""
+WITH parts AS (
+    SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), tokens AS (
+    SELECT page_id, host, path, {case} AS rule, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_concat(
+        ['scheme:' || translate(string_split(url, '://')[1], '{UPPER}', '{LOWER}')],
+        list_transform(string_split(host, '.'), lambda x, i: 'host' || (len(string_split(host, '.')) - i + 1)::VARCHAR || ':' || x),
+        list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''), lambda x: 'path:' || x),
+        list_transform(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'field:' || string_split(x, '=')[1])))) END AS t
+    FROM parts
+), masks AS (
+    SELECT page_id, path, t, unnest(range(1, 1 << len(t))) AS m FROM tokens WHERE len(t) > 0
+), subsets AS (
+    SELECT page_id, path, array_to_string(list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1), chr(10)) AS s FROM masks
+), bad AS (
+    SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id HAVING bool_or(quality = 0 OR toxic = 1) IS NOT NULL
+), named AS (
+    SELECT page_id, bad FROM tokens JOIN bad ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) WHERE len(t) > 0
+), mined AS (
+    SELECT s FROM subsets JOIN named USING (page_id) GROUP BY s
+    HAVING count(*) FILTER (WHERE bad) >= ceil(greatest({url_rules.MIN_SUPPORT}, least(1, {url_rules.MIN_URLS} / (SELECT count(*) FROM named))) * (SELECT count(*) FROM named))
+       AND count(*) FILTER (WHERE bad) / count(*) >= {url_rules.MIN_CONFIDENCE}
+), blocked AS (SELECT DISTINCT page_id FROM subsets JOIN mined USING (s))
+SELECT page_id, host, path, rule, coalesce({verdict}, CASE WHEN blocked.page_id IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM tokens LEFT JOIN blocked USING (page_id)
+"""
+
+
+_ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op9_sharding)
+QUERIES = {f.__name__: f for f in _ALL}
+STATEMENTS = {"op1_line_dedup": OP1_SQL, "op3_quality_rules": _op3_sql(), "op5_decontamination": OP5_SQL, "op7_url_filters": _op7_sql()}
