@@ -58,3 +58,13 @@ def bind(value: Column, use) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession, *finished: DataFrame) -> None:
+    """Delete the stored tables that no later step reads, and let Spark's cleaner drop the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for df in finished:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    jvm.System.gc()

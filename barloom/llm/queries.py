@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, quality_rules, sharding, url_rules
+from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, order_minhash, quality_rules, sharding, suffix_dedup, url_rules
 from barloom.llm.common import LOWER, UPPER, table
 
 #: The white space of the contracts, in DuckDB.
@@ -82,6 +82,11 @@ FROM votes, m{quality_rules.ROUNDS}
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -177,6 +182,10 @@ FROM tokens LEFT JOIN blocked USING (page_id)
 """
 
 
-_ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op9_sharding)
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op8_suffix_dedup, op9_sharding, op10_order_minhash)
 QUERIES = {f.__name__: f for f in _ALL}
 STATEMENTS = {"op1_line_dedup": OP1_SQL, "op3_quality_rules": _op3_sql(), "op5_decontamination": OP5_SQL, "op7_url_filters": _op7_sql()}
