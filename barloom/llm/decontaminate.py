@@ -226,15 +226,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_S
     A cut joins words that were apart; ``passes`` repeats the work on what is left, and a text in which a window is still
     found after the last pass goes as a whole.
     """
-    names = docs.columns
-    cut = F.udf(without_spans, "string")  # only for rows with hits
+    schema = docs.schema
     for k in range(passes):
-        found = matches(docs, items)
-        hits = F.expr("aggregate(sequence(0, size(hit_spans) - 1), 0L, (n, i) -> n + (CASE WHEN i % 2 = 1 THEN hit_spans[i] ELSE -hit_spans[i] END))")
-        none = F.size("hit_spans") == 0
-        keep = none | (hits <= F.lit(max_coverage) * F.col("word_count")) if k == 0 else none
-        found = found.where(keep)
-        if k < passes - 1:
-            found = found.withColumn("text", F.when(none, F.col("text")).otherwise(cut("text", "hit_spans", F.lit(max_span_words))))
-        docs = found.select(*[F.col(f"`{c}`") for c in names])
+        last = k == passes - 1
+
+        def cut(batches: Iterator[pa.RecordBatch], first=k == 0, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                columns, counts, spans = batch.columns[:-3], batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+                keep = [not s or not last and not (first and sum(s[1::2]) - sum(s[::2]) > max_coverage * n) for n, s in zip(counts, spans)]
+                if not last and any(spans):
+                    columns[at] = pa.array([without_spans(t.as_py(), s, max_span_words) if s else t.as_py() for t, s in zip(columns[at], spans)], columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
+
+        docs = matches(docs, items).mapInArrow(cut, schema)
     return docs
