@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.config import COSTS, RESEARCH, TRADING_DAYS, Costs
 from barloom.functions import rolling as R
@@ -55,28 +55,18 @@ def net_returns(
 
 def equity(df: DataFrame, by: list[str] = ["symbol"], ret: str = "net_return", start: float = 1.0, out: str = "equity") -> DataFrame:
     """Compounded equity."""
-    return df.selectExpr("*", f"{float(start)!r}D * {running_product(ret, by)} AS {out}")
+    return df.withColumn(out, F.lit(float(start)) * running_product(ret, by))
 
 
-def running_product(ret: str, by: list[str], order: str = "date") -> str:
-    """Running product of ``1 + ret``.
-
-    Spark SQL has no product function over a frame, so the sign and the logarithm of the size are kept
-    apart: unlike a plain sum of logs this stays right for a loss of 100 % or more.
-    """
-    f = R.running(_key(by), order)
-    x = f"(1 + {ret})"
-    zero = f"max(IF({x} = 0, 1, 0)) {f}"
-    negative = f"sum(IF({x} < 0, 1, 0)) {f}"
-    size = f"exp(sum(ln(IF({x} = 0, 1D, abs({x})))) {f})"
-    return f"IF({zero} = 1, 0D, IF({negative} % 2 = 1, -1D, 1D) * {size})"
+def running_product(ret: str, by: list[str], order: str = "date") -> Column:
+    """Running product of ``1 + ret``."""
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.product(F.expr(f"1 + {ret}")).over(frame)
 
 
-def total_product(ret: str) -> str:
+def total_product(ret: str) -> Column:
     """Aggregate product of ``1 + ret``."""
-    x = f"(1 + {ret})"
-    size = f"exp(sum(ln(IF({x} = 0, 1D, abs({x})))))"
-    return f"IF(max(IF({x} = 0, 1, 0)) = 1, 0D, IF(count_if({x} < 0) % 2 = 1, -1D, 1D) * {size})"
+    return F.product(F.expr(f"1 + {ret}"))
 
 
 def drawdown(
@@ -143,7 +133,7 @@ def conditional_returns(bars: DataFrame, by: list[str] = ["symbol"], signal: str
 def conditional_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Metrics of :func:`conditional_returns` rows; rows without a next open are left out of all but turnover."""
     return df.groupBy(*by).agg(
-        F.expr(f"{total_product('net_return')} - 1 AS total_return"),
+        (total_product("net_return") - 1).alias("total_return"),
         F.expr(
             f"IF(stddev_samp(net_return) > 0, {div('avg(net_return)', 'stddev_samp(net_return)')} * {_ANNUAL}, 0D) AS sharpe"
         ),

@@ -36,14 +36,17 @@ def null_positions(df: DataFrame, delays: tuple[int, ...] = (2, 3), n_random: in
 
 
 def strategy_metrics(df: DataFrame, by: list[str], threshold: float = -0.02) -> DataFrame:
-    """Return, drawdown, Sharpe (sample deviation), crash exposure and turnover per group, in percent."""
+    """Return, drawdown, Sharpe (sample deviation), crash exposure and turnover per group, in percent.
+
+    What is ranked and compared is rounded to nine places, so that equal curves are ties and not rounding noise.
+    """
     key = ", ".join(by)
     df = df.selectExpr("*", "ret * position AS _s", f"coalesce(position <> {R.lag('position', 1, key)}, false) AS _moved")
     df = drawdown(equity(df, by, "_s", out="_e"), by, "_e", out="_d")
     return df.groupBy(*by).agg(
-        F.expr(f"({total_product('_s')} - 1) * 100 AS total_return"), F.expr("min(_d) * 100 AS max_drawdown"),
+        ((total_product("_s") - 1) * 100).alias("total_return"), F.expr("round(min(_d) * 100, 9) AS max_drawdown"),
         F.expr(f"IF(stddev_samp(_s) > 0, {div('avg(_s)', 'stddev_samp(_s)')} * {math.sqrt(TRADING_DAYS)!r}D, 0D) AS sharpe"),
-        F.expr(f"coalesce(avg(IF(ret < {threshold}, position, NULL)), 0D) * 100 AS crash_exposure"),
+        F.expr(f"round(coalesce(avg(IF(ret < {threshold}, position, NULL)), 0D) * 100, 9) AS crash_exposure"),
         F.expr("count_if(_moved) AS turnover"),
     )
 

@@ -22,7 +22,10 @@ def _draw(seed: int, kind: str, *key: str) -> str:
 
 
 def crisis_returns(df: DataFrame, n: int = 20, q: float = 0.8, minimum: int = 20) -> DataFrame:
-    """Returns of the most volatile days per symbol in date order; with too few, the lowest tenth of returns."""
+    """Returns of the most volatile days per symbol in date order, or of the lowest tenth of returns if those days number under ``minimum``.
+
+    ``definition`` tells which: 'volatile' or 'lowest'.
+    """
     df = df.selectExpr("symbol", "date", "ret", f"{R.std('ret', n)} AS _v")
     whole = "OVER (PARTITION BY symbol)"
     df = df.selectExpr("*", f"percentile(_v, {q}) {whole} AS _q", f"percentile(ret, 0.1) {whole} AS _low")
@@ -30,7 +33,7 @@ def crisis_returns(df: DataFrame, n: int = 20, q: float = 0.8, minimum: int = 20
         F.expr("array_sort(collect_list(IF(_v > _q, struct(date, ret), NULL))).ret AS _wild"),
         F.expr("array_sort(collect_list(IF(ret < _low, struct(date, ret), NULL))).ret AS _bad"),
     )
-    return arrays.selectExpr("symbol", f"IF(size(_wild) < {minimum}, _bad, _wild) AS crisis")
+    return arrays.selectExpr("symbol", f"IF(size(_wild) < {minimum}, _bad, _wild) AS crisis", f"IF(size(_wild) < {minimum}, 'lowest', 'volatile') AS definition")
 
 
 def _finish(df: DataFrame, kind: str, ret: str, regime: str, position: str) -> DataFrame:
@@ -57,9 +60,9 @@ def regime_bootstrap(df: DataFrame, n_paths: int = 10, n_days: int = 500, seed:
     return _finish(out, "RegimeBootstrap", ret, regime, f"array_repeat(1D, {n_days})")
 
 
-def crisis_stitch(df: DataFrame, n_paths: int = 10, n_crises: int = 3, length: int = 20, amplify: float = 1.5, seed: int = RESEARCH.seed) -> DataFrame:
+def crisis_stitch(df: DataFrame, n_paths: int = 10, n_crises: int = 3, length: int = 20, amplify: float = 1.5, seed: int = RESEARCH.seed, minimum: int = 20) -> DataFrame:
     """Blocks of amplified crisis returns laid over the history; later blocks overwrite earlier ones."""
-    arrays = series_arrays(df, ["ret", "position"]).join(crisis_returns(df), "symbol").where(f"n > {2 * length} AND size(crisis) > 0")
+    arrays = series_arrays(df, ["ret", "position"]).join(crisis_returns(df, minimum=minimum), "symbol").where(f"n > {2 * length} AND size(crisis) > 0")
     points = [f"CAST({length} + {_draw(seed, 'point', str(c))} % (n - {2 * length}) AS INT) AS _p{c}" for c in range(n_crises)]
     out = bind(spread(arrays, n_paths), f"least({length}, size(crisis)) AS _len", *points)
     cases = " ".join(
@@ -76,7 +79,7 @@ def crisis_stitch(df: DataFrame, n_paths: int = 10, n_crises: int = 3, length: i
     out = bind(
         out, f"get(_o, CAST(floor({at}) AS INT)) + (get(_o, CAST(ceil({at}) AS INT)) - get(_o, CAST(floor({at}) AS INT))) * ({at} - floor({at})) AS _q"
     )
-    return _finish(out, "CrisisStitch", "ret", "transform(_v, x -> IF(x > _q, 'HOSTILE', 'NEUTRAL'))", "position")
+    return _finish(out, "CrisisStitch", "ret", "transform(_v, x -> IF(round(x, 9) > round(_q, 9), 'HOSTILE', 'NEUTRAL'))", "position")
 
 
 def back_to_back_crisis(df: DataFrame, n_paths: int = 3, n_days: int = 100, seed: int = RESEARCH.seed) -> DataFrame:
@@ -139,8 +142,8 @@ def survival(results: DataFrame, pass_at: float = 0.95) -> DataFrame:
     """Survival rate and worst path per symbol."""
     out = results.groupBy("symbol").agg(
         F.expr("count(*) AS paths_tested"), F.expr("count_if(survived) AS survived"), F.expr("avg(IF(survived, 1D, 0D)) AS survival_rate"),
-        F.expr("min(struct(max_dd, path_type)) AS _w"),
+        F.expr("min(max_dd) * 100 AS worst_dd"), F.expr("min(struct(round(max_dd, 9) AS max_dd, path_type)).path_type AS worst_path"),
     )
     return out.selectExpr(
-        "* EXCEPT (_w)", "_w.max_dd * 100 AS worst_dd", "_w.path_type AS worst_path", f"survival_rate >= {pass_at} AS passed"
+        "*", f"survival_rate >= {pass_at} AS passed"
     )

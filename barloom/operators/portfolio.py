@@ -71,41 +71,52 @@ def _check_rows(df: DataFrame, checks: list[tuple[str, str, float, str]]) -> Dat
     return df.selectExpr("portfolio_id", "date", f"inline(array({rows}))")
 
 
-def correlation_matrix(returns: DataFrame, lookback: int = 60, blocks: int = 8, value: str = "ret") -> DataFrame:
-    """Pearson correlation of every symbol pair over the last ``lookback`` dates.
+def correlation_matrix(
+    returns: DataFrame, lookback: int = 60, tile: int = 256, value: str = "ret", threshold: float | None = None
+) -> DataFrame:
+    """Pearson correlation of every symbol pair over the last ``lookback`` dates; null where they share fewer than two.
 
-    Each symbol becomes one vector of at most ``lookback`` values. Vectors meet in ``blocks`` x ``blocks``
-    tiles by an equi-join on the tile number, so the work per task is one tile, and the only row per pair
-    is the result itself.
+    Each symbol becomes one vector of at most ``lookback`` values. Symbols fall into as many blocks as ``tile`` symbols
+    a block need, and blocks meet once in the tiles on and above the diagonal, by an equi-join on the tile number. Each pair
+    is computed once and given in both directions. With ``threshold`` only pairs of different symbols above it leave the tile.
     """
     dates = returns.select("date").distinct().orderBy(F.desc("date")).limit(lookback)
     recent = returns.join(dates, "date", "left_semi")
     days = "datediff(date, DATE '1970-01-01')"
-    vectors = recent.groupBy("symbol").agg(
-        F.expr(f"map_from_entries(collect_list(struct({days} AS d, {value} AS v))) AS _m")
-    ).selectExpr("symbol", "_m", f"pmod(hash(symbol), {blocks}) AS _b")
-    every = f"explode(sequence(0, {blocks - 1}))"
-    left = vectors.selectExpr("symbol AS symbol_a", "_m AS _ma", "_b AS _row", f"{every} AS _col")
-    right = vectors.selectExpr("symbol AS symbol_b", "_m AS _mb", "_b AS _col", f"{every} AS _row")
-    pairs = left.join(right, ["_row", "_col"]).selectExpr(
+    vectors = recent.groupBy("symbol").agg(F.expr(f"map_from_entries(collect_list(struct({days} AS d, {value} AS v))) AS _m"))
+    blocks = max(1, -(-returns.select("symbol").distinct().count() // tile))
+    vectors = vectors.selectExpr("symbol", "_m", f"pmod(hash(symbol), {blocks}) AS _b")
+    left = vectors.selectExpr("symbol AS symbol_a", "_m AS _ma", "_b AS _row", f"explode(sequence(_b, {blocks - 1})) AS _col")
+    right = vectors.selectExpr("symbol AS symbol_b", "_m AS _mb", "_b AS _col", "explode(sequence(0, _b)) AS _row")
+    pairs = left.join(right, ["_row", "_col"]).where("_row < _col OR symbol_a <= symbol_b")
+    if threshold is not None:
+        pairs = pairs.where("symbol_a <> symbol_b")
+    pairs = pairs.selectExpr(
         "symbol_a", "symbol_b",
         "filter(transform(map_entries(_ma), e -> struct(e.value AS x, _mb[e.key] AS y)), p -> p.x IS NOT NULL AND p.y IS NOT NULL) AS _p",
     )
-    add = "aggregate(_p, 0D, (s, p) -> s + {})"
-    pairs = pairs.selectExpr("*", "size(_p) AS n").selectExpr(
-        "*", f"try_divide({add.format('p.x')}, n) AS _mx", f"try_divide({add.format('p.y')}, n) AS _my"
-    )
-    sxy, sxx, syy = (add.format(t) for t in ("(p.x - _mx) * (p.y - _my)", "(p.x - _mx) * (p.x - _mx)", "(p.y - _my) * (p.y - _my)"))
-    return pairs.selectExpr("symbol_a", "symbol_b", "n", f"IF(n > 1, {div(sxy, f'sqrt({sxx} * {syy})')}, NULL) AS rho")
+    # one fold gives all sums
+    sums = "aggregate(_p, named_struct('x', 0D, 'y', 0D), (s, p) -> named_struct('x', s.x + p.x, 'y', s.y + p.y))"
+    pairs = pairs.selectExpr("*", "size(_p) AS n", f"{sums} AS _s").selectExpr("*", "try_divide(_s.x, n) AS _mx", "try_divide(_s.y, n) AS _my")
+    zero = "named_struct('xy', 0D, 'xx', 0D, 'yy', 0D)"
+    step = "named_struct('xy', s.xy + (p.x - _mx) * (p.y - _my), 'xx', s.xx + (p.x - _mx) * (p.x - _mx), 'yy', s.yy + (p.y - _my) * (p.y - _my))"
+    pairs = pairs.selectExpr("symbol_a", "symbol_b", "n", f"aggregate(_p, {zero}, (s, p) -> {step}) AS _s")
+    pairs = pairs.selectExpr("symbol_a", "symbol_b", "n", f"IF(n > 1, {div('_s.xy', 'sqrt(_s.xx * _s.yy)')}, NULL) AS rho")
+    if threshold is not None:
+        pairs = pairs.where(f"rho > {threshold}")
+    both = "array(struct(symbol_a, symbol_b), struct(symbol_b AS symbol_a, symbol_a AS symbol_b))"
+    return pairs.selectExpr("n", "rho", f"inline(IF(symbol_a = symbol_b, slice({both}, 1, 1), {both}))").select("symbol_a", "symbol_b", "n", "rho")
 
 
 def correlated_exposure(
     positions: DataFrame, correlations: DataFrame, capital: float, threshold: float = 0.7, limit: float = RISK.max_correlated_exposure_pct
 ) -> DataFrame:
-    """Largest exposure of an asset plus everything that moves with it, per portfolio and day."""
-    known = correlations.selectExpr("symbol_a AS symbol").distinct()
+    """Largest exposure of an asset plus everything that moves with it, per portfolio and day.
+
+    ``correlations`` may be cut at ``threshold`` already; assets without a row there stand alone.
+    """
     close = correlations.where(f"symbol_a <> symbol_b AND rho > {threshold}").selectExpr("symbol_a AS symbol", "symbol_b")
-    own = positions.join(known, "symbol", "left_semi").selectExpr("portfolio_id", "date", "symbol", "abs(value) AS _own")
+    own = positions.selectExpr("portfolio_id", "date", "symbol", "abs(value) AS _own")
     other = positions.selectExpr("portfolio_id", "date", "symbol AS symbol_b", "abs(value) AS _other")
     shared = own.join(close, "symbol").join(other, ["portfolio_id", "date", "symbol_b"]).groupBy("portfolio_id", "date", "symbol").agg(
         F.expr("sum(_other) AS _shared")

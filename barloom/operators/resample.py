@@ -101,11 +101,14 @@ def real_metrics(arrays: DataFrame, threshold: float = -0.02) -> DataFrame:
 
 
 def permutation_summary(arrays: DataFrame, nulls: DataFrame, pass_at: float = 0.95) -> DataFrame:
-    """Share of resamples with a worse drawdown and with more crash exposure, and the null distributions."""
+    """Share of resamples with a worse drawdown and with more crash exposure, and the null distributions.
+
+    Compared values are rounded to nine places: a resample that equals the real series is not worse by noise.
+    """
     df = nulls.join(real_metrics(arrays), "symbol").groupBy("symbol").agg(
         F.expr("count(*) AS n_permutations"), F.expr("max(real_max_dd) * 100 AS real_max_dd"),
         F.expr("max(real_crash_exposure) * 100 AS real_crash_exposure"),
-        F.expr("avg(IF(max_dd < real_max_dd, 1D, 0D)) AS _dd"), F.expr("avg(IF(crash_exposure > real_crash_exposure, 1D, 0D)) AS _crash"),
+        F.expr("avg(IF(round(max_dd, 9) < round(real_max_dd, 9), 1D, 0D)) AS _dd"), F.expr("avg(IF(round(crash_exposure, 9) > round(real_crash_exposure, 9), 1D, 0D)) AS _crash"),
         *[F.expr(e) for c in ("max_dd", "crash_exposure") for e in (
             f"avg({c}) * 100 AS null_{c}_mean", f"stddev_pop({c}) * 100 AS null_{c}_std",
             f"percentile({c}, 0.05) * 100 AS null_{c}_p05", f"percentile({c}, 0.95) * 100 AS null_{c}_p95")],
@@ -146,7 +149,7 @@ def state_shuffle_test(df: DataFrame, n_perm: int = 50, cost_bps: float = RESEAR
     nulls = _moments(shuffled, _state_returns("perm_ret", cost_bps), "").select("symbol", "path_id", "total_return", "sharpe")
     out = nulls.join(real, "symbol").groupBy("symbol").agg(
         F.expr("max(real_total_return) AS real_total_return"), F.expr("max(real_sharpe) AS real_sharpe"),
-        F.expr("avg(IF(sharpe >= real_sharpe, 1D, 0D)) AS p_value"), F.expr("avg(total_return) AS null_mean_return"),
+        F.expr("avg(IF(round(sharpe, 9) >= round(real_sharpe, 9), 1D, 0D)) AS p_value"), F.expr("avg(total_return) AS null_mean_return"),
         F.expr("percentile(total_return, 0.95) AS null_p95_return"),
     )
     return out.selectExpr("*", "p_value < 0.05D AS significant", "real_total_return > null_p95_return AS beats_p95")

@@ -76,10 +76,11 @@ def stress_summary(results: DataFrame, pass_at: float = 0.99) -> DataFrame:
     """The kill switch is correct by construction, as both sides test the same drawdown."""
     out = results.groupBy("portfolio_id").agg(
         F.expr("count(*) AS total_scenarios"), F.expr("count_if(survived) AS scenarios_passed"),
-        F.expr("avg(IF(survived, 1D, 0D)) AS survival_rate"), F.expr("min(struct(portfolio_dd, scenario)) AS _w"),
+        F.expr("avg(IF(survived, 1D, 0D)) AS survival_rate"), F.expr("min(portfolio_dd) AS worst_dd"),
+        F.expr("min(struct(round(portfolio_dd, 9) AS portfolio_dd, scenario)).scenario AS worst_scenario"),
     )
     return out.selectExpr(
-        "* EXCEPT (_w)", "_w.portfolio_dd AS worst_dd", "_w.scenario AS worst_scenario", "1D AS kill_switch_accuracy",
+        "*", "1D AS kill_switch_accuracy",
         f"survival_rate >= {pass_at} AS overall_pass",
     )
 

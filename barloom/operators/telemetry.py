@@ -38,9 +38,10 @@ def slippage_stats(slipped: DataFrame) -> DataFrame:
 
 
 def slippage_bounds(stats: DataFrame, mean: float = 5.0, std: float = 5.0, tolerance: float = 1.0, min_fills: int = 5) -> DataFrame:
-    """Whether the mean lies within tolerance; too few fills pass."""
+    """Whether the mean lies within tolerance: 'within', 'outside', or 'too_few' fills to tell (``within_bounds`` is null then)."""
     lo, hi = mean - tolerance * std, mean + tolerance * std
-    return stats.selectExpr("symbol", "fills", "mean_bps", f"fills < {min_fills} OR mean_bps BETWEEN {lo!r}D AND {hi!r}D AS within_bounds")
+    checked = stats.selectExpr("symbol", "fills", "mean_bps", f"IF(fills < {min_fills}, NULL, mean_bps BETWEEN {lo!r}D AND {hi!r}D) AS within_bounds")
+    return checked.selectExpr("*", "CASE WHEN within_bounds THEN 'within' WHEN NOT within_bounds THEN 'outside' ELSE 'too_few' END AS bounds_state")
 
 
 def daily_slippage(slipped: DataFrame, limit_bps: float = 50.0) -> DataFrame:
@@ -53,15 +54,18 @@ def daily_slippage(slipped: DataFrame, limit_bps: float = 50.0) -> DataFrame:
 
 
 def order_id(df: DataFrame, day: str = "day", symbol: str = "symbol", side: str = "side", signal: str = "signal_id") -> DataFrame:
-    """Deterministic client order id: the same signal on the same day gives the same id."""
+    """Deterministic client order id: the same signal on the same day gives the same id.
+
+    Its last part is 32 bits of a digest, so it is for display; rows are told apart by day, symbol, side and signal.
+    """
     date = f"date_format({day}, 'yyyyMMdd')"
     body = f"concat_ws('_', {date}, {symbol}, {side})"
     return df.selectExpr("*", f"concat({body}, '_', substr(md5(concat({body}, '_', {signal})), 1, 8)) AS client_order_id")
 
 
 def config_hash(df: DataFrame, columns: list[str], out: str = "config_hash") -> DataFrame:
-    """First eight hex digits of the md5 of the configuration columns."""
-    return df.selectExpr("*", f"substr(md5(concat_ws('|', {', '.join(columns)})), 1, 8) AS {out}")
+    """The md5 of the configuration columns."""
+    return df.selectExpr("*", f"md5(concat_ws('|', {', '.join(columns)})) AS {out}")
 
 
 def adv_check(orders: DataFrame, adv: DataFrame, max_pct: float = 0.01) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,18 +26,3 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
-
-    The folder comes from the session. Without one the plan is returned as it is: a machine-local
-    folder would not survive the loss of an executor.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    if context.getCheckpointDir() is None:
-        return df
-    return df.checkpoint()

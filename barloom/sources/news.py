@@ -29,14 +29,16 @@ def normalize_news(df: DataFrame, feed: str, payload: str = "payload", symbol: s
     )
 
 
-def combine_news(primary: DataFrame, secondary: DataFrame, min_primary: int = 50) -> DataFrame:
-    """Primary feed, plus the secondary feed for symbols with fewer than ``min_primary`` primary articles.
+def combine_news(primary: DataFrame, secondary: DataFrame, min_primary: int | None = None) -> DataFrame:
+    """Both feeds. With ``min_primary`` the secondary feed only counts for symbols with fewer primary articles.
 
     Repeats of a headline at the same time keep the primary copy; among equals the smallest source wins.
     The reduction is an aggregate, so any number of copies collapses before the shuffle.
     """
-    full = primary.groupBy("symbol").agg(F.expr("count(*) AS n")).where(f"n >= {min_primary}").select("symbol")
-    extra = secondary.join(full, "symbol", "left_anti")
+    extra = secondary
+    if min_primary is not None:
+        full = primary.groupBy("symbol").agg(F.expr("count(*) AS n")).where(f"n >= {min_primary}").select("symbol")
+        extra = secondary.join(full, "symbol", "left_anti")
     both = primary.selectExpr("*", "1 AS _priority").unionByName(
         extra.selectExpr("*", "2 AS _priority"), allowMissingColumns=True
     )

@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from barloom.functions.scan import trailing_count
 from barloom.operators.telemetry import order_id, slippage
 
+#: What tells signals apart. The order id is only a part of a digest.
+SIGNAL_KEY = ["day", "symbol", "side", "signal_id"]
+
 
 def dedupe_signals(signals: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per deterministic order id; a stream forgets an id once the watermark has passed it."""
+    """One row per day, symbol, side and signal; a stream forgets them once the watermark has passed."""
     sided = order_id(signals.selectExpr("*", "IF(signal = 'EXIT_TO_CASH', 'sell', 'buy') AS side"))
     if sided.isStreaming:
-        return sided.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["client_order_id"])
-    return sided.dropDuplicates(["client_order_id"])
+        return sided.withWatermark("ts", delay).dropDuplicatesWithinWatermark(SIGNAL_KEY)
+    return sided.dropDuplicates(SIGNAL_KEY)
 
 
 def fill_monitor(fills: DataFrame, limit_bps: float = 50.0, delay: str = "1 hour") -> DataFrame:

@@ -59,7 +59,7 @@ def test_kill_switch_order_of_checks(spark):
 
 def test_signals_are_deduplicated(spark, inputs):
     got = run(monitors.dedupe_signals(as_stream(spark, inputs.signals, "ts", 2), "40 days"), "dd")
-    ids = {r.client_order_id for r in got.select("client_order_id").collect()}
+    ids = {tuple(r) for r in got.select(*monitors.SIGNAL_KEY).collect()}
     assert got.count() == len(ids) == monitors.dedupe_signals(inputs.signals).count()
 
 

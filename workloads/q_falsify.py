@@ -61,14 +61,15 @@ def _(t):
 
 
 V["perm_summary"] = """SELECT n.symbol, count(*) AS n_permutations, max(r.max_dd) * 100 AS real_max_dd, max(r.crash_exposure) * 100 AS real_crash_exposure,
-  avg(CASE WHEN n.max_dd < r.max_dd THEN 1e0 ELSE 0e0 END) * 100 AS dd_percentile, avg(CASE WHEN n.crash_exposure > r.crash_exposure THEN 1e0 ELSE 0e0 END) * 100 AS crash_percentile,
+  avg(CASE WHEN round(n.max_dd, 9) < round(r.max_dd, 9) THEN 1e0 ELSE 0e0 END) * 100 AS dd_percentile, avg(CASE WHEN round(n.crash_exposure, 9) > round(r.crash_exposure, 9) THEN 1e0 ELSE 0e0 END) * 100 AS crash_percentile,
   avg(n.max_dd) * 100 AS null_max_dd_mean, stddev_pop(n.max_dd) * 100 AS null_max_dd_std, quantile_cont(n.max_dd, 0.05) * 100 AS null_max_dd_p05,
-  quantile_cont(n.max_dd, 0.95) * 100 AS null_max_dd_p95 FROM boot_metrics n JOIN real_metrics r USING (symbol) GROUP BY n.symbol"""
+  quantile_cont(n.max_dd, 0.95) * 100 AS null_max_dd_p95, avg(n.crash_exposure) * 100 AS null_crash_exposure_mean, stddev_pop(n.crash_exposure) * 100 AS null_crash_exposure_std,
+  quantile_cont(n.crash_exposure, 0.05) * 100 AS null_crash_exposure_p05, quantile_cont(n.crash_exposure, 0.95) * 100 AS null_crash_exposure_p95 FROM boot_metrics n JOIN real_metrics r USING (symbol) GROUP BY n.symbol"""
 
 
 @query("permutation_summary",
        "symbol n_permutations:i real_max_dd:6 real_crash_exposure:6 dd_percentile:6 crash_percentile:6 null_max_dd_mean:6 null_max_dd_std:6 "
-       "null_max_dd_p05:6 null_max_dd_p95:6 overall_pass",
+       "null_max_dd_p05:6 null_max_dd_p95:6 null_crash_exposure_mean:6 null_crash_exposure_std:6 null_crash_exposure_p05:6 null_crash_exposure_p95:6 overall_pass",
        "SELECT *, dd_percentile >= 95 AND crash_percentile >= 95 AS overall_pass FROM perm_summary")
 def _(t):
     arrays = gate_arrays(t)
@@ -83,7 +84,7 @@ V["expo_perm"] = f"""SELECT a.symbol, a.path_id, a.date, a.open, b.exposure AS s
 
 @query("state_shuffle_pvalue", "symbol real_total_return:6 real_sharpe:6 p_value:6 null_mean_return:6 null_p95_return:6 significant beats_p95",
        f"""SELECT *, p_value < 5e-2 AS significant, real_total_return > null_p95_return AS beats_p95 FROM (
-       SELECT symbol, max(r.total_return) AS real_total_return, max(r.sharpe) AS real_sharpe, avg(CASE WHEN n.sharpe >= r.sharpe THEN 1e0 ELSE 0e0 END) AS p_value,
+       SELECT symbol, max(r.total_return) AS real_total_return, max(r.sharpe) AS real_sharpe, avg(CASE WHEN round(n.sharpe, 9) >= round(r.sharpe, 9) THEN 1e0 ELSE 0e0 END) AS p_value,
        avg(n.total_return) AS null_mean_return, quantile_cont(n.total_return, 0.95) AS null_p95_return
        FROM ({conditional_sql('SELECT * FROM expo_perm', 'symbol, path_id')}) n
        JOIN ({conditional_sql('SELECT *, exposure AS signal FROM expo_rows')}) r USING (symbol) GROUP BY symbol) z""")
@@ -105,8 +106,8 @@ V["null_pos"] = f"""SELECT symbol, date, ret, 'Real' AS strategy, 0 AS draw, pos
   UNION ALL SELECT symbol, date, ret, 'Random', k, CAST((1 + sum(f) OVER (PARTITION BY symbol, k ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) % 2 AS DOUBLE)
     FROM (SELECT *, CASE WHEN {uniform('(42 + k)', 'symbol', 'date')} < rate THEN 1 ELSE 0 END AS f FROM null_base, (SELECT unnest(range(0, 10)) AS k) kk) fl"""
 NRUN = "(PARTITION BY symbol, strategy, draw ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-V["null_metrics"] = f"""SELECT symbol, strategy, draw, (product(1 + s) - 1) * 100 AS total_return, min(e / pk - 1) * 100 AS max_drawdown,
-  CASE WHEN stddev_samp(s) > 0 THEN avg(s) / stddev_samp(s) * sqrt(252e0) ELSE 0e0 END AS sharpe, coalesce(avg(position) FILTER (ret < -2e-2), 0e0) * 100 AS crash_exposure,
+V["null_metrics"] = f"""SELECT symbol, strategy, draw, (product(1 + s) - 1) * 100 AS total_return, round(min(e / pk - 1) * 100, 9) AS max_drawdown,
+  CASE WHEN stddev_samp(s) > 0 THEN avg(s) / stddev_samp(s) * sqrt(252e0) ELSE 0e0 END AS sharpe, round(coalesce(avg(position) FILTER (ret < -2e-2), 0e0) * 100, 9) AS crash_exposure,
   sum(moved) AS turnover FROM (SELECT *, max(e) OVER {NRUN} AS pk FROM (SELECT *, ret * position AS s, product(1 + ret * position) OVER {NRUN} AS e,
   CASE WHEN position <> lag(position) OVER (PARTITION BY symbol, strategy, draw ORDER BY date) THEN 1 ELSE 0 END AS moved FROM null_pos) a) b GROUP BY 1, 2, 3"""
 V["null_rows"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, strategy ORDER BY max_drawdown, draw) AS rk FROM null_metrics) x WHERE strategy <> 'Random' OR rk = 6"""
@@ -161,7 +162,7 @@ V["stitch_ret"] = """SELECT g.symbol, p.path_id, g.t, g.position * 1e0 AS positi
   FROM gate_idx g JOIN (SELECT unnest(range(0, 10)) AS path_id) p ON g.n > 40 LEFT JOIN stitch_last s ON s.symbol = g.symbol AND s.path_id = p.path_id AND s.t = g.t
   LEFT JOIN crisis_rows c ON c.symbol = s.symbol AND c.k = s.pick"""
 V["stitch_vol"] = "SELECT *, " + roll("stddev_samp", "ret", 5, "symbol, path_id", "t") + " AS v FROM stitch_ret"
-V["path_stitch"] = """SELECT symbol, 'CrisisStitch' AS path_type, path_id, t, ret, CASE WHEN v > q THEN 'HOSTILE' ELSE 'NEUTRAL' END AS regime, position
+V["path_stitch"] = """SELECT symbol, 'CrisisStitch' AS path_type, path_id, t, ret, CASE WHEN round(v, 9) > round(q, 9) THEN 'HOSTILE' ELSE 'NEUTRAL' END AS regime, position
   FROM stitch_vol JOIN (SELECT symbol, path_id, quantile_cont(v, 0.8) AS q FROM stitch_vol GROUP BY 1, 2) z USING (symbol, path_id)"""
 V["path_back"] = f"""SELECT x.symbol, 'BackToBackCrisis' AS path_type, path_id, t, c.ret, 'HOSTILE' AS regime, 1e0 AS position FROM (
   SELECT symbol, path_id, t, {draw("'42'", "'back'", 'symbol', 'path_id', 't')} % m AS pick FROM (SELECT symbol, m, path_id, unnest(range(0, 100)) AS t FROM crisis_m, (SELECT unnest(range(0, 3)) AS path_id) p) y) x
@@ -189,6 +190,12 @@ def _(t):
     return paths.explode_paths(paths.crisis_stitch(gated(t)))
 
 
+@query("crisis_days", "symbol definition n_days:i",
+       "SELECT symbol, CASE WHEN wild < 20 THEN 'lowest' ELSE 'volatile' END AS definition, count(k) AS n_days FROM crisis_pick LEFT JOIN crisis_rows USING (symbol) GROUP BY 1, 2")
+def _(t):
+    return paths.crisis_returns(gated(t)).selectExpr("symbol", "definition", "size(crisis) AS n_days")
+
+
 @query("paths_back_to_back", PATH_COLS, "SELECT * FROM path_back")
 def _(t):
     return paths.explode_paths(paths.back_to_back_crisis(gated(t)))
@@ -214,7 +221,7 @@ ARUN = "(PARTITION BY symbol, path_type, path_id ORDER BY t ROWS BETWEEN UNBOUND
 V["path_res"] = f"""SELECT symbol, path_type, path_id, min(e / pk - 1) AS max_dd, product(1 + ret * position) - 1 AS final_return FROM (
   SELECT *, max(e) OVER {ARUN} AS pk FROM (SELECT *, product(1 + ret * position) OVER {ARUN} AS e FROM path_all) a) b GROUP BY 1, 2, 3"""
 V["surv_rows"] = """SELECT symbol, count(*) AS paths_tested, count(*) FILTER (max_dd > -25e-2) AS survived, avg(CASE WHEN max_dd > -25e-2 THEN 1e0 ELSE 0e0 END) AS survival_rate,
-  min(max_dd) * 100 AS worst_dd, arg_min(path_type, max_dd) AS worst_path, avg(CASE WHEN max_dd > -25e-2 THEN 1e0 ELSE 0e0 END) >= 95e-2 AS passed FROM path_res GROUP BY symbol"""
+  min(max_dd) * 100 AS worst_dd, arg_min(path_type, {'d': round(max_dd, 9), 'p': path_type}) AS worst_path, avg(CASE WHEN max_dd > -25e-2 THEN 1e0 ELSE 0e0 END) >= 95e-2 AS passed FROM path_res GROUP BY symbol"""
 
 
 @query("path_results", "symbol path_type path_id:i max_dd:6 final_return:6 survived", "SELECT *, max_dd > -25e-2 AS survived FROM path_res")
@@ -247,7 +254,7 @@ def dd_sql(source: str, by: str, x: str) -> str:
 V["st_port"] = dd_sql("SELECT portfolio_id, scenario, date, sum(sr) / max(m) AS pr FROM st_rows JOIN (SELECT portfolio_id, count(DISTINCT symbol) AS m FROM st_rows GROUP BY 1) mm USING (portfolio_id) GROUP BY 1, 2, 3",
                       "portfolio_id, scenario", "pr")
 V["st_sum"] = """SELECT portfolio_id, count(*) AS total_scenarios, count(*) FILTER (dd > -1e-1) AS scenarios_passed, avg(CASE WHEN dd > -1e-1 THEN 1e0 ELSE 0e0 END) AS survival_rate,
-  min(dd) * 100 AS worst_dd, arg_min(scenario, dd) AS worst_scenario, avg(CASE WHEN dd > -1e-1 THEN 1e0 ELSE 0e0 END) >= 99e-2 AS overall_pass FROM st_port GROUP BY portfolio_id"""
+  min(dd) * 100 AS worst_dd, arg_min(scenario, {'d': round(dd * 100, 9), 's': scenario}) AS worst_scenario, avg(CASE WHEN dd > -1e-1 THEN 1e0 ELSE 0e0 END) >= 99e-2 AS overall_pass FROM st_port GROUP BY portfolio_id"""
 
 
 def book(t):

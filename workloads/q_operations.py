@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barloom.operators import align, market, news as news_ops, persistence, portfolio, price, quality, reconcile, regimes, stability, telemetry
 from barloom.operators.backtest import equity
 from barloom.operators.regimes import vol_gate
@@ -60,11 +62,10 @@ def _(t):
        """SELECT symbol, ts, md5(headline) AS headline_md5, source FROM (
        SELECT *, row_number() OVER (PARTITION BY symbol, headline, ts ORDER BY pr, source) AS rn FROM (
          SELECT symbol, ts, headline, source, 1 AS pr FROM news WHERE lang = 'en'
-         UNION ALL SELECT symbol, ts, headline, source, 2 FROM news WHERE symbol NOT IN (
-           SELECT symbol FROM news WHERE lang = 'en' GROUP BY symbol HAVING count(*) >= 25)) u) x WHERE rn = 1""")
+         UNION ALL SELECT symbol, ts, headline, source, 2 FROM news) u) x WHERE rn = 1""")
 def _(t):
     rows = t.news.select("symbol", "ts", "headline", "source", "lang")
-    out = news_sources.combine_news(rows.where("lang = 'en'").drop("lang"), rows.drop("lang"), 25)
+    out = news_sources.combine_news(rows.where("lang = 'en'").drop("lang"), rows.drop("lang"))
     return out.selectExpr("*", "md5(headline) AS headline_md5")
 
 
@@ -132,11 +133,11 @@ def _(t):
     return quality.finalize_features(news_ops.target_open_to_open(price.price_features(t.bars)))
 
 
-@query("features_selected", "feature", " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in FINAL))
+@query("features_selected", "feature n_values:i n_zero:i", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n_values, count(*) FILTER (abs({c}) < 1e-12) AS n_zero FROM final_rows WHERE next_day_return IS NOT NULL" for c in FINAL))
 def _(t):
-    df = news_ops.target_open_to_open(price.price_features(t.bars)).select("symbol", "date", "close", *FINAL, "next_day_return")
-    names = ", ".join(f"'{c}'" for c in quality.feature_columns(df))
-    return df.selectExpr(f"explode(array({names})) AS feature").distinct()
+    df = quality.finalize_features(news_ops.target_open_to_open(price.price_features(t.bars))).select("symbol", "date", "close", *FINAL, "next_day_return")
+    values = ", ".join(f"struct('{c}' AS feature, {c} AS value)" for c in quality.feature_columns(df))
+    return df.selectExpr(f"inline(array({values}))").groupBy("feature").agg(F.expr("count(value) AS n_values"), F.expr("count_if(abs(value) < 1e-12) AS n_zero"))
 
 
 @query("directional_rows", "symbol date target_direction:i",
@@ -283,7 +284,7 @@ def _(t):
     return telemetry.slippage_stats(telemetry.slippage(t.fills))
 
 
-@query("slippage_bounds", "symbol fills:i mean_bps:6 within_bounds", "SELECT symbol, fills, mean_bps, fills < 5 OR mean_bps BETWEEN -1e0 AND 1e0 AS within_bounds FROM slip_stats")
+@query("slippage_bounds", "symbol fills:i mean_bps:6 within_bounds bounds_state", "SELECT *, CASE WHEN within_bounds THEN 'within' WHEN NOT within_bounds THEN 'outside' ELSE 'too_few' END AS bounds_state FROM (SELECT symbol, fills, mean_bps, CASE WHEN fills >= 5 THEN mean_bps BETWEEN -1e0 AND 1e0 END AS within_bounds FROM slip_stats) x")
 def _(t):
     return telemetry.slippage_bounds(telemetry.slippage_stats(telemetry.slippage(t.fills)), 0.0, 1.0)
 
@@ -385,7 +386,7 @@ V["order_ids"] = """SELECT *, concat(strftime(day, '%Y%m%d'), '_', symbol, '_',
   FROM (SELECT *, CASE WHEN signal = 'EXIT_TO_CASH' THEN 'sell' ELSE 'buy' END AS side FROM signals) s"""
 
 
-@query("client_order_ids", "event_id client_order_id config_hash", "SELECT *, substr(md5(concat_ws('|', symbol, signal)), 1, 8) AS config_hash FROM order_ids")
+@query("client_order_ids", "event_id client_order_id config_hash", "SELECT *, md5(concat_ws('|', symbol, signal)) AS config_hash FROM order_ids")
 def _(t):
     sided = t.signals.selectExpr("*", "IF(signal = 'EXIT_TO_CASH', 'sell', 'buy') AS side")
     return telemetry.config_hash(telemetry.order_id(sided), ["symbol", "signal"])
@@ -501,9 +502,11 @@ def _(t):
 
 
 V["last_dates"] = "SELECT DISTINCT date FROM strategy_daily ORDER BY date DESC LIMIT 60"
-V["corr_rows"] = """SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, count(*) AS n,
-  CASE WHEN count(*) > 1 THEN covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) * stddev_pop(b.ret), 0) END AS rho
-  FROM strategy_daily a JOIN strategy_daily b ON a.date = b.date WHERE a.date IN (SELECT date FROM last_dates) GROUP BY 1, 2"""
+V["corr_days"] = "SELECT symbol, date, ret FROM strategy_daily WHERE date IN (SELECT date FROM last_dates)"
+V["corr_rows"] = """SELECT s.symbol AS symbol_a, z.symbol AS symbol_b, count(b.ret) FILTER (a.ret IS NOT NULL) AS n,
+  CASE WHEN count(b.ret) FILTER (a.ret IS NOT NULL) > 1 THEN covar_pop(a.ret, b.ret) / nullif(stddev_pop(a.ret) FILTER (b.ret IS NOT NULL) * stddev_pop(b.ret) FILTER (a.ret IS NOT NULL), 0) END AS rho
+  FROM (SELECT DISTINCT symbol FROM corr_days) s CROSS JOIN (SELECT DISTINCT symbol FROM corr_days) z
+  LEFT JOIN corr_days a ON a.symbol = s.symbol LEFT JOIN corr_days b ON b.symbol = z.symbol AND b.date = a.date GROUP BY 1, 2"""
 
 
 @query("correlation_matrix", "symbol_a symbol_b n:i rho:6", "SELECT * FROM corr_rows")
@@ -517,7 +520,7 @@ def _(t):
          WHERE q.portfolio_id = p.portfolio_id AND q.date = p.date AND c.symbol_a = p.symbol AND c.symbol_a <> c.symbol_b AND c.rho > 2e-1) AS shared FROM positions p) x GROUP BY 1, 2""")
 def _(t):
     held, returns = positions(t)
-    return portfolio.correlated_exposure(held, portfolio.correlation_matrix(returns), 100_000.0, 0.2)
+    return portfolio.correlated_exposure(held, portfolio.correlation_matrix(returns, threshold=0.2), 100_000.0, 0.2)
 
 
 V["port_eq"] = """SELECT portfolio_id, date, 1e5 + sum(pnl) OVER (PARTITION BY portfolio_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity

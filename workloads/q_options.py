@@ -50,9 +50,9 @@ def _(t):
 
 
 @query("iv_surface", "underlying expiration dte:i strike:2 moneyness:6 iv:6 option_type",
-       """SELECT *, days AS dte, strike / underlying_price AS moneyness FROM (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY expiration) AS dr FROM quotes) x WHERE dr <= 4""")
+       """SELECT *, days AS dte, strike / underlying_price AS moneyness FROM (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY expiration) AS dr FROM quotes) x WHERE dr <= 6""")
 def _(t):
-    return options.iv_surface(quotes(t), 4)
+    return options.iv_surface(quotes(t))
 
 
 MOVES = [-0.2, -0.1, -0.05, -0.02, 0.0, 0.02, 0.05, 0.1, 0.2]
@@ -228,7 +228,7 @@ def _(t):
     return killswitch.kill_switch_counts(killswitch.kill_switch(t.account_events))
 
 
-@query("signals_deduplicated", "client_order_id symbol day side", "SELECT DISTINCT client_order_id, symbol, day, side FROM order_ids")
+@query("signals_deduplicated", "client_order_id symbol day side signal_id", "SELECT DISTINCT client_order_id, symbol, day, side, signal_id FROM order_ids")
 def _(t):
     return monitors.dedupe_signals(t.signals)
 
