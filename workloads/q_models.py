@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from barloom.config import LOOKBACK_WINDOWS, MA_WINDOWS
-from barloom.operators import ensemble, news, price, regimes, specialists, trees
-from barloom.operators.backtest import baselines  # noqa: F401
+from barloom.operators import align, ensemble, news, price, regimes, specialists, trees
+from barloom.operators.backtest import baselines, net_returns, pnl_metrics, signal_metrics  # noqa: F401
 from barloom.operators.specialists import MA_RATIO, MOMENTUM, NEWS, RSI
-from barloom.operators.windows import time_split, windows_rows
+from barloom.operators.windows import time_split, windows_calendar
 from workloads.oracle import ORACLE_VIEWS as V
 from workloads.q_backtest import SIG_COLS, PNL_COLS, net_sql, pnl_sql, signal_sql
 from workloads.registry import query
@@ -27,38 +27,49 @@ def rho_sql(x: str, y: str) -> str:
     return f"covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
 
 
-def _rule_family(family, cuts) -> str:
+def _rule_family(family, cuts, train: str = "model_train", by: str = "symbol") -> str:
     return " UNION ALL ".join(
-        f"SELECT symbol, {k} AS k, '{c}' AS name, coalesce(round(abs({rho_sql(c, 'actual_direction')}), 12), -1e0) AS r"
-        + "".join(f", quantile_cont({c}, {q}) AS q{i}" for i, q in enumerate(cuts)) + " FROM model_train GROUP BY symbol"
+        f"SELECT {by}, {k} AS k, '{c}' AS name, coalesce(round(abs({rho_sql(c, 'actual_direction')}), 12), -1e0) AS r"
+        + "".join(f", quantile_cont({c}, {q}) AS q{i}" for i, q in enumerate(cuts)) + f" FROM {train} GROUP BY {by}"
         for k, c in enumerate(family))
 
 
 V["model_train"] = "SELECT * FROM model_rows WHERE split = 'train'"
-for _name, _family, _cuts in (("rule_mom", MOMENTUM, (0.6,)), ("rule_rsi", RSI, (0.2, 0.8)), ("rule_ma", MA_RATIO, ())):
-    V[_name] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r DESC, k) AS rk FROM ({_rule_family(_family, _cuts)}) f) g WHERE rk = 1"
-V["rule_fit"] = """SELECT symbol, m.name AS momentum_col, m.q0 AS momentum_threshold, r.name AS rsi_col, r.q0 AS rsi_oversold, r.q1 AS rsi_overbought, a.name AS ma_col
-  FROM rule_mom m JOIN rule_rsi r USING (symbol) JOIN rule_ma a USING (symbol)"""
+V["model_test"] = "SELECT * FROM model_rows WHERE split = 'test'"
+V["wfm_rows"] = """SELECT m.*, w.window_id, CASE WHEN m.date < w.test_start THEN 'train' ELSE 'test' END AS role FROM model_rows m
+  JOIN wf_windows w ON m.symbol = w.symbol AND m.date >= w.train_start AND m.date < w.test_end"""
+V["wfm_train"] = "SELECT * FROM wfm_rows WHERE role = 'train'"
+V["wfm_test"] = "SELECT * FROM wfm_rows WHERE role = 'test'"
+for _pre, _train, _by in (("", "model_train", "symbol"), ("wfm_", "wfm_train", "symbol, window_id")):
+    for _name, _family, _cuts in (("rule_mom", MOMENTUM, (0.6,)), ("rule_rsi", RSI, (0.2, 0.8)), ("rule_ma", MA_RATIO, ())):
+        V[_pre + _name] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_by} ORDER BY r DESC, k) AS rk FROM ({_rule_family(_family, _cuts, _train, _by)}) f) g WHERE rk = 1"
+    V[_pre + "rule_fit"] = f"""SELECT {_by}, m.name AS momentum_col, m.q0 AS momentum_threshold, r.name AS rsi_col, r.q0 AS rsi_oversold, r.q1 AS rsi_overbought, a.name AS ma_col
+  FROM {_pre}rule_mom m JOIN {_pre}rule_rsi r USING ({_by}) JOIN {_pre}rule_ma a USING ({_by})"""
 
 
 def _pick_sql(name, family):
     return f"CASE {name} " + " ".join(f"WHEN '{c}' THEN {c}" for c in family) + " END"
 
 
-V["rule_scores"] = f"""SELECT symbol, date, 'rules' AS model, prob_up, 5e-1 AS confidence, CASE WHEN 5e-1 < 4e-1 THEN 0 WHEN prob_up > 5e-1 THEN 1 ELSE -1 END AS signal FROM (
-  SELECT m.symbol, m.date, CASE WHEN (CASE WHEN {_pick_sql('momentum_col', MOMENTUM)} > momentum_threshold THEN 4e-1 ELSE 0e0 END)
+def rule_scores(rows: str, fit: str, by: str) -> str:
+    return f"""SELECT {by}, date, actual_return, actual_direction, 'rules' AS model, prob_up, 5e-1 AS confidence, CASE WHEN 5e-1 < 4e-1 THEN 0 WHEN prob_up > 5e-1 THEN 1 ELSE -1 END AS signal FROM (
+  SELECT m.*, CASE WHEN (CASE WHEN {_pick_sql('momentum_col', MOMENTUM)} > momentum_threshold THEN 4e-1 ELSE 0e0 END)
    + ((CASE WHEN {_pick_sql('rsi_col', RSI)} < rsi_oversold THEN 3e-1 ELSE 0e0 END) + (CASE WHEN {_pick_sql('rsi_col', RSI)} > rsi_overbought THEN -3e-1 ELSE 0e0 END))
-   + (CASE WHEN {_pick_sql('ma_col', MA_RATIO)} > 1 THEN 3e-1 ELSE 0e0 END) > 0 THEN 1e0 ELSE 0e0 END AS prob_up FROM model_rows m JOIN rule_fit USING (symbol)) x"""
+   + (CASE WHEN {_pick_sql('ma_col', MA_RATIO)} > 1 THEN 3e-1 ELSE 0e0 END) > 0 THEN 1e0 ELSE 0e0 END AS prob_up FROM {rows} m JOIN {fit} USING ({by})) x"""
+
+
+V["rule_scores"] = rule_scores("model_test", "rule_fit", "symbol")
 V["sent_fit"] = "SELECT symbol, " + ", ".join(f"coalesce({rho_sql(c, 'actual_direction')}, 0e0) AS w_{c}" for c in NEWS) + " FROM model_train GROUP BY symbol"
+V["wfm_sent_fit"] = "SELECT symbol, window_id, " + ", ".join(f"coalesce({rho_sql(c, 'actual_direction')}, 0e0) AS w_{c}" for c in NEWS) + " FROM wfm_train GROUP BY symbol, window_id"
 _sum = " + ".join(f"{c} * w_{c}" for c in NEWS)
 
 
 def sent_scores(rows: str, fit: str, conf: str) -> str:
     return f"""SELECT *, 2 * abs(prob_up - 5e-1) AS confidence, CASE WHEN 2 * abs(prob_up - 5e-1) < {conf} THEN 0 WHEN prob_up > 5e-1 THEN 1 WHEN prob_up < 5e-1 THEN -1 ELSE 0 END AS signal FROM (
-  SELECT m.symbol, m.date, m.actual_direction, 'sentiment' AS model, greatest(0e0, least(1e0, (({_sum}) + 1) / 2)) AS prob_up FROM {rows} m {fit}) x"""
+  SELECT m.symbol, m.date, m.actual_return, m.actual_direction, 'sentiment' AS model, greatest(0e0, least(1e0, (({_sum}) + 1) / 2)) AS prob_up FROM {rows} m {fit}) x"""
 
 
-V["sent_scores"] = sent_scores("model_rows", "JOIN sent_fit USING (symbol)", "1e-1")
+V["sent_scores"] = sent_scores("model_test", "JOIN sent_fit USING (symbol)", "1e-1")
 
 
 def model_rows(t):
@@ -77,7 +88,7 @@ def _(t):
 @query("rule_specialist_scores", "symbol date model prob_up:6 confidence:6 signal:i", "SELECT * FROM rule_scores")
 def _(t):
     rows = model_rows(t)
-    return specialists.score_rules(rows, specialists.fit_rules(rows.where("split = 'train'"), "actual_direction"), min_confidence=0.4)
+    return specialists.score_rules(rows.where("split = 'test'"), specialists.fit_rules(rows.where("split = 'train'"), "actual_direction"), min_confidence=0.4)
 
 
 @query("sentiment_specialist_fit", "symbol " + " ".join(f"w_{c}:6" for c in NEWS), "SELECT * FROM sent_fit")
@@ -89,7 +100,26 @@ def _(t):
 def _(t):
     rows = model_rows(t)
     weights = specialists.fit_sentiment(rows.where("split = 'train'"), "actual_direction")
-    return specialists.score_sentiment(rows, weights, min_confidence=0.1)
+    return specialists.score_sentiment(rows.where("split = 'test'"), weights, min_confidence=0.1)
+
+
+V["wfm_preds"] = f"""SELECT symbol, date, model, confidence, signal, actual_return, actual_direction FROM ({rule_scores('wfm_test', 'wfm_rule_fit', 'symbol, window_id')}) r
+  UNION ALL SELECT symbol, date, model, confidence, signal, actual_return, actual_direction FROM ({sent_scores('wfm_test', 'JOIN wfm_sent_fit USING (symbol, window_id)', '1e-1')}) s"""
+
+
+@query("walk_forward_backtest", f"model symbol {SIG_COLS} {PNL_COLS}",
+       f"SELECT * FROM ({signal_sql('wfm_preds', 'model, symbol')}) a JOIN ({pnl_sql(net_sql('wfm_preds', 'model, symbol'), 'model, symbol')}) b USING (model, symbol)")
+def _(t):
+    """Both closed-form specialists fitted on every window's training span; only its test span is scored, and the spans are stitched."""
+    by = ["symbol", "window_id"]
+    rows = align.assign_windows(model_rows(t).drop("split"), windows_calendar(t.bars), 21, 252)
+    train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    cols = ["symbol", "date", "model", "confidence", "signal", "actual_return", "actual_direction"]
+    rules = specialists.score_rules(test, specialists.fit_rules(train, "actual_direction", by), by, 0.4)
+    tone = specialists.score_sentiment(test, specialists.fit_sentiment(train, "actual_direction", by), by, min_confidence=0.1)
+    stitched = rules.select(*cols).unionByName(tone.select(*cols))
+    key = ["model", "symbol"]
+    return signal_metrics(stitched, key).join(pnl_metrics(net_returns(stitched, key), key), key)
 
 
 TRAIN_SYMBOLS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
@@ -107,17 +137,19 @@ def _(t):
 
 # ---- ensembles over a long prediction table ----
 
-V["long_preds"] = """SELECT symbol, date, model, prob_up, confidence, signal FROM preds UNION ALL SELECT symbol, date, model, prob_up, confidence, signal FROM rule_scores
+V["long_preds"] = """SELECT symbol, date, model, prob_up, confidence, signal FROM preds SEMI JOIN model_test USING (symbol, date) UNION ALL SELECT symbol, date, model, prob_up, confidence, signal FROM rule_scores
   UNION ALL SELECT symbol, date, model, prob_up, confidence, signal FROM sent_scores"""
 
 
 def long_preds(t):
+    """Predictions of the three specialists for rows that none of them was fitted on."""
     rows = model_rows(t)
-    train = rows.where("split = 'train'")
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     cols = ["symbol", "date", "model", "prob_up", "confidence", "signal"]
-    rules = specialists.score_rules(rows, specialists.fit_rules(train, "actual_direction"), min_confidence=0.4)
-    tone = specialists.score_sentiment(rows, specialists.fit_sentiment(train, "actual_direction"), min_confidence=0.1)
-    return t.preds.select(*cols).unionByName(rules.select(*cols)).unionByName(tone.select(*cols))
+    rules = specialists.score_rules(test, specialists.fit_rules(train, "actual_direction"), min_confidence=0.4)
+    tone = specialists.score_sentiment(test, specialists.fit_sentiment(train, "actual_direction"), min_confidence=0.1)
+    momentum = t.preds.join(test.select("symbol", "date"), ["symbol", "date"], "left_semi")
+    return momentum.select(*cols).unionByName(rules.select(*cols)).unionByName(tone.select(*cols))
 
 
 def avg_sql(source: str, by: str) -> str:
@@ -167,22 +199,27 @@ def _(t):
 
 # ---- trees (no SQL equivalent: checked for rows only, and for skill in the tests) ----
 
-TREE_FEATURES = ["return_1d", "return_5d", "momentum_10d", "rsi_14", "ma_20_ratio", "news_count_7d", "news_sentiment_7d"]
+TREE_FEATURES = [*MOMENTUM, *RSI, *MA_RATIO, *NEWS]
+REGIMES = ["regime_vol", "regime_trend", "regime_liq"]
 
 
 @query("boosted_specialist", "symbol date model prob_up:6 confidence:6 signal:i")
 def _(t):
     rows = model_rows(t)
-    model = trees.fit_gbt(rows.where("split = 'train'"), TREE_FEATURES, "actual_direction = 1", trees=10, depth=4)
+    model = trees.fit_gbt(rows.where("split = 'train'"), TREE_FEATURES, "actual_direction = 1")
     return trees.score(model, rows.where("split = 'test'"), "boosted", 0.1)
 
 
 @query("regime_classifier", "symbol date model prob_up:6 confidence:6 signal:i")
 def _(t):
-    labels = regimes.label_regimes(t.bars).select("symbol", "date", "regime_vol")
+    labels = regimes.label_regimes(t.bars).select("symbol", "date", *REGIMES)
     rows = model_rows(t).join(labels, ["symbol", "date"])
-    model = trees.fit_forest(rows.where("split = 'train'"), TREE_FEATURES, "regime_vol", trees=20)
-    return trees.score(model, rows.where("split = 'test'"), "vol_forest", 0.1)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    out = None
+    for label in REGIMES:
+        scored = trees.score(trees.fit_forest(train, TREE_FEATURES, label), test, label.replace("regime_", "") + "_forest", 0.1)
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @query("meta_ensemble", "symbol date prob_up:6 confidence:6 signal:i")
@@ -190,5 +227,6 @@ def _(t):
     context = price.price_features(t.bars).selectExpr("symbol", "date", "coalesce(volatility_5d, 0D) AS volatility")
     models = ["momentum", "rules", "sentiment"]
     stacked = trees.stack(long_preds(t), models, context).join(t.preds.select("symbol", "date", "actual_direction"), ["symbol", "date"])
-    model = trees.fit_meta(stacked, trees.meta_features(models, ["volatility"]), "actual_direction = 1", trees=20)
-    return trees.score_meta(model, stacked, 0.3)
+    rows = time_split(stacked, 0.7)
+    model = trees.fit_meta(rows.where("split = 'train'").drop("split"), trees.meta_features(models, ["volatility"]), "actual_direction = 1")
+    return trees.score_meta(model, rows.where("split = 'test'").drop("split"), 0.3)
