@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,4 +68,5 @@ def release(spark: SparkSession, *finished: DataFrame) -> None:
         for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
             hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    gc.collect()
     jvm.System.gc()

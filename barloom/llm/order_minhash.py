@@ -1,12 +1,13 @@
 """Near-duplicate classes by Order MinHash with banded alignment.
 
 A text is its sequence of word 5-shingles, each labelled with its occurrence number, so that labelled shingles are unique.
-Each of ``SKETCHES`` sketches takes the ``PER_SKETCH`` labelled shingles of smallest hash and keeps them in text order;
+Each of a number of sketches takes the labelled shingles of smallest hash and keeps them in text order;
 texts with an equal sketch are candidates. A candidate pair is a link if their alignment is long enough: A aligned
 shingles of n and m give the similarity A / (n + m - A), and two texts of similarity t can only align places that are
 less apart than a band that follows from t, so alignment inside the band is exact for all links.
 
-No group is compared all against all. Equal texts are one node. In each sketch bucket the node that shares most buckets
+No group is compared all against all. Equal texts are one node. A candidate that shares too few of its shingles with any other
+candidate to reach the similarity is left alone from the start. In each sketch bucket the node that shares most buckets
 leads and is compared with the others; classes are the components of the links. Buckets whose nodes are still in several classes
 go on with their next leader, until those left have so few pairs that comparing all of them is linear work.
 Class labels spread by joins; nothing of it passes through the driver but counts.
@@ -29,17 +30,21 @@ from barloom.llm.common import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 a sketch of two agrees with a chance of about 0.64: 12 sketches miss a link once in 200,000.
-SKETCHES = 12
-PER_SKETCH = 2
+#: (sketches, shingles in each, least and most shingles of a text). Long texts: at similarity 0.8 a sketch of eight agrees with a
+#: chance of 0.17, so 56 of them miss a link once in 30,000, while texts of similarity 0.4 meet with a chance of 0.04. Short texts
+#: have too few shingles for that: two in each of 12. The spans overlap by more than linked texts can differ in length.
+SCHEMES = ((12, 2, 1, 64), (56, 8, 48, 1 << 62))
+#: Buckets are led, one leader after the other, until the places where classes still meet are at most so many a text; most
+#: of them fall to the bound on shared shingles before they become pairs.
+PAIRS_PER_TEXT = 32
 #: Texts are hashed in pieces of about so many bytes.
 PIECE = 1 << 18
 NO_ID = -(1 << 63)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = 0x5851F42D4C957F2D
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
-_PLACES = np.random.default_rng(12).integers(1, 1 << 63, max(SHINGLE, PER_SKETCH), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (len(SCHEMES), max(s[0] for s in SCHEMES)), dtype=np.uint64)
+_PLACES = np.random.default_rng(12).integers(1, 1 << 63, max(SHINGLE, *(s[1] for s in SCHEMES)), dtype=np.uint64) | np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -110,15 +115,17 @@ def labelled_shingles(text: str | None) -> np.ndarray:
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """One key a sketch: its smallest labelled shingles in text order."""
     n = len(shingles)
-    if not n:
-        return np.zeros(0, np.int64)
-    keys = []
-    for at in range(0, SKETCHES, 4):
-        hashed = mix(shingles[None, :] ^ _SEEDS[at:at + 4, None])
-        take = min(PER_SKETCH, n)
-        chosen = np.argpartition(hashed, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(hashed), 1))
-        chosen.sort(axis=1)
-        keys.append(mix((shingles[chosen] * _PLACES[:take]).sum(axis=1, dtype=np.uint64) + _SEEDS[at:at + 4]))
+    keys = [np.zeros(0, np.uint64)]
+    for seeds, (sketches, size, least, most) in zip(_SEEDS, SCHEMES):
+        if not least <= n <= most:
+            continue
+        take = min(size, n)
+        for at in range(0, sketches, 8):
+            own = seeds[at:min(at + 8, sketches), None]
+            hashed = mix(shingles[None, :] ^ own)
+            chosen = np.argpartition(hashed, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(hashed), 1))
+            chosen.sort(axis=1)
+            keys.append(mix((shingles[chosen] * _PLACES[:take]).sum(axis=1, dtype=np.uint64) + own[:, 0]))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -169,24 +176,46 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach ``least``."""
+    """(a, b, similarity, common) of all pairs; the similarity is 0 if it does not reach ``least``. ``common``: shingles in both, in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         led, led_shingles = None, None
         for batch in batches:
-            out = []
-            for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4))):
+            out, common = [], []
+            for _, b, text_a, text_b in zip(*(batch.column(k) for k in range(4))):
                 b = b.as_py()
                 if b != led:  # rows come in order of b
                     led, led_shingles = b, labelled_shingles(text_b.as_py())
-                out.append(similarity(labelled_shingles(text_a.as_py()), led_shingles, least))
-            reached = pa.array([s >= least for s in out], pa.bool_())
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
-            yield kept.filter(reached)
+                own = labelled_shingles(text_a.as_py())
+                out.append(similarity(own, led_shingles, least))
+                common.append(len(np.intersect1d(own, led_shingles, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(common, pa.int32())], names=["a", "b", "similarity", "common"])
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return both.mapInArrow(run, "a binary, b binary, similarity double, common int")
+
+
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(node, n, s): a text's shingles, and how many of them other candidates have as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = [labelled_shingles(t.as_py()) for t in part.column(1)]
+                sizes = [len(r) for r in rows]
+                nodes = part.column(0).take(pa.array(np.repeat(np.arange(len(rows)), sizes)))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(rows).view(np.int64))], names=["node", "n", "shingle"])
+
+    rows = stored(texts.select("node", "text").mapInArrow(run, "node binary, n int, shingle long"), "near-shingles")
+    several = rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
+    return stored(rows.join(several, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("s")), "near-shared")
+
+
+def _possible(least: float, s_a: str, s_b: str, n_a: str, n_b: str):
+    """Whether two texts can reach ``least``: they align no more shingles than either shares with anyone."""
+    return F.least(s_a, s_b) * (1 + least) + 1e-6 >= (F.col(n_a) + F.col(n_b)) * least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,30 +260,44 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     candidates = active.select("node").distinct().join(nodes.select("node", "rep"), "node")
     wanted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), _node().alias("node"), "text")
     texts = stored(wanted.join(candidates, ["rep", "node"]).select("node", "text"), "near-texts").dropDuplicates(["node"])
-    linear = 2 * nodes.count()
+    shared_by = _shared_shingles(texts)
+    sized = active.join(shared_by, "node")
+    smallest = sized.groupBy("key").agg(F.min("n").alias("low"))
+    # a text with too many shingles of its own for the shortest text of a bucket has no link there
+    active = stored(sized.join(smallest, "key").where(F.col("s") * (1 + least) + 1e-6 >= (F.col("n") + F.col("low")) * least).select("key", "node", "n", "s", F.lit(None).cast("int").alias("common")), "near-active")
+    linear = PAIRS_PER_TEXT * nodes.count()
     seen = spark.createDataFrame([], "a binary, b binary")
-    links = spark.createDataFrame([], "a binary, b binary, similarity double")
+    links = spark.createDataFrame([], "a binary, b binary, similarity double, common int")
     labels = spark.createDataFrame([], "node binary, label binary")
     first_round = True
     while True:
-        at = active.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = at.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "size")
-        at = stored(at.join(mixed, "key"), "near-round")
-        pairs_left = at.agg(F.sum((F.col("size") - 1) / 2)).first()[0] or 0
+        at = active.join(labels, "node", "left").select("key", "node", "n", "s", "common", F.coalesce("label", "node").alias("label"))
+        parts = at.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"))
+        mixed = stored(parts.where("size * size > within"), "near-mixed")
+        pairs_left = (mixed.agg(F.sum(F.col("size") * F.col("size") - F.col("within"))).first()[0] or 0) // 2
+        at = stored(at.join(mixed.select("key", "size"), "key"), "near-round")
         if not pairs_left:
             break
         last = not first_round and pairs_left <= linear
         if last:
-            other = at.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = at.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b")
+            other = at.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("common").alias("common_b"))
+            both = F.least("common", "common_b") + F.least(F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
+            led_bound = both.isNull() | F.col("common").isNull() | F.col("common_b").isNull() | (both * (1 + least) + 1e-6 >= (F.col("n") + F.col("n_b")) * least)
+            apart = (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible(least, "s", "s_b", "n", "n_b") & led_bound
+            pairs = at.join(other, apart).select(F.col("node").alias("a"), "b")
         else:
             shared = at.groupBy("node").agg(F.sum("size").alias("shared"))
-            leaders = at.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node", "label")).alias("led")).select("key", F.col("led.node").alias("b"), F.col("led.label").alias("label_b"))
+            leaders = at.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node", "label", "n", "s")).alias("led")).select("key", F.col("led.node").alias("b"), F.col("led.label").alias("label_b"), F.col("led.n").alias("n_b"), F.col("led.s").alias("s_b"))
             led = stored(at.join(leaders, "key"), "near-led")
-            pairs = led.where(F.col("label") != F.col("label_b")).select(F.col("node").alias("a"), "b")
-            active = led.where(F.col("node") != F.col("b")).select("key", "node")
+            pairs = led.where((F.col("label") != F.col("label_b")) & _possible(least, "s", "s_b", "n", "n_b")).select(F.col("node").alias("a"), "b")
+            active = led.where(F.col("node") != F.col("b")).select("key", "node", "n", "s", "common")
         pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        links = stored(links.union(_verified(pairs, texts, least)), "near-links")
+        compared = stored(_verified(pairs, texts, least), "near-compared")
+        if first_round:  # what each text has in common with the first leader of its bucket bounds what two of them have
+            with_leader = led.select("key", F.col("node").alias("a"), "b").join(compared.select("a", "b", "common"), ["a", "b"])
+            with_leader = with_leader.select("key", F.col("a").alias("node"), "common")
+            active = stored(active.drop("common").join(with_leader, ["key", "node"], "left"), "near-active")
+        links = stored(links.union(compared.where(F.col("similarity") >= least)), "near-links")
         labels = components(links)
         if last:
             break

@@ -32,7 +32,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from barloom.llm.common import partitions, release, stored
 
 LENGTH = 50
-K = 16
+#: Long enough that texts seldom share a minimiser by chance.
+K = 24
 MAX_PIECE_WINDOWS = 64
 MAX_BUCKET = 5000
 #: Texts are hashed in pieces of so many bytes.
@@ -43,9 +44,14 @@ _BASE = 0x9E3779B97F4A7C15
 
 def _minimisers(data: np.ndarray) -> np.ndarray:
     """For every window start the smallest hash of the K-byte strings in the window."""
-    h, width, power = data.astype(np.uint64) + np.uint64(1), 1, _BASE
-    while width < K:  # hashes of doubled width
-        h = h[:-width] * np.uint64(power) + h[width:]
+    part, width, power = data.astype(np.uint64) + np.uint64(1), 1, _BASE
+    h, covered = None, 0
+    while width <= K:  # hashes of doubled width, of which K's binary digits are put together
+        if K & width:
+            h = part if h is None else part[:len(part) - covered] * np.uint64(pow(_BASE, covered, 1 << 64)) + h[width:]
+            covered += width
+        if 2 * width <= K:
+            part = part[:-width] * np.uint64(power) + part[width:]
         power, width = power * power % (1 << 64), 2 * width
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -80,125 +86,138 @@ def pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffix_order(strings: list[bytes]) -> tuple[bytes, list[int], list[int]]:
-    """All suffixes of ``strings`` in order: (joined strings, places in it, for each place the end of its string).
+    """All suffixes of ``strings`` in order: (strings each followed by a gap byte, places in it, place of each string's gap).
 
     A string's end counts as smaller than any byte; equal suffixes of different strings stand next to each other.
     """
-    text = b"".join(strings)
+    text = b"\0".join(strings) + b"\0"
     n = len(text)
     left = list(range(-1, n - 1))
-    stop = [0] * n
-    at = 0
-    bounds = []
-    for s in strings:
-        if s:
-            left[at] = -1
-            stop[at:at + len(s)] = [at + len(s)] * len(s)
-            bounds.append(at + len(s))
-            at += len(s)
     end = list(range(1, n + 1))
-    done = bytearray(n)
     groups: dict[bytes, list[int]] = {}
-    for i in range(n):
-        groups.setdefault(text[i:i + 1], []).append(i)
+    gaps, at = [], 0
+    for s in strings:
+        left[at] = -1
+        for i in range(at, at + len(s)):
+            c = text[i:i + 1]
+            if c in groups:
+                groups[c].append(i)
+            else:
+                groups[c] = [i]
+        at += len(s) + 1
+        gaps.append(at - 1)
     prefixes = sorted(groups)
-    final: list[list[int]] = []
-    group_of = [0] * n
+    group_of = [-1] * n  # set when a suffix is processed
+    number = 0
     while prefixes:
         prefix = prefixes.pop()
         size = len(prefix)
-        members = sorted(i for i in groups.pop(prefix) if end[i] == i + size)  # others have moved on
+        members = [i for i in groups.pop(prefix) if end[i] == i + size]  # others have moved on
         if not members:
             continue
-        number = len(final)
         for i in members:
-            done[i] = 1
             group_of[i] = number
-        final.append(members)
-        moved = set()
+        number += 1
+        if len(members) > 1:
+            members.sort()
+        moved = []
         for i in members:
             p = left[i]
-            while p >= 0 and done[p]:
+            while p >= 0 and group_of[p] >= 0:
                 p = left[p]
             left[i] = p
             if p >= 0:
                 end[p] = end[i]
-                moved.add(p)
+                if not moved or moved[-1] != p:
+                    moved.append(p)
         for p in moved:
             longer = text[p:end[p]]
-            known = groups.get(longer)
-            if known is None:
+            if longer in groups:
+                groups[longer].append(p)
+            else:
                 groups[longer] = [p]
                 insort(prefixes, longer)
-            else:
-                known.append(p)
-    waiting: dict[int, list[int]] = {}
-    for i in range(n):
-        waiting.setdefault(end[i] if end[i] < stop[i] else -1 - stop[i], []).append(i)
-    emitted: list[list[int]] = [[] for _ in final]
-    for bound in bounds:
-        for i in waiting.get(-1 - bound, ()):
-            emitted[group_of[i]].append(i)
+    # suffixes that wait for the one at the end of their Lyndon prefix, or for a gap: first and next, in text order
+    first, following = [-1] * n, [-1] * n
+    for i in range(n - 1, -1, -1):
+        if group_of[i] >= 0:
+            e = end[i]
+            following[i] = first[e]
+            first[e] = i
+    emitted: list[list[int]] = [[] for _ in range(number)]
+    for gap in gaps:
+        c = first[gap]
+        while c >= 0:
+            emitted[group_of[c]].append(c)
+            c = following[c]
     order: list[int] = []
-    for number in range(len(final) - 1, -1, -1):
-        for i in emitted[number]:  # grows while it is read
-            order.append(i)
-            for c in waiting.get(i, ()):
+    for own in reversed(emitted):
+        for i in own:  # grows while it is read
+            c = first[i]
+            while c >= 0:
                 emitted[group_of[c]].append(c)
-    return text, order, stop
+                c = following[c]
+        order += own
+    return text, order, gaps
 
 
 def smallest_ids(strings: list[bytes], ids: list[int]) -> list[list[int]]:
     """For each window of each string the smallest id of the strings that hold an equal window."""
-    text, order, stop = suffix_order(strings)
-    owner: dict[int, int] = {}
-    starts, at = [], 0
-    for k, s in enumerate(strings):
-        starts.append(at)
-        at += len(s)
-        owner[at] = k
-    out = [[0] * (len(s) - LENGTH + 1) for s in strings]
+    text, order, gaps = suffix_order(strings)
+    owner = [0] * len(text)
+    at = 0
+    for k, gap in enumerate(gaps):
+        owner[at:gap - LENGTH + 1] = [k + 1] * (gap - LENGTH + 1 - at)  # 0 where no window starts
+        at = gap + 1
+    least = [0] * len(text)
     same: list[int] = []
     last = None
-
-    def settle() -> None:
-        least = min(ids[owner[stop[i]]] for i in same)
-        for i in same:
-            k = owner[stop[i]]
-            out[k][i - starts[k]] = least
-
     for i in order:
-        if stop[i] - i < LENGTH:
+        if not owner[i]:
             continue
         window = text[i:i + LENGTH]
-        if window != last and same:
-            settle()
-            same = []
-        last = window
-        same.append(i)
+        if window != last:
+            if same:
+                low = min([ids[owner[j] - 1] for j in same])
+                for j in same:
+                    least[j] = low
+            same, last = [i], window
+        else:
+            same.append(i)
     if same:
-        settle()
-    return out
+        low = min([ids[owner[j] - 1] for j in same])
+        for j in same:
+            least[j] = low
+    return [least[gap - len(s):gap - LENGTH + 1] for s, gap in zip(strings, gaps)]
 
 
 def _bucket_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, piece, id) in order of h; a bucket ends where h changes, and may run over batches."""
-    held: list[tuple[bytes, int]] = []
+    """Rows (h, piece, id, last) in order of h; a bucket ends where h changes, and may run over batches.
+
+    One number stands for windows that all have it. A piece from which nothing is removed gives no row.
+    """
+    held: list[tuple[bytes, int, int]] = []
     bucket = None
 
-    def results(rows: list[tuple[bytes, int]]) -> tuple[list[bytes], list[list[int]]]:
+    def results(rows: list[tuple[bytes, int, int]]) -> tuple[list[bytes], list[list[int]]]:
         strings, ids = [r[0] for r in rows], [r[1] for r in rows]
-        return strings, [ids] if len(rows) == 1 else smallest_ids(strings, ids)
+        names, values = [], []
+        for (piece, _, last), least in zip(rows, [ids] if len(rows) == 1 else smallest_ids(strings, ids)):
+            low = min(least)
+            if low < last:
+                names.append(piece)
+                values.append([low] if max(least) == low else least)
+        return names, values
 
     for batch in batches:
         names, values = [], []
-        for h, piece, least in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for h, piece, least, most in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if h != bucket and held:
                 for out, more in zip((names, values), results(held)):
                     out += more
                 held = []
             bucket = h
-            held.append((piece, least))
+            held.append((piece, least, most))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["piece", "least"])
     if held:
         names, values = results(held)
@@ -244,21 +263,21 @@ def _removed(docs: DataFrame) -> DataFrame:
     release(spark)
     wanted = stored(found.join(several, "h").groupBy("id").agg(F.collect_set("h").alias("wanted")), "suffix-wanted")
     release(spark, found)
-    cut = stored(docs.join(wanted, "id").select("id", "node", "text", "wanted").mapInArrow(_cut, "id long, node binary, first int, h long, piece binary"), "suffix-pieces")
+    cut = stored(docs.join(wanted, "id").select("id", "node", "text", "wanted").mapInArrow(_cut, "id long, node long, first int, h long, piece binary"), "suffix-pieces")
     release(spark, wanted)
-    unique = stored(cut.groupBy("h", "piece").agg(F.min("id").alias("id")), "suffix-unique")
+    unique = stored(cut.groupBy("h", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "suffix-unique")
     release(spark)
     large = unique.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET).select("h")
     sorted_rows = unique.join(large, "h", "left_anti").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    by_order = sorted_rows.select("h", "piece", "id").mapInArrow(_bucket_results, StructType([StructField("piece", BinaryType()), StructField("least", ArrayType(LongType()))]))
+    by_order = sorted_rows.select("h", "piece", "id", "last").mapInArrow(_bucket_results, StructType([StructField("piece", BinaryType()), StructField("least", ArrayType(LongType()))]))
     windows = unique.join(large, "h", "left_semi").select("piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - LENGTH + 1)).alias("at"))
     windows = windows.withColumn("window", F.substring(F.col("piece"), F.col("at"), F.lit(LENGTH)))
     least = windows.groupBy("window").agg(F.min("id").alias("low"))
     by_window = windows.join(least, "window").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("all")).select("piece", F.col("all.low").alias("least"))
-    results = stored(by_order.union(by_window).select(F.md5("piece").alias("name"), "least"), "suffix-results")
+    results = stored(by_order.union(by_window).select(F.unhex(F.md5("piece")).alias("name"), "least"), "suffix-results")
     release(spark, unique)
     # one number stands for all windows of a piece
-    at = cut.select("id", "node", "first", F.length("piece").alias("size"), F.md5("piece").alias("name")).join(results, "name")
+    at = cut.select("id", "node", "first", F.length("piece").alias("size"), F.unhex(F.md5("piece")).alias("name")).join(results, "name")
     whole = F.when(F.col("least")[0] < F.col("id"), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b"))))
     hits = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda j: F.get(F.col("least"), j) < F.col("id"))
     single = F.transform(hits, lambda j: F.struct((F.col("first") + j).alias("a"), (F.col("first") + j + LENGTH).alias("b")))
@@ -293,6 +312,6 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes, which may cut a character."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("node"), "text")
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("node"), "text")
     removed = _removed(keyed.select("id", "node", "text"))
     return keyed.join(removed, ["id", "node"], "left").select("doc_id", "text", "runs").mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

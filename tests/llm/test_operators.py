@@ -265,9 +265,9 @@ def test_suffix_order():
     rng = random.Random(3)
     for t in range(200):
         strings = [bytes(rng.choice(b"ab" if t % 2 else b"abcd") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))]
-        text, order, stop = suffix_dedup.suffix_order(strings)
-        assert sorted(order) == list(range(len(text)))
-        suffixes = [text[i:stop[i]] for i in order]
+        text, order, gaps = suffix_dedup.suffix_order(strings)
+        assert sorted(order) == [i for i in range(len(text)) if i not in gaps]
+        suffixes = [text[i:min(g for g in gaps if g > i)] for i in order]
         assert suffixes == sorted(suffixes)
 
 
