@@ -73,10 +73,11 @@ def test_allocation_caps_and_does_not_scale_up(spark):
     assert got["reason"][2] == "Signal is HOLD" and got["reason"][3].endswith("< 40%")
 
 
-def test_correlation_matrix_matches_pandas(spark):
+@pytest.mark.parametrize("tile", [1, 256])
+def test_correlation_matrix_matches_pandas(spark, tile):
     pdf = random_bars(("A", "B", "C"), 100)
     pdf["ret"] = pdf.groupby("symbol")["close"].pct_change().fillna(0.0)
-    got = portfolio.correlation_matrix(spark.createDataFrame(pdf[["symbol", "date", "ret"]]), 60, 3).toPandas()
+    got = portfolio.correlation_matrix(spark.createDataFrame(pdf[["symbol", "date", "ret"]]), 60, tile).toPandas()
     wide = pdf.pivot(index="date", columns="symbol", values="ret").iloc[-60:].corr()
     assert len(got) == 9
     for r in got.itertuples():
