@@ -9,7 +9,7 @@ from workloads.q_backtest import conditional_sql
 from workloads.registry import query
 from workloads.sqlkit import RUN, W, draw, frame, normal, roll, uniform
 
-N_PERM = 100
+N_PERM = 1000
 PRUN = "(PARTITION BY symbol, path_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 V["gate_idx"] = f"SELECT *, row_number() OVER {W} - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n FROM strategy_daily"
