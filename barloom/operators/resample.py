@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.config import RESEARCH, TRADING_DAYS
-from barloom.functions.text import div, keyed_draw
+from barloom.functions.text import keyed_draw
 
 
 def series_arrays(df: DataFrame, columns: list[str], by: str = "symbol") -> DataFrame:
@@ -119,22 +119,25 @@ def permutation_summary(arrays: DataFrame, nulls: DataFrame, pass_at: float = 0.
     )
 
 
-def _state_returns(signal: str, cost_bps: float) -> str:
-    """Net returns of a signal array against ``next_open_return``; days without one are left out."""
-    raw = (
-        f"transform(sequence(0, n - 1), i -> {signal}[i] * next_open_return[i] "
-        f"- abs({signal}[i] - IF(i = 0, 0D, get({signal}, i - 1))) * {cost_bps / 10000!r}D)"
-    )
-    return f"filter({raw}, x -> x IS NOT NULL)"
+_STATE = StructType([StructField(c, DoubleType()) for c in ("total_return", "sharpe")])
 
 
-def _moments(df: DataFrame, net: str, prefix: str) -> DataFrame:
-    df = df.selectExpr("*", f"{net} AS _net").selectExpr("*", "try_divide(aggregate(_net, 0D, (s, x) -> s + x), size(_net)) AS _mean")
-    var = "try_divide(aggregate(_net, 0D, (s, x) -> s + (x - _mean) * (x - _mean)), size(_net) - 1)"
-    return df.selectExpr(
-        "* EXCEPT (_net, _mean)", "aggregate(_net, 1D, (s, x) -> s * (1 + x)) - 1 AS " + prefix + "total_return",
-        f"IF({var} > 0, {div('_mean', f'sqrt({var})')} * {math.sqrt(TRADING_DAYS)!r}D, 0D) AS {prefix}sharpe",
-    )
+def state_stats(cost_bps: float):
+    """Column function over arrays of exposures and next-day returns: total return and Sharpe ratio (sample deviation) net of
+    costs on changes of exposure, the first one included. Days without a return are left out. One Arrow batch through numpy."""
+
+    @F.pandas_udf(_STATE)
+    def stats(exposures: pd.Series, returns: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(exposures), 2))
+        for k, (held, r) in enumerate(zip(exposures, returns)):
+            held = np.asarray(held, float)
+            net = held * np.asarray(r, float) - np.abs(np.diff(held, prepend=0.0)) * (cost_bps / 10000)
+            net = net[~np.isnan(net)]
+            deviation = net.std(ddof=1) if len(net) > 1 else 0.0
+            out[k] = np.prod(1.0 + net) - 1.0, net.mean() / deviation * math.sqrt(TRADING_DAYS) if deviation > 0 else 0.0
+        return pd.DataFrame(out, columns=_STATE.names)
+
+    return stats
 
 
 def state_shuffle_test(df: DataFrame, n_perm: int = 50, cost_bps: float = RESEARCH.cost_bps, seed: int = RESEARCH.seed) -> DataFrame:
@@ -144,9 +147,10 @@ def state_shuffle_test(df: DataFrame, n_perm: int = 50, cost_bps: float = RESEAR
     least as high as the real one.
     """
     arrays = series_arrays(df, ["exposure", "next_open_return"])
-    real = _moments(arrays, _state_returns("exposure", cost_bps), "real_").select("symbol", "real_total_return", "real_sharpe")
+    stats = state_stats(cost_bps)
+    real = arrays.select("symbol", stats("exposure", "next_open_return").alias("_c")).selectExpr("symbol", "_c.total_return AS real_total_return", "_c.sharpe AS real_sharpe")
     shuffled = regime_shuffle(arrays, n_perm, seed, "exposure", None)
-    nulls = _moments(shuffled, _state_returns("perm_ret", cost_bps), "").select("symbol", "path_id", "total_return", "sharpe")
+    nulls = shuffled.select("symbol", "path_id", stats("perm_ret", "next_open_return").alias("_c")).selectExpr("symbol", "path_id", "_c.total_return", "_c.sharpe")
     out = nulls.join(real, "symbol").groupBy("symbol").agg(
         F.expr("max(real_total_return) AS real_total_return"), F.expr("max(real_sharpe) AS real_sharpe"),
         F.expr("avg(IF(round(sharpe, 9) >= round(real_sharpe, 9), 1D, 0D)) AS p_value"), F.expr("avg(total_return) AS null_mean_return"),
