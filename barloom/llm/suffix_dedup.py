@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from barloom.llm.common import partitions, release, stored
+from barloom.llm.common import bucketed, partitions, release, stored
 
 LENGTH = 50
 #: Long enough that texts seldom share a minimiser by chance.
@@ -258,9 +258,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(docs: DataFrame) -> DataFrame:
     """(id, node, runs): the byte ranges to remove, not merged. ``docs``: id, node, text."""
     spark = docs.sparkSession
-    found = stored(docs.select("id", "text").mapInArrow(_keys, "h long, id long"), "suffix-keys")
-    several = stored(found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h"), "suffix-shared")
+    # dealt and sorted once: neither the aggregate nor the join shuffles the table again
+    found = bucketed(docs.select("id", "text").mapInArrow(_keys, "h long, id long"), "h", "suffix_keys")
     release(spark)
+    several = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     wanted = stored(found.join(several, "h").groupBy("id").agg(F.collect_set("h").alias("wanted")), "suffix-wanted")
     release(spark, found)
     cut = stored(docs.join(wanted, "id").select("id", "node", "text", "wanted").mapInArrow(_cut, "id long, node long, first int, h long, piece binary"), "suffix-pieces")
