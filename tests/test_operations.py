@@ -137,12 +137,13 @@ def test_audit_log_parses_both_ways(spark):
     assert c.first().notes == "Vol=0, Trend=0" and c.first().timestamp == j.first().timestamp
 
 
-def test_second_feed_is_used_only_for_thin_symbols(spark):
+def test_both_feeds_count_unless_a_limit_is_asked_for(spark):
     ts = dt.datetime(2023, 1, 2)
     schema = "symbol string, ts timestamp, headline string, source string"
     first = spark.createDataFrame([("A", ts, f"h{i % 60}", "one") for i in range(600)] + [("B", ts, "same", "one")], schema)
     second = spark.createDataFrame([("A", ts, "extra", "two"), ("B", ts, "same", "two"), ("B", ts, "other", "two")], schema)
-    got = news_sources.combine_news(first, second)
+    assert news_sources.combine_news(first, second).where("symbol = 'A'").count() == 61
+    got = news_sources.combine_news(first, second, min_primary=50)
     assert got.where("symbol = 'A'").count() == 60
     assert sorted((r.headline, r.source) for r in got.where("symbol = 'B'").collect()) == [("other", "two"), ("same", "one")]
 
