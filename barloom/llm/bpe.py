@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,9 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-MAX_STATES = 150_000
+MAX_STATES = 120_000
 #: Pieces in each of two generations of the memory.
-MAX_PIECES = 250_000
+MAX_PIECES = 200_000
+#: Rows handed on at once.
+ROWS = 250
 #: Bytes handed to the UTF-8 machine at once.
 DECODE_BYTES = 1 << 16
 
@@ -249,54 +252,74 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+class Decoder:
+    """Ids to text: token bytes in chunks, fed to the UTF-8 machine."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.table[rank] = token
+
+    def decode(self, ids: list[int]) -> str:
+        machine, parts = Utf8Machine(), []
+        for k in range(0, len(ids), DECODE_BYTES // 4):
+            parts.append(machine.feed(b"".join(map(self.table.__getitem__, ids[k:k + DECODE_BYTES // 4]))))
+        return "".join([*parts, machine.finish()])
+
+
+_ENCODERS: dict[int, tuple[Encoder, Decoder]] = {}
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """All columns of ``docs`` with ``tokens`` (array of int). The vocabulary, of fixed size, is read once and broadcast."""
+def _coder(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    """This worker's coder, made once."""
+    key = hash((data, pattern))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        ranks = parse_ranks(data)
+        _ENCODERS[key] = Encoder(ranks, pattern), Decoder(ranks)
+    return _ENCODERS[key]
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, checked: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``tokens`` (array of int). The vocabulary, of fixed size, is read once and broadcast.
+
+    ``checked`` decodes the ids in the same task and adds ``decoded_sha256``, without a second Python worker or the decoded text.
+    """
     with open(rank_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    added = [StructField("tokens", ArrayType(IntegerType()))] + [StructField("decoded_sha256", StringType())] * checked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((shared.value, pattern))
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(parse_ranks(shared.value), pattern)
-        encoder = _ENCODERS[key]
+        encoder, decoder = _coder(shared.value, pattern)
         gc.disable()  # neither states nor pieces are in cycles, and looking through them takes a fifth of the time
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = [np.array(encoder.encode(text.as_py()), np.int32) if text.is_valid else np.zeros(0, np.int32) for text in batch.column(batch.schema.get_field_index("text"))]
-                offsets = np.zeros(len(rows) + 1, np.int32)
-                np.cumsum([len(r) for r in rows], out=offsets[1:])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                offsets, parts, hashes = [0], [np.zeros(0, np.int32)], []
+                for text in batch.column(batch.schema.get_field_index("text")):
+                    ids = encoder.encode(text.as_py()) if text.is_valid else []
+                    parts.append(np.array(ids, np.int32))
+                    offsets.append(offsets[-1] + len(ids))
+                    if checked:
+                        hashes.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
+                columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))] + [pa.array(hashes, pa.string())] * checked
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in added)])
         gc.enable()
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("tokens", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
 
 
 def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
-    """All columns of ``tokens`` with ``decoded`` (string): token bytes are gathered in chunks and fed to the UTF-8 machine."""
+    """All columns of ``tokens`` with ``decoded`` (string)."""
     with open(rank_file, "rb") as f:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(shared.value)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
+        decoder = Decoder(parse_ranks(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = []
-                for row in batch.column(batch.schema.get_field_index("tokens")):
-                    ids = row.values.to_numpy().tolist() if row.is_valid else []
-                    machine, parts = Utf8Machine(), []
-                    for k in range(0, len(ids), DECODE_BYTES // 4):
-                        parts.append(machine.feed(b"".join(map(table.__getitem__, ids[k:k + DECODE_BYTES // 4]))))
-                    texts.append("".join([*parts, machine.finish()]))
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = [decoder.decode(row.values.to_numpy().tolist() if row.is_valid else []) for row in batch.column(batch.schema.get_field_index("tokens"))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema, StructField("decoded", StringType())]))

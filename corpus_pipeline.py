@@ -47,8 +47,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids and a hash of what they decode to."""
-    both = bpe.decode(bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN), RANK_FILE)
-    return both.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    return bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN, checked=True)
 
 
 STAGES = [

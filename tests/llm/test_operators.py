@@ -152,6 +152,8 @@ def test_bpe_equals_the_definition(docs_of):
     assert len(got) == len(rows)
     for r in got:
         assert r.tokens == true.encode_ordinary(r.text or "") and r.decoded == (r.text or "")
+    checked = bpe.encode(docs_of(rows[:40]), path, public_tokenizers.PATTERN, checked=True).collect()
+    assert all(r.decoded_sha256 == sha((r.text or "").encode()) and r.tokens == true.encode_ordinary(r.text or "") for r in checked)
 
 
 def test_transducer_forgets_and_goes_on():
