@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-MAX_STATES = 120_000
+MAX_STATES = 60_000
 #: Pieces in each of two generations of the memory.
-MAX_PIECES = 200_000
+MAX_PIECES = 100_000
 #: Rows handed on at once.
 ROWS = 250
 #: Bytes handed to the UTF-8 machine at once.
