@@ -1,11 +1,11 @@
 """Main text of web pages with site templates removed.
 
-A page is read once into a tree of elements. Every block element outside the article is hashed with all that it holds;
-Spark counts, per host, on how many different pages a hash is found (pages that show the same article count once). Hashes
-found on many pages of a host are its template, and their subtrees are deleted. What markup already names as no
+A page is read once into a tree of elements. Every block element, inside and outside of the article, is hashed with all that
+it holds; Spark counts, per host, on how many different pages a hash is found (pages that show the same article count once).
+Hashes found on many pages of a host are its template, and their subtrees are deleted. What markup already names as no
 content (menus, footers, forms, adverts, comments, ...) goes in any case, as a small host has no repeats to count.
-If a page has an article, or else a main element, only the text inside remains. Elements around or inside of an article are never
-template: copies of one article on many pages of a host are still articles.
+If a page then has an article, or else a main element, only the text inside remains. An article or main element itself and what
+is around it are never template: copies of one article on many pages of a host are still articles.
 
 Blocks: character references are decoded, white space [\\x20\\x09-\\x0D] becomes one space, ends are trimmed, blocks that
 are not empty are joined by one space.
@@ -46,7 +46,7 @@ RAW = frozenset("script style noscript template textarea title xmp iframe noembe
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-HASHED = frozenset("aside details div dl fieldset footer form h1 h2 h3 h4 h5 h6 header menu nav ol p section table ul".split())
+HASHED = frozenset("address aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header menu nav ol p pre section table ul".split())
 DROPPED = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map math menu nav noembed noframes noscript object optgroup option "
     "script select style svg template textarea title video".split())
@@ -159,7 +159,7 @@ class Page:
                 return
 
     def hashes(self) -> list[tuple[int, int]]:
-        """(element, hash) of the block elements that lie outside of articles and hold none."""
+        """(element, hash) of the block elements that hold no article."""
         around = set()
         for element, name in enumerate(self.names):
             if name in ("article", "main") and not self.drop[element]:
@@ -167,7 +167,7 @@ class Page:
                     around.add(element)
                     element = self.parents[element]
         return [(e, xxhash.xxh64_intdigest(GAP.sub(" ", self.source[self.starts[e]:self.ends[e]])) - (1 << 63))
-                for e, name in enumerate(self.names) if name in HASHED and e not in around and not self.in_article[e] and not self.drop[self.parents[e]]]
+                for e, name in enumerate(self.names) if name in HASHED and e not in around and not self.drop[e]]
 
     def signature(self) -> int:
         """The page's longest piece of text: pages with the same one show the same article."""

@@ -111,6 +111,21 @@ def test_site_template(spark, max_broadcast):
     assert got[10].startswith("Welcome") and got[30] == "" == got[31] and got[44] == prose(40, 77)
 
 
+@pytest.mark.parametrize("kind", ["article", "main"])
+@pytest.mark.parametrize("max_broadcast", [10, 0])
+def test_template_inside_articles(spark, max_broadcast, kind):
+    body = "<html><body><div><{0}><h1>{1}</h1><div>Read us <b>daily</b></div><p>{2}</p><blockquote>Tell a friend</blockquote></{0}></div></body></html>"
+    rows = [(i, f"https://a.example/{i}", body.format(kind, prose(4, i), prose(40, 50 + i))) for i in range(6)]
+    rows += [(10 + i, f"https://b.example/{i}", body.format(kind, prose(4, i), prose(40, 50 + i))) for i in range(2)]
+    # copies of one article are no template
+    rows += [(20 + i, f"https://c.example/{i}", body.format(kind, prose(4, 1), prose(40, 77))) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast=max_broadcast).collect()}
+    for i in range(6):
+        assert got[i] == f"{prose(4, i)} {prose(40, 50 + i)}"
+    assert got[10] == f"{prose(4, 0)} Read us daily {prose(40, 50)} Tell a friend"
+    assert got[25] == f"{prose(4, 1)} Read us daily {prose(40, 77)} Tell a friend"
+
+
 # ---- 3 quality rules
 
 
