@@ -5,7 +5,8 @@ it holds; Spark counts, per host, on how many different pages a hash is found (p
 Hashes found on many pages of a host are its template, and their subtrees are deleted. What markup already names as no
 content (menus, footers, forms, adverts, comments, ...) goes in any case, as a small host has no repeats to count.
 If a page then has an article, or else a main element, only the text inside remains. An article or main element itself and what
-is around it are never template: copies of one article on many pages of a host are still articles.
+is around it are never template: copies of one article on many pages of a host are still articles. Which article a page shows is told by the
+longest block of its content (no scripts, styles or dropped elements) that lies outside of recurring subtrees.
 
 Blocks: character references are decoded, white space [\\x20\\x09-\\x0D] becomes one space, ends are trimmed, blocks that
 are not empty are joined by one space.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from barloom.llm.url_rules import host_of
 
 #: A subtree is template if it is on so many different pages of a host.
 MIN_PAGES = 5
+#: A page with a smaller share of text outside of recurring subtrees shows no article of its own.
+LEAST_OWN = 0.1
 #: Template hashes that are broadcast at most (8 bytes each); more are joined to the pages instead.
 MAX_BROADCAST = 1_000_000
 
@@ -169,11 +172,24 @@ class Page:
         return [(e, xxhash.xxh64_intdigest(GAP.sub(" ", self.source[self.starts[e]:self.ends[e]])) - (1 << 63))
                 for e, name in enumerate(self.names) if name in HASHED and e not in around and not self.drop[e]]
 
-    def signature(self) -> int:
-        """The page's longest piece of text: pages with the same one show the same article."""
-        return xxhash.xxh64_intdigest(max((p for _, p in self.pieces if p), key=len, default="")) - (1 << 63)
+    def own_blocks(self, recurring: set[int]) -> list[str]:
+        """The blocks outside of ``recurring`` hashes; a page with little text besides is a copy of what recurs, and has all its blocks."""
+        rest = self.blocks(recurring)
+        if recurring:
+            whole = self.blocks(set())
+            if sum(map(len, rest)) < LEAST_OWN * sum(map(len, whole)):
+                return whole
+        return rest
+
+    def signature(self, recurring: set[int]) -> int:
+        """The longest block of the page's own text: pages with the same one show the same article."""
+        return xxhash.xxh64_intdigest(max(self.own_blocks(recurring), key=len, default="")) - (1 << 63)
 
     def text(self, template: set[int]) -> str:
+        return " ".join(self.own_blocks(template))
+
+    def blocks(self, template: set[int]) -> list[str]:
+        """The blocks of text that remain without the subtrees of ``template`` hashes."""
         gone = list(self.drop)
         if template:
             for element, value in self.hashes():
@@ -195,7 +211,7 @@ class Page:
                 run.append(piece)
         blocks.append("".join(run))
         decoded = (GAP.sub(" ", html.unescape(b)).strip(" ") for b in blocks if b)
-        return " ".join(b for b in decoded if b)
+        return [b for b in decoded if b]
 
 
 def site_hash(host: str, value: int) -> int:
@@ -203,64 +219,84 @@ def site_hash(host: str, value: int) -> int:
     return xxhash.xxh64_intdigest(f"{host} {value}") - (1 << 63)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site_hash) of the subtrees found on ``min_pages`` different pages of their host. ``pages``: host, html."""
+def with_known(rows: DataFrame, found: DataFrame, max_broadcast: int) -> tuple[DataFrame, Callable]:
+    """``rows`` (host, html, ...) with ``own``, and the function (page, host, own) -> hashes of the page that are in ``found`` (site_hash).
+
+    Few hashes are broadcast and ``own`` is null; more are joined to the pages.
+    """
+    if found.limit(max_broadcast + 1).count() <= max_broadcast:
+        shared = rows.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in found.collect()), np.int64))
+
+        def known(page: Page, host: str | None, own: list[int] | None) -> set[int]:
+            every, values = shared.value, [v for _, v in page.hashes()]
+            sites = np.array([site_hash(host, v) for v in values], np.int64)
+            at = np.searchsorted(every, sites)
+            return {v for v, s, k in zip(values, sites, at) if k < len(every) and every[k] == s}
+
+        return rows.withColumn("own", F.lit(None).cast("array<bigint>")), known
+
+    def own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sites = [], []
+            for host, source, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                own = {site_hash(host, v) for _, v in Page(source.as_py() or "").hashes()}
+                keys += [key] * len(own)
+                sites += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sites, pa.int64())], names=["row_key", "site_hash"])
+
+    def known(page: Page, host: str | None, own: list[int] | None) -> set[int]:
+        hits = set(own or ())
+        return {v for _, v in page.hashes() if site_hash(host, v) in hits} if hits else set()
+
+    columns = rows.columns
+    rows = rows.withColumn("row_key", F.xxhash64("host", "html"))
+    pairs = rows.select("host", "html", "row_key").mapInArrow(own_hashes, "row_key long, site_hash long").join(found, "site_hash").groupBy("row_key").agg(F.collect_set("site_hash").alias("own"))
+    return rows.join(pairs, "row_key", "left").select(*columns, "own"), known
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(site_hash) of the subtrees found on ``min_pages`` different pages of their host. ``pages``: host, html.
+
+    Only what recurs on so many rows is looked at again, and there each signature counts once.
+    """
+    pages = pages.select("host", "html").where(F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sites, signatures = [], []
+            sites = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if source.is_valid:
-                    page = Page(source.as_py())
-                    own = {site_hash(host, value) for _, value in page.hashes()}
-                    sites += own
-                    signatures += [page.signature()] * len(own)
+                sites += {site_hash(host, value) for _, value in Page(source.as_py()).hashes()}
+            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.int64())], names=["site_hash"])
+
+    found = pages.mapInArrow(run, "site_hash long").groupBy("site_hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("site_hash")
+    rows, known = with_known(pages, stored(found, "site-recurring"), max_broadcast)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sites, signatures = [], []
+            for host, source, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                page = Page(source.as_py())
+                recurring = known(page, host, own)
+                if recurring:
+                    sites += [site_hash(host, value) for value in recurring]
+                    signatures += [page.signature(recurring)] * len(recurring)
             yield pa.RecordBatch.from_arrays([pa.array(sites, pa.int64()), pa.array(signatures, pa.int64())], names=["site_hash", "signature"])
 
-    found = pages.select("host", "html").mapInArrow(run, "site_hash long, signature long")
-    return found.groupBy("site_hash").agg(F.count_distinct("signature").alias("n")).where(F.col("n") >= min_pages).select("site_hash")
+    signed = rows.mapInArrow(sign, "site_hash long, signature long")
+    return signed.groupBy("site_hash").agg(F.count_distinct("signature").alias("n")).where(F.col("n") >= min_pages).select("site_hash")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, text of every row."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    found = stored(templates(rows, min_pages), "site-templates")
-    few = found.limit(max_broadcast + 1).count() <= max_broadcast
-    if few:
-        known = np.array(sorted(r[0] for r in found.collect()), np.int64)
-        shared = pages.sparkSession.sparkContext.broadcast(known)
-        rows = rows.withColumn("own", F.lit(None).cast("array<bigint>"))
-    else:
-        shared = None
-        rows = rows.withColumn("row_key", F.xxhash64("page_id", "url", "html"))
-
-        def own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, sites = [], []
-                for host, source, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    own = {site_hash(host, v) for _, v in Page(source.as_py() or "").hashes()}
-                    keys += [key] * len(own)
-                    sites += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sites, pa.int64())], names=["row_key", "site_hash"])
-
-        pairs = rows.select("host", "html", "row_key").mapInArrow(own_hashes, "row_key long, site_hash long").join(found, "site_hash").groupBy("row_key").agg(F.collect_set("site_hash").alias("own"))
-        rows = rows.join(pairs, "row_key", "left").select("page_id", "url", "host", "html", "own")
+    rows, known = with_known(rows, stored(templates(rows, min_pages, max_broadcast), "site-templates"), max_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = shared.value if shared is not None else None
         for batch in batches:
             texts = []
             for host, source, own in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 page = Page(source.as_py() or "")
-                if every is None:
-                    hits = set(own or ())
-                    template = {v for _, v in page.hashes() if site_hash(host, v) in hits} if hits else set()
-                else:
-                    values = [v for _, v in page.hashes()]
-                    sites = np.array([site_hash(host, v) for v in values], np.int64)
-                    at = np.searchsorted(every, sites)
-                    template = {v for v, s, k in zip(values, sites, at) if k < len(every) and every[k] == s}
-                texts.append(page.text(template))
+                texts.append(page.text(known(page, host, own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType for f in pages.schema}

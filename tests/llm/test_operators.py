@@ -126,6 +126,18 @@ def test_template_inside_articles(spark, max_broadcast, kind):
     assert got[25] == f"{prose(4, 1)} Read us daily {prose(40, 77)} Tell a friend"
 
 
+def test_template_beside_a_long_shared_script(spark):
+    body = "<html><head><style>{0}</style></head><body><script>{0}</script><div>{1}</div><p>{2}</p><p>{3}</p></body></html>"
+    script, notice = "track(1);" * 200, "We use some biscuits " + prose(60, 3)
+    rows = [(i, f"https://a.example/{i}", body.format(script, notice, prose(20, i), prose(9, 50 + i))) for i in range(6)]
+    # copies of one article with a small part of their own are no template
+    rows += [(20 + i, f"https://c.example/{i}", body.format(script, prose(40, 77), prose(60, 78), f"Page {i}")) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"{prose(20, i)} {prose(9, 50 + i)}"
+    assert got[25] == f"{prose(40, 77)} {prose(60, 78)} Page 5"
+
+
 # ---- 3 quality rules
 
 
