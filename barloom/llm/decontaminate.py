@@ -19,14 +19,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+
+from barloom.llm.common import stored
 
 WINDOW = 10
 #: Bytes of item text in one automaton: what is broadcast at once is bounded by this, further items take further passes.
 BLOCK_BYTES = 4 << 20
-#: Spans longer than so many words are cut; texts with more than this share of hit words go.
+#: Spans longer than so many words are cut, shorter ones stay; texts with more than this share of hit words go.
 MAX_SPAN_WORDS = 9
 MAX_COVERAGE = 0.5
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -168,16 +171,24 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
         yield [(r.item, words_of(r.text)) for r in block.collect()]
 
 
+def automata(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The automaton of each block of items, broadcast."""
+    return [items.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window)) for block in item_blocks(items, block_bytes)]
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``word_count``, ``hit_spans`` (flat starts and ends, in words, merged) and ``hit_items`` (sorted ids).
 
     Each block is one more pass over the stream of batches inside the same task: nothing is shuffled.
     """
-    spark = docs.sparkSession
+    return matched(docs, automata(items, window, block_bytes))
+
+
+def matched(docs: DataFrame, shared_blocks: list[Broadcast]) -> DataFrame:
+    """``matches`` for automata that are already broadcast."""
     out = StructType([*docs.schema, StructField("word_count", LongType()), StructField("hit_spans", ArrayType(LongType())), StructField("hit_items", ArrayType(StringType()))])
     found = docs.select("*", F.lit(0).cast("long").alias("word_count"), F.array().cast("array<bigint>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    for block in item_blocks(items, block_bytes):
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+    for shared in shared_blocks:
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
@@ -220,24 +231,57 @@ def without_spans(text: str, spans: list[int], max_span_words: int) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, passes: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``docs``: spans over the length limit are cut from ``text``, texts over the coverage limit go.
 
-    A cut joins words that were apart; ``passes`` repeats the work on what is left, and a text in which a window is still
-    found after the last pass goes as a whole.
+    A cut joins words that were apart, so what is left is searched again until no span over the limit is found; words cut
+    before count as hit. Shorter spans, those of whole short items, stay. One automaton is searched again at once; with
+    more, the texts that were cut make further rounds over all of them.
     """
-    schema = docs.schema
-    for k in range(passes):
-        last = k == passes - 1
-
-        def cut(batches: Iterator[pa.RecordBatch], first=k == 0, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                columns, counts, spans = batch.columns[:-3], batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-                keep = [not s or not last and not (first and sum(s[1::2]) - sum(s[::2]) > max_coverage * n) for n, s in zip(counts, spans)]
-                if not last and any(spans):
-                    columns[at] = pa.array([without_spans(t.as_py(), s, max_span_words) if s else t.as_py() for t, s in zip(columns[at], spans)], columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
-
-        docs = matches(docs, items).mapInArrow(cut, schema)
-    return docs
+    schema, blocks = docs.schema, automata(items, WINDOW, block_bytes)
+    only = blocks[0] if len(blocks) == 1 else None
+    # words at the start (null before the first round), words cut so far, whether to search again
+    state = [StructField("_words", LongType()), StructField("_cut", LongType()), StructField("_again", BooleanType())]
+    full = StructType([*schema, *state])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, width = batch.schema.get_field_index("text"), batch.num_columns - 6
+            words, gone, _, counts, spans, _ = (c.to_pylist() for c in batch.columns[width:])
+            texts, again, keep = batch.column(at), [False] * batch.num_rows, [True] * batch.num_rows
+            changed = {}
+            for i, s in enumerate(spans):
+                words[i] = counts[i] if words[i] is None else words[i]
+                while s:
+                    if gone[i] + sum(s[1::2]) - sum(s[::2]) > max_coverage * words[i]:
+                        keep[i] = False
+                        break
+                    long = sum(e - b for b, e in zip(s[::2], s[1::2]) if e - b > max_span_words)
+                    if not long:
+                        break
+                    changed[i] = without_spans(changed[i] if i in changed else texts[i].as_py(), s, max_span_words)
+                    gone[i] += long
+                    if only is None:
+                        again[i] = True
+                        break
+                    s = only.value.scan(words_of(changed[i]))[0]
+            columns = batch.columns[:width]
+            if changed:
+                columns[at] = pa.array([changed[i] if i in changed else t.as_py() for i, t in enumerate(texts)], texts.type)
+            columns += [pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(again, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
+
+    def one_round(rows: DataFrame) -> DataFrame:
+        return matched(rows, blocks).mapInArrow(cut, full)
+
+    rows = one_round(docs.select("*", F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"), F.lit(False).alias("_again")))
+    if only is not None:
+        return rows.select(*schema.names)
+    rows = stored(rows, "decontaminated")
+    done = rows.where("NOT _again")
+    rows = rows.where("_again")
+    while not rows.isEmpty():
+        rows = stored(one_round(rows), "decontaminated")
+        done = done.unionAll(rows.where("NOT _again"))
+        rows = rows.where("_again")
+    return done.select(*schema.names)

@@ -238,6 +238,25 @@ def test_decontaminate_cuts_and_keeps(docs_of, spark):
     assert not [r for r in decontaminate.matches(docs_of([(1, got[1])]), frame).collect() if r.hit_spans]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_decontaminate_keeps_short_items_and_cuts_until_none_is_left(docs_of, spark, block_bytes):
+    words = [f"w{k}" for k in range(2000)]
+    # each cut of b joins the halves of the next one, four deep
+    items = [[f"{c}{k}" for k in range(12)] for c in "abcd"]
+    nested = items[0]
+    for inner in items[1:]:
+        nested = inner[:6] + nested + inner[6:]
+    short = ["three", "short", "words"]
+    rows = [(1, " ".join(words[:1000] + short + words[1000:])), (2, " ".join(words[:500] + nested + words[500:900])), (3, "Three, short words!"), (4, " ".join(words[:9] + nested + words[9:50])),
+            (5, " ".join(words[:30])), (6, None)]
+    frame = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate([*items, short])], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs_of(rows), frame, block_bytes=block_bytes).collect()}
+    assert got.pop(2).split() == words[:900]
+    # 48 of 98 words are cut: under the coverage limit
+    assert got.pop(4).split() == words[:50]
+    assert got == {1: rows[0][1], 5: rows[4][1], 6: None}
+
+
 # ---- 6 quality classifier
 
 
