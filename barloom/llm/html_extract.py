@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ MAX_BROADCAST = 1_000_000
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
-GAP = re.compile(r"[\x20\x09-\x0D]+")
+#: White space that is not one space already.
+GAP = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,44 +55,101 @@ HASHED = frozenset("address aside blockquote center details div dl fieldset figu
 DROPPED = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map math menu nav noembed noframes noscript object optgroup option "
     "script select style svg template textarea title video".split())
+#: Elements whose text is never part of a page's text, whatever its amount.
+NO_TEXT = frozenset("datalist nav object optgroup option select svg".split())
+#: Content if it stands inside of an article or main element.
+KEPT_IN_ARTICLE = frozenset({"label", "math"})
 #: A start tag ends open elements of these names, up to the nearest of the second set.
 ENDS = {
     "p": (frozenset({"p"}), frozenset()), "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})), "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})), "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "option": (frozenset({"option"}), frozenset({"select"})),
 }
+_NAMES = (
+    r"(?:ads?|advert[a-z]*|adsense|adbox|banner|promo|promotion|sponsor[a-z]*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|notice|cookies?|consent|"
+    r"gdpr|popup|modal|newsletter|subscribe|subscription|comments?|disqus|replies|respond|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|skip|login|signup)")
+#: A whole class token or id that names no content: one of the names, or a compound of names and of words that only say where or what kind of box.
+#: Compounds that say what a page has (has-sidebar, no-comments) or how it behaves (sticky-header) are names of wrappers.
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|adsense|adbox|banner|promo|promotion|sponsor\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|notice|cookies?|consent|"
-    r"gdpr|popup|modal|newsletter|subscribe|subscription|comments?|disqus|replies|respond|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|skip|login|signup)(?:$|[\s_-])", re.I)
+    rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|google|gpt|dfp|js|block|post|article|entry|blog|sub|sign|\d+)[-_]+)*(?<!post-)(?<!article-)(?<!entry-)(?<!post_)(?<!article_)(?<!entry_)"
+    rf"{_NAMES}(?:[-_]+(?:{_NAMES}|box|block|bar|area|section|list|links?|item|items|panel|slot|unit|container|wrapper|wrap|inner|content|body|buttons?|icons?|media|overlay|form|posts?|articles?|"
+    rf"text|title|top|bottom|left|right|primary|secondary|main|\d+))*"
+    rf"|(?:post|article|entry)[-_]+(?!header){_NAMES}(?:[-_]+(?:{_NAMES}|box|block|bar|area|section|list|links?|items?|container|wrapper|wrap|inner|buttons?|icons?|\d+))*", re.I)
+#: Names of what readers or other pages say: its amount of text does not make it the page's content.
+OF_OTHERS = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|respond|related|recommended)(?:$|[-_])", re.I)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
-def dropped(name: str, rest: str, in_article: bool) -> bool:
-    """Whether markup itself says that an element is no content."""
-    if name in DROPPED or name == "header" and not in_article:
-        return True
+def dropped(name: str, rest: str, in_article: bool) -> str:
+    """Why markup itself says that an element is no content: "tag", or "name" or "others" for a class or id; else empty."""
+    if name in DROPPED and not (in_article and name in KEPT_IN_ARTICLE) or name == "header" and not in_article:
+        return "tag"
     if not rest or name in ("html", "body", "main"):
-        return False
+        return ""
+    why = ""
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and NOT_CONTENT.search(value):
-            return True
+            return "tag"
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return "tag"
+        if key in ("class", "id"):
+            for token in filter(NOT_CONTENT.fullmatch, html.unescape(value).split()):
+                why = "others" if why == "others" or OF_OTHERS.search(token) else "name"
+    return why
+
+
+def chain(links: tuple) -> list[int]:
+    """The numbers of a linked list (rest, number), outermost first."""
+    out = []
+    while links:
+        links, number = links
+        out.append(number)
+    return out[::-1]
 
 
 class Page:
     """Elements as parallel lists in page order, and pieces of text: (element, is_break, raw text)."""
 
     def __init__(self, source: str):
-        self.names, self.parents, self.drop, self.in_article = ["#page"], [-1], [False], [False]
+        self.names, self.parents, self.why, self.in_article = ["#page"], [-1], [""], [False]
         self.starts, self.ends = [0], [len(source)]
         self.pieces: list[tuple[int, str | None]] = []
         self.source = source
         self._read(source)
+        spared = self._spared() if "name" in self.why or "others" in self.why else frozenset()
+        self.drop = [False]
+        for element in range(1, len(self.names)):
+            self.drop.append(self.drop[self.parents[element]] or self.why[element] != "" and element not in spared)
+
+    def _spared(self) -> set[int]:
+        """Elements that a class or id names no content but that hold the page's only articles, or most of its text."""
+        spared: set[int] = set()
+        # named elements around each element, itself included; None below an element that goes by its tag
+        named: list[tuple | None] = [()]
+        text = [0] * len(self.names)
+        hidden = [False]
+        for element in range(1, len(self.names)):
+            above, why = named[self.parents[element]], self.why[element]
+            named.append(None if above is None or why == "tag" else (above, element) if why else above)
+            hidden.append(hidden[self.parents[element]] or self.names[element] in RAW or self.names[element] in NO_TEXT)
+        for kind in ("article", "main"):
+            around = [chain(named[e]) for e, n in enumerate(self.names) if n == kind and named[e] is not None]
+            if around:
+                least = min(map(len, around))
+                spared.update(e for c in around for e in c[:least])
+                break
+        for element, piece in self.pieces:
+            if piece and not hidden[element]:
+                text[element] += len(piece.strip())
+        for element in range(len(text) - 1, 0, -1):
+            text[self.parents[element]] += text[element]
+        shown = [True]
+        for element in range(1, len(text)):
+            if self.why[element] == "name" and shown[self.parents[element]] and 2 * text[element] > text[0]:
+                spared.add(element)
+            shown.append(shown[self.parents[element]] and (not self.why[element] or element in spared))
+        return spared
 
     def _read(self, source: str) -> None:
         stack, at = [0], 0
@@ -120,8 +179,8 @@ class Page:
             inside = self.in_article[parent] or name in ("article", "main")
             self.names.append(name)
             self.parents.append(parent)
-            self.drop.append(self.drop[parent] or dropped(name, rest, inside))
-            self.in_article.append(inside and not self.drop[-1])
+            self.why.append(dropped(name, rest, inside))
+            self.in_article.append(inside)
             self.starts.append(m.start())
             self.ends.append(len(source))
             if rest.endswith("/") and name not in BLOCKS and name not in RAW:
@@ -161,6 +220,7 @@ class Page:
             if open_name in borders or open_name in BLOCKS and open_name != "p" and name not in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 return
 
+    @cached_property
     def hashes(self) -> list[tuple[int, int]]:
         """(element, hash) of the block elements that hold no article."""
         around = set()
@@ -192,7 +252,7 @@ class Page:
         """The blocks of text that remain without the subtrees of ``template`` hashes."""
         gone = list(self.drop)
         if template:
-            for element, value in self.hashes():
+            for element, value in self.hashes:
                 if value in template:
                     gone[element] = True
         for element in range(1, len(gone)):
@@ -228,7 +288,7 @@ def with_known(rows: DataFrame, found: DataFrame, max_broadcast: int) -> tuple[D
         shared = rows.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in found.collect()), np.int64))
 
         def known(page: Page, host: str | None, own: list[int] | None) -> set[int]:
-            every, values = shared.value, [v for _, v in page.hashes()]
+            every, values = shared.value, [v for _, v in page.hashes]
             sites = np.array([site_hash(host, v) for v in values], np.int64)
             at = np.searchsorted(every, sites)
             return {v for v, s, k in zip(values, sites, at) if k < len(every) and every[k] == s}
@@ -239,14 +299,14 @@ def with_known(rows: DataFrame, found: DataFrame, max_broadcast: int) -> tuple[D
         for batch in batches:
             keys, sites = [], []
             for host, source, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                own = {site_hash(host, v) for _, v in Page(source.as_py() or "").hashes()}
+                own = {site_hash(host, v) for _, v in Page(source.as_py() or "").hashes}
                 keys += [key] * len(own)
                 sites += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sites, pa.int64())], names=["row_key", "site_hash"])
 
     def known(page: Page, host: str | None, own: list[int] | None) -> set[int]:
         hits = set(own or ())
-        return {v for _, v in page.hashes() if site_hash(host, v) in hits} if hits else set()
+        return {v for _, v in page.hashes if site_hash(host, v) in hits} if hits else set()
 
     columns = rows.columns
     rows = rows.withColumn("row_key", F.xxhash64("host", "html"))
@@ -265,7 +325,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int =
         for batch in batches:
             sites = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sites += {site_hash(host, value) for _, value in Page(source.as_py()).hashes()}
+                sites += {site_hash(host, value) for _, value in Page(source.as_py()).hashes}
             yield pa.RecordBatch.from_arrays([pa.array(sites, pa.int64())], names=["site_hash"])
 
     found = pages.mapInArrow(run, "site_hash long").groupBy("site_hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("site_hash")

@@ -96,6 +96,25 @@ def test_main_text_of_one_page():
     assert html_extract.Page("<div>" * 5000 + "deep").text(set()) == "deep"
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "layout with-sidebar", "page no-comments", "sticky-header layout", "post widget", "sidebar", "comments"])
+def test_layout_wrappers_are_no_boilerplate(name):
+    for kind in ("article", "main"):
+        page = f'<body><div class="{name}"><{kind}><h1>Head</h1><p>Body text</p></{kind}><div class="ad">buy</div><div id="site-footer">end</div></div></body>'
+        assert html_extract.Page(page).text(set()) == "Head Body text"
+    if name != "comments":
+        assert html_extract.Page(f'<body><div class="{name}"><p>{prose(30, 1)}</p><div class="cookie-notice">ok</div></div><p>end</p></body>').text(set()) == prose(30, 1) + " end"
+
+
+def test_names_that_stay_and_go():
+    for name in ("ad", "ad-slot", "google-ad", "cookie-consent", "share-buttons", "social-share", "post-comments", "comment-list", "related-posts", "x comments", "sidebar_left", "top-nav", "ads_1", "article-footer"):
+        assert html_extract.Page(f'<article><p>{prose(9, 1)}</p><div class="{name}">gone</div></article>').text(set()) == prose(9, 1), name
+    for name in ("has-sidebar", "no-comments", "sticky-header", "entry-header", "with-ads", "navigable", "socialism"):
+        assert html_extract.Page(f'<article><p>{prose(9, 1)}</p><div class="{name}">kept</div></article>').text(set()) == prose(9, 1) + " kept", name
+    # a long thread of comments is no content, nor are teasers beside the article
+    assert html_extract.Page(f'<article><p>Short.</p><div id="comments">{prose(90, 2)}</div></article><div class="related"><article>teaser</article></div>').text(set()) == "Short."
+    assert html_extract.Page("<article><p>Let <math><mi>x</mi></math> be</p><label>Fig. 1</label></article><label>off</label>").text(set()) == "Let x be Fig. 1"
+
+
 @pytest.mark.parametrize("max_broadcast", [10, 0])
 def test_site_template(spark, max_broadcast):
     body = "<html><body><div>Welcome to our site</div><p>{}</p><section><p>{}</p><p>All rights kept</p></section></body></html>"
