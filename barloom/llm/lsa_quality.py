@@ -130,14 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [count_terms(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
+            vectors = [count_terms(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array(vectors, pa.binary())], names=["quality", "vector"])
 
     rows = texts.mapInArrow(count, "quality double, vector binary").orderBy(F.xxhash64("vector")).limit(sample).collect()
     if not rows:
         return None
-    counts = np.stack([np.frombuffer(r.vector, np.float16) for r in rows]).astype(np.float32)
-    return Model(np.minimum(counts, 60000), np.array([r.quality for r in rows]))
+    counts = np.stack([np.frombuffer(r.vector, np.float32) for r in rows])
+    return Model(counts, np.array([r.quality for r in rows]))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -152,7 +152,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 counts = np.stack([count_terms(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))])
-                scores = shared.value.score(np.minimum(counts, 60000))
+                scores = shared.value.score(counts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(run, out)

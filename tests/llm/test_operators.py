@@ -290,6 +290,21 @@ def test_nearest_neighbours_are_exact():
         assert score == pytest.approx(sum(w * y for w, (_, y) in zip(weight, cosine)) / sum(weight), rel=1e-3)
 
 
+def test_counts_of_long_texts_are_whole(docs_of, spark, monkeypatch):
+    texts = ["ab " * 90_001 + "cd, " * 70_003, "xy. " * 3001 + prose(200, 1), prose(300, 2)]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % lsa_quality.HELD_OUT_FOLDS][:3]
+    docs, labels = docs_of(zip(ids, texts)), spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    counts = np.stack([lsa_quality.count_terms(t) for t in texts])
+    fitted = []
+    monkeypatch.setattr(lsa_quality, "Model", lambda c, labels: fitted.append(c))
+    lsa_quality.fit(docs, labels)
+    monkeypatch.undo()
+    assert {row.tobytes() for row in fitted[0]} == {row.tobytes() for row in counts}
+    model = lsa_quality.Model(np.vstack([counts, np.random.default_rng(2).poisson(0.3, (40, lsa_quality.TERMS))]).astype(np.float32), np.arange(43) % 2)
+    got = {r.doc_id: r.quality_score for r in lsa_quality.scored(docs, model).collect()}
+    assert [got[i] for i in ids] == pytest.approx(model.score(counts).tolist(), rel=1e-5)
+
+
 def test_classifier_on_held_out_rows(docs_of, spark):
     good = [(i, prose(50, i)) for i in range(60)]
     bad = [(100 + i, " ".join(w + "***" for w in prose(30, i).split())) for i in range(60)]
