@@ -12,6 +12,7 @@ row. A null id is never held out. Without any labelled row to learn from every s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -82,9 +83,10 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     split = CLASSES * CLASSES
     x = counts.copy()
     x[:, :split] *= PER / np.maximum(x[:, :split].sum(axis=1, keepdims=True), 1)
-    x = np.log1p(x) * idf
+    np.log1p(x, out=x)
+    x *= idf
     for part, weight in ((x[:, :split], 1.0), (x[:, split:], SHAPE_WEIGHT)):
-        norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        norm = np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
         part *= weight / np.maximum(norm, 1e-12)
     return x
 
@@ -130,14 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [count_terms(t.as_py()).tobytes() for t in batch.column(1)]
+            vectors = [zlib.compress(count_terms(t.as_py()).tobytes(), 1) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array(vectors, pa.binary())], names=["quality", "vector"])
 
     rows = texts.mapInArrow(count, "quality double, vector binary").orderBy(F.xxhash64("vector")).limit(sample).collect()
     if not rows:
         return None
-    counts = np.stack([np.frombuffer(r.vector, np.float32) for r in rows])
-    return Model(counts, np.array([r.quality for r in rows]))
+    counts, qualities = np.empty((len(rows), TERMS), np.float32), np.array([r.quality for r in rows])
+    for k, r in enumerate(rows):
+        counts[k] = np.frombuffer(zlib.decompress(r.vector), np.float32)
+    del rows
+    return Model(counts, qualities)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
