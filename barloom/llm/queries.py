@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, order_minhash, quality_rules, sharding, suffix_dedup, url_rules
+from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, order_minhash, quality_rules, sharding, suffix_dedup, token_align, url_rules, whitening
 from barloom.llm.common import LOWER, UPPER, table
 
 #: The white space of the contracts, in DuckDB.
@@ -186,6 +186,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op8_suffix_dedup, op9_sharding, op10_order_minhash)
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.alignment_statistics(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it exceeds a long, which takes some 10 million distinct vectors of this kind."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+_ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op8_suffix_dedup, op9_sharding, op10_order_minhash,
+        op11_token_alignment, op12_embedding_whitening)
 QUERIES = {f.__name__: f for f in _ALL}
 STATEMENTS = {"op1_line_dedup": OP1_SQL, "op3_quality_rules": _op3_sql(), "op5_decontamination": OP5_SQL, "op7_url_filters": _op7_sql()}
