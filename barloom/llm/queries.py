@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, html_extract, line_dedup, lsa_quality, order_minhash, quality_rules, sharding, suffix_dedup, token_align, url_rules, whitening
+from barloom.llm import bpe, collision_neardup, decontaminate, html_extract, line_dedup, lsa_quality, order_minhash, quality_rules, sharding, suffix_dedup, token_align, url_rules, whitening
 from barloom.llm.common import LOWER, UPPER, table
 
 #: The white space of the contracts, in DuckDB.
@@ -197,7 +197,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op13_collision_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_neardup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (op1_line_dedup, op2_html_extraction, op3_quality_rules, op4_byte_bpe, op5_decontamination, op6_quality_classifier, op7_url_filters, op8_suffix_dedup, op9_sharding, op10_order_minhash,
-        op11_token_alignment, op12_embedding_whitening)
+        op11_token_alignment, op12_embedding_whitening, op13_collision_neardup)
 QUERIES = {f.__name__: f for f in _ALL}
 STATEMENTS = {"op1_line_dedup": OP1_SQL, "op3_quality_rules": _op3_sql(), "op5_decontamination": OP5_SQL, "op7_url_filters": _op7_sql()}
