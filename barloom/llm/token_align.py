@@ -1,6 +1,7 @@
 """Alignment of two tokenisations of a text by whitespace-token anchors and memoised windows.
 
-Each text is tokenised whole by both vocabularies: A (byte-level BPE) encodes a space and the text, B (pieces with byte fallback)
+Each text is tokenised whole by both vocabularies: A (byte-level BPE, whose ids follow its merges, which is checked, so that ids are ranks)
+encodes a space and the text, B (pieces with byte fallback)
 the text, to which it adds that space. Where both have a token that begins with a space at the same byte, and so both have a token that ends there, is an
 anchor; that the ends agree is checked on the running byte counts. Between anchors lie windows of few tokens. How a window's
 tokens group, and which of its ends meet, depends on its ids alone, so it is worked out once for each pair of id tuples and remembered,
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import os
+import json
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from barloom.llm.common import stored
 
 #: Windows in each of two generations of the memory.
-MAX_WINDOWS = 100_000
+MAX_WINDOWS = 200_000
 #: Tokens of a window up to which it is remembered.
 MAX_REMEMBERED = 64
 FREQUENT = 500_000
@@ -48,53 +50,55 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    def __init__(self, file_a: bytes, file_b: bytes):
+    def __init__(self, file_a: bytes, file_b: bytes, pattern: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_str(file_a.decode())
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=file_b)
         alphabet = byte_alphabet()
-        bytes_a = [bytes(alphabet[c] for c in token) if token is not None and all(c in alphabet for c in token) else b""
-                   for token in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
+        model = json.loads(file_a)
+        special = {t["content"] for t in model["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        made = [ranks[b"".join(bytes(alphabet[c] for c in part) for part in (m if isinstance(m, list) else m.split(" ")))] for m in model["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("the merges of A must make tokens of rising ids, so that ids are ranks")
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=file_b)
+        bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            bytes_a[i] = token
         bytes_b = [bytes((int(self.b.id_to_piece(i)[3:5], 16),)) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.bytes_a, self.bytes_b = bytes_a, bytes_b
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
         self.marks_a, self.marks_b = (np.array([x[:1] == b" " for x in t]) for t in (bytes_a, bytes_b))
-        self.known: dict[tuple, tuple] = {}
-        self.older: dict[tuple, tuple] = {}
-
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and B; none where either doesn't spell a space and the text."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        out = []
-        for text, a in zip(texts, ids_a):
-            b = self.b.encode(text, num_threads=1) if text else []
-            raw = b" " + text.encode()
-            spelt = bool(text) and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((a, b) if spelt else ([], []))
-        return out
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, str, list[int], list[int]]:
-        """Groups of a window, as a number, as text, and the last ids of each, whose ends meet: both byte counts run until they agree."""
-        parts, left, right = [], [], []
+        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.older: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by A and B; none where B doesn't spell a space and the text (A always does)."""
+        if text:
+            b = self.b.encode(text, num_threads=1)
+            if b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode():
+                return self.a.encode_to_numpy(" " + text, disallowed_special=()), np.array(b, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
+        """Groups of a window of ids, as text, and the linked pairs, the last ids of each group: both byte counts run until they agree."""
+        a, b, bytes_a, bytes_b = array("I", a), array("I", b), self.bytes_a, self.bytes_b
+        parts, pairs = [], []
         i = j = from_i = from_j = 0
         ahead = 0  # bytes by which A's tokens are ahead of B's
         while i < len(a) or j < len(b):
             if ahead <= 0:
-                ahead += len(self.bytes_a[a[i]])
+                ahead += len(bytes_a[a[i]])
                 i += 1
             else:
-                ahead -= len(self.bytes_b[b[j]])
+                ahead -= len(bytes_b[b[j]])
                 j += 1
             if not ahead:
                 parts.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                left.append(a[i - 1])
-                right.append(b[j - 1])
+                pairs.append((b[j - 1] << 32) + a[i - 1])
                 from_i, from_j = i, j
-        return len(parts), ";".join(parts), left, right
+        return ";".join(parts), array("q", pairs).tobytes()
 
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the tokens, other than the first, that begin with a space at the same byte in both."""
@@ -103,31 +107,31 @@ class Aligner:
         _, at_a, at_b = np.intersect1d(ends_a[marked_a], ends_b[marked_b], assume_unique=True, return_indices=True)
         return marked_a[at_a] + 1, marked_b[at_b] + 1
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, str, list[int], list[int]]:
-        """Number of groups, groups as text, and the linked ids of A and of B."""
-        cuts_a, cuts_b = self.anchors(np.array(a), np.array(b))
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups as text, and the linked pairs, 2 ** 32 * B id + A id."""
+        cuts_a, cuts_b = self.anchors(a, b)
         if len(self.known) > MAX_WINDOWS:  # windows that come again move to the new generation
             self.older, self.known = self.known, {}
-        known, older, parts = self.known, self.older, []
+        known, older, texts, pairs = self.known, self.older, [], []
+        raw_a, raw_b = a.tobytes(), b.tobytes()
         i = j = 0
-        for end_i, end_j in zip([*cuts_a.tolist(), len(a)], [*cuts_b.tolist(), len(b)]):
-            key = tuple(a[i:end_i]), tuple(b[j:end_j])
+        for end_i, end_j in zip([*(4 * cuts_a).tolist(), len(raw_a)], [*(4 * cuts_b).tolist(), len(raw_b)]):
+            key = raw_a[i:end_i], raw_b[j:end_j]
             part = known.get(key)
             if part is None:
                 part = older.get(key) or self.window(*key)
-                if end_i - i + end_j - j <= MAX_REMEMBERED:
+                if end_i - i + end_j - j <= 4 * MAX_REMEMBERED:
                     known[key] = part
-            parts.append(part)
+            texts.append(part[0])
+            pairs.append(part[1])
             i, j = end_i, end_j
-        linked_a = [x for p in parts for x in p[2]]
-        linked_b = [x for p in parts for x in p[3]]
-        return sum(p[0] for p in parts), ";".join([p[1] for p in parts]), linked_a, linked_b
+        return ";".join(texts), np.frombuffer(b"".join(pairs), np.int64)
 
 
 _ALIGNERS: dict[int, Aligner] = {}
 
 
-def _aligner(files: tuple[bytes, bytes]) -> Aligner:
+def _aligner(files: tuple[bytes, bytes, str]) -> Aligner:
     """This worker's aligner, made once."""
     key = hash(files)
     if key not in _ALIGNERS:
@@ -136,13 +140,13 @@ def _aligner(files: tuple[bytes, bytes]) -> Aligner:
     return _ALIGNERS[key]
 
 
-def align(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
+def align(docs: DataFrame, file_a: str, file_b: str, pattern: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, numbers) of every row of ``docs`` (doc_id, text).
 
     ``pairs`` are the distinct linked id pairs of the text, 2 ** 32 * B id + A id, and ``numbers`` how often each is linked there.
     The two vocabulary files, of fixed size, are read by the driver and broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((Path(file_a).read_bytes(), Path(file_b).read_bytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((Path(file_a).read_bytes(), Path(file_b).read_bytes(), pattern))
     docs = docs.select("doc_id", "text")
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, numbers array<int>"
 
@@ -153,15 +157,11 @@ def align(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 rows, pairs, numbers = [], [], []
-                for a, b in aligner.tokens([t or "" for t in batch.column(1).to_pylist()]):
-                    if not a:
-                        rows.append((0, 0, 0, 0, ""))
-                        pairs.append(np.zeros(0, np.int64))
-                        numbers.append(np.zeros(0, np.int32))
-                        continue
-                    n, text, left, right = aligner.align(a, b)
-                    rows.append((len(a), len(b), n, len(left), hashlib.sha256(text.encode()).hexdigest()))
-                    own, often = np.unique((np.array(right, np.int64) << 32) + np.array(left, np.int64), return_counts=True)
+                for text in batch.column(1).to_pylist():
+                    a, b = aligner.tokens(text or "")
+                    groups, linked = aligner.align(a, b) if len(a) else ("", np.zeros(0, np.int64))
+                    rows.append((len(a), len(b), len(linked), len(linked), hashlib.sha256(groups.encode()).hexdigest() if len(a) else ""))
+                    own, often = np.unique(linked, return_counts=True)
                     pairs.append(own)
                     numbers.append(often.astype(np.int32))
                 offsets = pa.array(np.cumsum([0, *map(len, pairs)]).astype(np.int32))
@@ -223,14 +223,7 @@ def summed(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> D
         *(f.name for f in keep), (F.col("n_best") + F.coalesce("__best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("__sum", F.lit(0))).alias("count_sum"))
 
 
-def alignment_statistics(docs: DataFrame, file_a: str, file_b: str, frequent: int = FREQUENT) -> DataFrame:
+def alignment_statistics(docs: DataFrame, file_a: str, file_b: str, pattern: str, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum) of every row of ``docs``."""
-    aligned = stored(align(docs, file_a, file_b), "align-docs")
+    aligned = stored(align(docs, file_a, file_b, pattern), "align-docs")
     return summed(aligned, pair_counts(aligned), frequent)
-
-
-def groups_of(text: str, file_a: str, file_b: str) -> str:
-    """The groups of one text, as hashed: for looking at single cases."""
-    aligner = Aligner(Path(file_a).read_bytes(), Path(file_b).read_bytes())
-    a, b = aligner.tokens([text])[0]
-    return aligner.align(a, b)[1] if a else ""
