@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import FAVORABLE, HOSTILE, NEUTRAL, RESEARCH, TRADING_DAYS
 from barloom.functions import rolling as R
+from barloom.functions.sliding import rolling_quantiles
 from barloom.functions.text import div
 from barloom.operators.price import TRUE_RANGE, with_raw_rsi
 
@@ -51,11 +52,8 @@ def forward_metrics(bars: DataFrame, horizon: int = RESEARCH.horizon) -> DataFra
 
 
 def rolling_threshold(df: DataFrame, specs: dict[str, tuple[str, float]], n: int = TRADING_DAYS) -> DataFrame:
-    """Rolling quantiles, filled backwards over the warm-up rows: ``{output: (column, quantile)}``."""
-    quantiles = [f"{R.quantile(column, q, n)} AS _q_{out}" for out, (column, q) in specs.items()]
-    filled = [f"{R.back_fill(f'_q_{out}')} AS {out}" for out in specs]
-    drop = ", ".join(f"_q_{out}" for out in specs)
-    return df.selectExpr("*", *quantiles).selectExpr(f"* EXCEPT ({drop})", *filled)
+    """Rolling quantiles, filled backwards over the warm-up rows: ``{output: (column, quantile)}``; one sliding pass for all."""
+    return rolling_quantiles(df, specs, n, fill_back=True)
 
 
 def label_regimes(bars: DataFrame, horizon: int = RESEARCH.horizon, lookback: int = TRADING_DAYS) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import RESEARCH
+from barloom.functions.sliding import span_quantiles
 from barloom.functions.text import div
+from barloom.operators import moments
 
 # Feature families the rule specialist chooses from, in order of preference between equals.
 MOMENTUM = [
@@ -33,10 +35,14 @@ def fit_rules(
     One wide aggregate, so rows are not multiplied by features. A group is a symbol or one of its windows,
     bounded by the calendar; for a group pooled over many symbols pass ``quantile='percentile_approx'``.
     """
-    cuts = {**{c: (0.6,) for c in momentum}, **{c: (0.2, 0.8) for c in rsi}}
+    cuts = rule_cuts(momentum, rsi)
     aggs = [F.expr(f"abs({_rho(c, target)}) AS _r_{c}") for c in [*momentum, *rsi, *ma]]
     aggs += [F.expr(f"{quantile}({c}, {q}) AS _q{i}_{c}") for c, qs in cuts.items() for i, q in enumerate(qs)]
-    stats = train.groupBy(*by).agg(*aggs)
+    return pick_rules(train.groupBy(*by).agg(*aggs), by, momentum, rsi, ma)
+
+
+def pick_rules(stats: DataFrame, by: list[str], momentum: list[str] = MOMENTUM, rsi: list[str] = RSI, ma: list[str] = MA_RATIO) -> DataFrame:
+    """The best feature of each family and its thresholds, from absolute correlations ``_r_*`` and quantiles ``_q*_*``."""
 
     def best(family: list[str], n_cuts: int) -> str:
         rows = []
@@ -52,6 +58,30 @@ def fit_rules(
     )
 
 
+def rule_cuts(momentum: list[str] = MOMENTUM, rsi: list[str] = RSI) -> dict[str, tuple[float, ...]]:
+    """The quantiles of each feature that its family's rule compares with."""
+    return {**{c: (0.6,) for c in momentum}, **{c: (0.2, 0.8) for c in rsi}}
+
+
+#: Typical values, subtracted before squares are summed.
+CENTRES = {**{c: 50.0 for c in RSI}, **{c: 1.0 for c in MA_RATIO}}
+
+
+def walk_forward_fits(
+    rows: DataFrame, windows: DataFrame, target: str, train_days: int = RESEARCH.train_days, test_days: int = RESEARCH.test_days,
+    momentum: list[str] = MOMENTUM, rsi: list[str] = RSI, ma: list[str] = MA_RATIO, news: list[str] = NEWS,
+) -> DataFrame:
+    """Rules and news weights of every (symbol, window_id) from bucket sums and one sliding pass; ``rows`` have ``bucket``."""
+    by = ["symbol", "window_id"]
+    sums = moments.window_moments(rows, windows, [*momentum, *rsi, *ma, *news], [target], train_days, test_days, CENTRES)
+    days = moments.bucket_days(train_days, test_days)
+    cuts = span_quantiles(rows, rule_cuts(momentum, rsi), train_days // days, test_days // days)
+    rates = [f"abs({moments.correlation(c, target)}) AS _r_{c}" for c in [*momentum, *rsi, *ma]]
+    weights = [f"coalesce({moments.correlation(c, target)}, 0D) AS w_{c}" for c in news]
+    stats = sums.selectExpr(*by, *rates, *weights).join(cuts, by)
+    return pick_rules(stats, [*by, *(f"w_{c}" for c in news)], momentum, rsi, ma)
+
+
 def _picked(name: str, family: list[str]) -> str:
     return f"CASE {name} " + " ".join(f"WHEN '{c}' THEN {c}" for c in family) + " END"
 
@@ -61,19 +91,44 @@ def score_rules(
     momentum: list[str] = MOMENTUM, rsi: list[str] = RSI, ma: list[str] = MA_RATIO,
 ) -> DataFrame:
     """Votes of 0.4, plus or minus 0.3, and 0.3; a positive sum means up. Confidence is always 0.5."""
-    out = df.join(rules, by)
+    out = df.join(rules, by).selectExpr("*", f"{_rule_prob(momentum, rsi, ma)} AS prob_up", "0.5D AS confidence")
+    keep = [c for c in df.columns if c not in ("signal", "model")]
+    return out.selectExpr(*keep, "'rules' AS model", "prob_up", "confidence", f"{_rule_signal(min_confidence)} AS signal")
+
+
+def _rule_prob(momentum: list[str], rsi: list[str], ma: list[str]) -> str:
     r = _picked("rsi_col", rsi)
     votes = (
         f"IF({_picked('momentum_col', momentum)} > momentum_threshold, 0.4D, 0D) "
         f"+ (IF({r} < rsi_oversold, 0.3D, 0D) + IF({r} > rsi_overbought, -0.3D, 0D)) "
         f"+ IF({_picked('ma_col', ma)} > ma_threshold, 0.3D, 0D)"
     )
-    out = out.selectExpr("*", f"IF({votes} > 0, 1D, 0D) AS prob_up", "0.5D AS confidence")
-    keep = [c for c in df.columns if c not in ("signal", "model")]
-    return out.selectExpr(
-        *keep, "'rules' AS model", "prob_up", "confidence",
-        f"CASE WHEN confidence < {min_confidence} THEN 0 WHEN prob_up > 0.5D THEN 1 ELSE -1 END AS signal",
-    )
+    return f"IF({votes} > 0, 1D, 0D)"
+
+
+def _rule_signal(min_confidence: float) -> str:
+    return f"CASE WHEN confidence < {min_confidence} THEN 0 WHEN prob_up > 0.5D THEN 1 ELSE -1 END"
+
+
+def _sentiment_prob(features: list[str]) -> str:
+    total = " + ".join(f"coalesce({c}, 0D) * w_{c}" for c in features)
+    return f"greatest(0D, least(1D, (({total}) + 1) / 2))"
+
+
+def _sentiment_signal(min_confidence: float) -> str:
+    return f"CASE WHEN confidence < {min_confidence} THEN 0 WHEN prob_up > 0.5D THEN 1 WHEN prob_up < 0.5D THEN -1 ELSE 0 END"
+
+
+def score_both(
+    fitted: DataFrame, rule_confidence: float, news_confidence: float, momentum: list[str] = MOMENTUM, rsi: list[str] = RSI,
+    ma: list[str] = MA_RATIO, news: list[str] = NEWS,
+) -> DataFrame:
+    """A row of each specialist per row of ``fitted``, which has features, rules and news weights: one pass, no union."""
+    both = fitted.selectExpr("*", f"{_rule_prob(momentum, rsi, ma)} AS _rules", f"{_sentiment_prob(news)} AS _tone")
+    used = {"momentum_col", "momentum_threshold", "rsi_col", "rsi_oversold", "rsi_overbought", "ma_col", "ma_threshold", *(f"w_{c}" for c in news)}
+    keep = [c for c in fitted.columns if c not in used]
+    long = both.selectExpr(*keep, "inline(array(struct('rules' AS model, _rules AS prob_up, 0.5D AS confidence), struct('sentiment' AS model, _tone AS prob_up, 2 * abs(_tone - 0.5D) AS confidence)))")
+    return long.selectExpr("*", f"IF(model = 'rules', {_rule_signal(rule_confidence)}, {_sentiment_signal(news_confidence)}) AS signal")
 
 
 def fit_sentiment(train: DataFrame, target: str, by: list[str] = ["symbol"], features: list[str] = NEWS) -> DataFrame:
@@ -95,13 +150,10 @@ def score_sentiment(
         # Pooled weights are one row, keyed by a constant.
         one = F.broadcast(weights.selectExpr("*", "0 AS _pool"))
         joined = df.selectExpr("*", "0 AS _pool").join(one, "_pool")
-    total = " + ".join(f"coalesce({c}, 0D) * w_{c}" for c in features)
     keep = [c for c in df.columns if c not in ("signal", "model")]
-    out = joined.selectExpr(*keep, f"greatest(0D, least(1D, (({total}) + 1) / 2)) AS prob_up")
+    out = joined.selectExpr(*keep, f"{_sentiment_prob(features)} AS prob_up")
     out = out.selectExpr("*", "'sentiment' AS model", "2 * abs(prob_up - 0.5D) AS confidence")
-    return out.selectExpr(
-        "*", f"CASE WHEN confidence < {min_confidence} THEN 0 WHEN prob_up > 0.5D THEN 1 WHEN prob_up < 0.5D THEN -1 ELSE 0 END AS signal"
-    )
+    return out.selectExpr("*", f"{_sentiment_signal(min_confidence)} AS signal")
 
 
 def transfer(df: DataFrame, train_symbols: list[str], target: str = "actual_direction", features: list[str] = NEWS,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import RESEARCH
 from barloom.functions import rolling as R
-from barloom.operators.align import assign_windows
+from barloom.operators.moments import bucket_days
 
 
 def windows_calendar(
@@ -16,23 +16,23 @@ def windows_calendar(
     """Fixed-length rolling windows in calendar days over trading rows.
 
     A window exists while its test span ends by the last date; windows with too few training rows or an
-    empty test span are left out. Row counts come from one pass over the arithmetic window numbers.
+    empty test span are left out. Rows are counted once per bucket of days, and windows add up their buckets.
     """
-    span = df.groupBy("symbol").agg(F.expr("min(date) AS first_date"), F.expr("max(date) AS last_date"))
+    days = bucket_days(train_days, test_days)
+    span, step = train_days // days, test_days // days
+    dated = df.selectExpr("symbol", "date", "min(date) OVER (PARTITION BY symbol) AS first_date", "max(date) OVER (PARTITION BY symbol) AS last_date")
+    buckets = dated.groupBy("symbol", "first_date", "last_date", F.expr(f"datediff(date, first_date) DIV {days} AS bucket")).agg(F.expr("count(*) AS _rows"))
     last = f"floor((datediff(last_date, first_date) - {train_days}) / {test_days})"
-    numbered = span.where(f"{last} >= 1").selectExpr(
-        "symbol", "first_date", f"explode(sequence(1, CAST({last} AS INT))) AS window_id"
+    # each window's empty row at its test start rides on the symbol's first bucket, so the rows are read once
+    marks = f"IF(bucket = 0 AND {last} >= 1, transform(sequence(1, greatest(1, CAST({last} AS INT))), w -> struct(CAST((w - 1) * {step} + {span} AS BIGINT) AS bucket, 0L AS _rows, w AS window_id)), array())"
+    rows = buckets.selectExpr("symbol", "first_date", f"inline(concat(array(struct(CAST(bucket AS BIGINT) AS bucket, _rows, CAST(NULL AS INT) AS window_id)), {marks}))")
+    counted = rows.selectExpr(
+        "symbol", "window_id", "first_date", f"date_add(first_date, (window_id - 1) * {test_days}) AS train_start",
+        f"date_add(first_date, {train_days} + (window_id - 1) * {test_days}) AS test_start", f"date_add(first_date, {train_days} + window_id * {test_days}) AS test_end",
+        f"coalesce(sum(_rows) OVER (PARTITION BY symbol ORDER BY bucket RANGE BETWEEN {span} PRECEDING AND 1 PRECEDING), 0) AS train_rows",
+        f"coalesce(sum(_rows) OVER (PARTITION BY symbol ORDER BY bucket RANGE BETWEEN CURRENT ROW AND {step - 1} FOLLOWING), 0) AS test_rows",
     )
-    windows = numbered.selectExpr(
-        "symbol", "window_id", "first_date",
-        f"date_add(first_date, (window_id - 1) * {test_days}) AS train_start",
-        f"date_add(first_date, {train_days} + (window_id - 1) * {test_days}) AS test_start",
-        f"date_add(first_date, {train_days} + window_id * {test_days}) AS test_end",
-    )
-    counts = assign_windows(df.select("symbol", "date"), windows, test_days, train_days).groupBy("symbol", "window_id").agg(
-        F.expr("count_if(role = 'train') AS train_rows"), F.expr("count_if(role = 'test') AS test_rows")
-    )
-    return windows.join(counts, ["symbol", "window_id"]).where(f"train_rows >= {min_rows} AND test_rows > 0")
+    return counted.where(f"window_id IS NOT NULL AND train_rows >= {min_rows} AND test_rows > 0")
 
 
 def windows_rows(df: DataFrame, train: int = 500, step: int = 60, mode: str = "rolling") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barloom.config import LOOKBACK_WINDOWS, MA_WINDOWS
-from barloom.operators import align, ensemble, news, price, regimes, specialists, trees
+from barloom.operators import ensemble, moments, news, price, regimes, specialists, trees
 from barloom.operators.backtest import baselines, net_returns, pnl_metrics, signal_metrics  # noqa: F401
 from barloom.operators.specialists import MA_RATIO, MOMENTUM, NEWS, RSI
 from barloom.operators.windows import time_split, windows_calendar
+from barloom.plans.stage import staged
 from workloads.oracle import ORACLE_VIEWS as V
 from workloads.q_backtest import SIG_COLS, PNL_COLS, net_sql, pnl_sql, signal_sql
 from workloads.registry import query
@@ -112,12 +115,13 @@ V["wfm_preds"] = f"""SELECT symbol, date, model, confidence, signal, actual_retu
 def _(t):
     """Both closed-form specialists fitted on every window's training span; only its test span is scored, and the spans are stitched."""
     by = ["symbol", "window_id"]
-    rows = align.assign_windows(model_rows(t).drop("split"), windows_calendar(t.bars), 21, 252)
-    train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    t = t.stage("bars")
+    windows = staged(windows_calendar(t.bars), "windows")
+    rows = staged(moments.with_bucket(model_rows(t).drop("split"), t.bars.groupBy("symbol").agg(F.expr("min(date) AS first_date")), 21), "model_rows")
+    fits = specialists.walk_forward_fits(rows, windows, "actual_direction")
+    test = moments.test_rows(rows, windows).join(fits, by)
     cols = ["symbol", "date", "model", "confidence", "signal", "actual_return", "actual_direction"]
-    rules = specialists.score_rules(test, specialists.fit_rules(train, "actual_direction", by), by, 0.4)
-    tone = specialists.score_sentiment(test, specialists.fit_sentiment(train, "actual_direction", by), by, min_confidence=0.1)
-    stitched = rules.select(*cols).unionByName(tone.select(*cols))
+    stitched = staged(specialists.score_both(test, 0.4, 0.1).select(*cols), "stitched")
     key = ["model", "symbol"]
     return signal_metrics(stitched, key).join(pnl_metrics(net_returns(stitched, key), key), key)
 

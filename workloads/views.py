@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.plans.stage import staged
+
 TABLES = ("lineitem", "part", "orders", "documents", "events")
 
 
@@ -205,17 +207,21 @@ def _closure(names, seen: dict[str, str], texts) -> None:
         seen[name] = body
 
 
-def spark_text(name: str) -> str:
+def _spark_views(name: str, stored: tuple[str, ...]) -> dict[str, str]:
     seen: dict[str, str] = {}
-    _closure([name], seen, lambda n: (VIEWS[n][0]("spark"), VIEWS[n][1]))
+    _closure([name], seen, lambda n: (VIEWS[n][0]("spark"), [d for d in VIEWS[n][1] if d not in stored]))
+    return seen
+
+
+def spark_text(name: str, stored: tuple[str, ...] = ()) -> str:
+    """The view as a statement over the given tables and the views already ``stored``."""
+    seen = _spark_views(name, stored)
     ctes = ",\n".join(f"{n} AS ({b})" for n, b in seen.items())
     return f"WITH {ctes}\nSELECT * FROM {name}"
 
 
-def tables_of(name: str) -> list[str]:
-    seen: dict[str, str] = {}
-    _closure([name], seen, lambda n: (VIEWS[n][0]("spark"), VIEWS[n][1]))
-    words = set(re.findall(r"[a-z_]+", " ".join(seen.values())))
+def tables_of(name: str, stored: tuple[str, ...] = ()) -> list[str]:
+    words = set(re.findall(r"[a-z_]+", " ".join(_spark_views(name, stored).values())))
     return [t for t in TABLES if t in words]
 
 
@@ -225,17 +231,27 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
+    def stage(self, *names: str) -> "Inputs":
+        """Inputs whose views ``names`` are computed once, now; views on top of them read what was stored."""
+        out = Inputs(self.spark, self.sf_dir)
+        out._stored = {name: staged(getattr(self, name), name) for name in names}
+        out._frames = dict(out._stored)
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         if name not in self._frames:
-            for table in tables_of(name):
+            for table in tables_of(name, tuple(self._stored)):
                 self.table(table).createOrReplaceTempView(table)
-            text = spark_text(name).replace("{cores}", str(self.spark.sparkContext.defaultParallelism))
+            for stored_name, frame in self._stored.items():
+                frame.createOrReplaceTempView(stored_name)
+            text = spark_text(name, tuple(self._stored)).replace("{cores}", str(self.spark.sparkContext.defaultParallelism))
             self._frames[name] = self.spark.sql(text)
         return self._frames[name]
 
