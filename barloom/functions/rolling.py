@@ -54,18 +54,6 @@ def change(x: str, n: int, key: str = KEY) -> str:
     return f"(try_divide({x}, {lag(x, n, key)}) - 1)"
 
 
-def quantile(x: str, q: float, n: int, key: str = KEY) -> str:
-    """Rolling quantile with linear interpolation.
-
-    The frame is gathered and sorted once per row: over sliding frames this is several times cheaper than
-    the ``percentile`` aggregate, which rebuilds a hash of counts for every row.
-    """
-    at = q * (n - 1)
-    ordered = f"sort_array(collect_list({x}) {frame(n, key)})"
-    lo, hi = f"get({ordered}, {math.floor(at)})", f"get({ordered}, {math.ceil(at)})"
-    return f"CASE WHEN size({ordered}) = {n} THEN {lo} + ({hi} - {lo}) * {at - math.floor(at)!r}D END"
-
-
 def correlation(x: str, y: str, n: int, key: str = KEY) -> str:
     """Pearson over complete pairs; null unless all ``n`` pairs are complete and both sides vary."""
     xm, ym = f"IF(({y}) IS NOT NULL, {x}, NULL)", f"IF(({x}) IS NOT NULL, {y}, NULL)"

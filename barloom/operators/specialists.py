@@ -154,16 +154,3 @@ def score_sentiment(
     out = joined.selectExpr(*keep, f"{_sentiment_prob(features)} AS prob_up")
     out = out.selectExpr("*", "'sentiment' AS model", "2 * abs(prob_up - 0.5D) AS confidence")
     return out.selectExpr("*", f"{_sentiment_signal(min_confidence)} AS signal")
-
-
-def transfer(df: DataFrame, train_symbols: list[str], target: str = "actual_direction", features: list[str] = NEWS,
-             min_confidence: float = 0.1) -> DataFrame:
-    """Fit one pooled specialist on some symbols and report accuracy and coverage on every other symbol."""
-    names = ", ".join(f"'{s}'" for s in train_symbols)
-    weights = fit_sentiment(df.where(f"symbol IN ({names})"), target, [], features)
-    scored = score_sentiment(df.where(f"symbol NOT IN ({names})"), weights, [], features, min_confidence)
-    return scored.groupBy("symbol").agg(
-        F.expr("count(*) AS n_rows"), F.expr("count_if(signal <> 0) AS trades"),
-        F.expr(f"coalesce(try_divide(CAST(count_if(signal <> 0 AND signal = {target}) AS DOUBLE), count_if(signal <> 0)), 0D) AS accuracy"),
-        F.expr("avg(IF(signal <> 0, 1D, 0D)) AS coverage"),
-    )

@@ -5,8 +5,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.functions import rolling as R
+from barloom.functions import rolling as R, sliding
 from barloom.operators import align, market, news, price, quality, regimes
 from tests.helpers import by_key, random_bars
 
@@ -68,10 +69,16 @@ def test_build_needs_one_shuffle(features, spark, pdf):
 
 
 def test_rolling_quantile_matches_pandas(spark, pdf):
-    df = spark.createDataFrame(pdf).selectExpr("symbol", "date", "volume", f"{R.quantile('volume', 0.75, 30)} AS q")
-    got = by_key(df, "symbol", "date")["q"].astype(float)
-    expected = pdf.groupby("symbol")["volume"].transform(lambda s: s.rolling(30).quantile(0.75))
-    np.testing.assert_allclose(got, expected)
+    pdf = pdf.assign(volume=pdf["volume"].where(pdf.index % 37 != 5).round(-2))  # gaps and ties
+    specs = {"q": ("volume", 0.75), "m": ("volume", 0.5), "c": ("close", 0.1)}
+    plain = sliding.rolling_quantiles(spark.createDataFrame(pdf.astype({"volume": object}).where(pdf.notna(), None)).withColumn("volume", F.col("volume").cast("double")), specs, 30)
+    got = by_key(plain, "symbol", "date")
+    for out, (column, q) in specs.items():
+        expected = pdf.groupby("symbol")[column].transform(lambda s: s.rolling(30).quantile(q))
+        np.testing.assert_allclose(got[out].astype(float), expected)
+    filled = by_key(sliding.rolling_quantiles(plain.select("symbol", "date", "volume"), {"q": specs["q"]}, 30, fill_back=True), "symbol", "date")
+    np.testing.assert_allclose(filled["q"].astype(float), got.groupby("symbol")["q"].transform(lambda s: s.astype(float).bfill()))
+    assert sliding.rolling_quantiles(plain.limit(0), {"z": specs["q"]}, 30).count() == 0
 
 
 def test_target_on_a_ten_percent_ramp(spark):

@@ -3,6 +3,7 @@
 import datetime as dt
 import tempfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -34,13 +35,66 @@ def run(stream, name, mode="append"):
     return spark.table(name)
 
 
+KS_COLS = ["account_id", "event_id", "ts", "switch_type", "action", "triggered", "halted"]
+KS_SCHEMA = "account_id long, event_id long, ts timestamp, equity double, confidence double, slippage_bps double, position double, expected_position double, api_success boolean"
+
+
+def account_rows(n, accounts, seed, step_s=40):
+    """Events of a hot account, with two thirds of the rows, and some others; calm enough that halts come late."""
+    rng = np.random.default_rng(seed)
+    t0 = dt.datetime(2024, 1, 1, 20)
+    rows = []
+    for i in range(n):
+        account = 0 if rng.random() < 0.67 else int(rng.integers(1, accounts))
+        slip = 400.0 if account == 1 and i > n // 2 else float(rng.normal(0, 2))
+        rows.append((account, i, t0 + dt.timedelta(seconds=step_s * (i // 2)), float(1000 + rng.normal(0, 6)), float(rng.uniform(0.55, 1) if account != 2 else rng.uniform(0, 1)),
+                     slip, float(rng.integers(-2, 3)), 0.0, bool(rng.random() < (0.4 if account == 3 else 0.97))))
+    return rows
+
+
+def feed_files(spark, files, schema):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_kill_switch_stream_takes_late_files(spark):
+    """Files out of order, one account with most rows: the same rows as the batch form."""
+    rows = account_rows(900, 6, 3)
+    parts = [rows[k:k + 150] for k in range(0, 900, 150)]
+    files = [parts[1][::-1], parts[0], parts[3], parts[2], parts[5][1::2] + parts[4][::2], parts[4][1::2] + parts[5][::2]]
+    sentinel = [(99, 10_000 + k, dt.datetime(2024, 3, 1 + k), 1.0, 0.9, 0.0, 0.0, 0.0, True) for k in range(2)]
+    stream = feed_files(spark, [*files, sentinel[:1], sentinel[1:]], KS_SCHEMA)
+    got = by_key(run(kill_switch_stream(stream, delay="3 hours"), "ks").where("account_id < 99").select(*KS_COLS), "event_id")
+    expected = by_key(kill_switch(spark.createDataFrame(rows, KS_SCHEMA)).select(*KS_COLS), "event_id")
+    pd.testing.assert_frame_equal(got, expected)
+    assert (expected["action"] == "halt").any() and {"api_error", "slippage_breach", "confidence_collapse"} <= set(expected["switch_type"].dropna())
+
+
 def test_kill_switch_stream_equals_batch(spark, inputs):
     events = inputs.account_events
-    cols = ["account_id", "event_id", "ts", "switch_type", "action", "triggered", "halted"]
-    got = by_key(run(kill_switch_stream(as_stream(spark, events, "ts", 2)), "ks").select(*cols), "event_id")
-    expected = by_key(kill_switch(events).select(*cols), "event_id")
-    pd.testing.assert_frame_equal(got, expected)
-    assert (expected["action"] == "halt").any()
+    last = events.agg(F.max("ts")).first()[0] + dt.timedelta(days=20)
+    ends = spark.createDataFrame([(-1, -k, last + dt.timedelta(days=k), 1.0, 0.9, 0.0, 0.0, 0.0, True) for k in (1, 2)], KS_SCHEMA)
+    columns = [c.split()[0] for c in KS_SCHEMA.split(", ")]
+    both = events.select(*columns).unionByName(ends.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in events.select(*columns).schema]))
+    got = by_key(run(kill_switch_stream(as_stream(spark, both, "ts", 3)), "ks2").where("account_id >= 0").select(*KS_COLS), "event_id")
+    pd.testing.assert_frame_equal(got, by_key(kill_switch(events).select(*KS_COLS), "event_id"))
+
+
+def test_kill_switch_advances_by_parts(spark):
+    """Any split of a series into parts gives the rows and state of the whole."""
+    from barloom.streaming.killswitch import START, advance
+
+    rows = pd.DataFrame(account_rows(400, 2, 8, 900), columns=[c.split()[0] for c in KS_SCHEMA.split(", ")])
+    whole_state, whole = advance(START, rows)
+    for size in (1, 7, 133):
+        state, parts = START, []
+        for k in range(0, len(rows), size):
+            state, out = advance(state, rows[k:k + size])
+            parts.append(out)
+        assert state == whole_state
+        pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
 
 
 def test_kill_switch_order_of_checks(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.config import LOOKBACK_WINDOWS, MA_WINDOWS
-from barloom.operators import ensemble, moments, news, price, regimes, specialists, trees
+from barloom.operators import ensemble, leakage, moments, news, pooled, price, regimes, specialists, trees
 from barloom.operators.backtest import baselines, net_returns, pnl_metrics, signal_metrics  # noqa: F401
 from barloom.operators.specialists import MA_RATIO, MOMENTUM, NEWS, RSI
 from barloom.operators.windows import time_split, windows_calendar
@@ -13,7 +13,7 @@ from barloom.plans.stage import staged
 from workloads.oracle import ORACLE_VIEWS as V
 from workloads.q_backtest import SIG_COLS, PNL_COLS, net_sql, pnl_sql, signal_sql
 from workloads.registry import query
-from workloads.sqlkit import W, change, lag, roll, sdiv
+from workloads.sqlkit import W, change, draw, lag, roll, sdiv
 
 _returns = ", ".join(f"{change('close', n)} AS return_{n}d, ln(close / {lag('close', n)}) AS log_return_{n}d" for n in LOOKBACK_WINDOWS)
 _momentum = ", ".join(f"{change('close', n)} AS momentum_{n}d" for n in (5, 10, 20))
@@ -43,19 +43,24 @@ V["wfm_rows"] = """SELECT m.*, w.window_id, CASE WHEN m.date < w.test_start THEN
   JOIN wf_windows w ON m.symbol = w.symbol AND m.date >= w.train_start AND m.date < w.test_end"""
 V["wfm_train"] = "SELECT * FROM wfm_rows WHERE role = 'train'"
 V["wfm_test"] = "SELECT * FROM wfm_rows WHERE role = 'test'"
-for _pre, _train, _by in (("", "model_train", "symbol"), ("wfm_", "wfm_train", "symbol, window_id")):
-    for _name, _family, _cuts in (("rule_mom", MOMENTUM, (0.6,)), ("rule_rsi", RSI, (0.2, 0.8)), ("rule_ma", MA_RATIO, ())):
-        V[_pre + _name] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_by} ORDER BY r DESC, k) AS rk FROM ({_rule_family(_family, _cuts, _train, _by)}) f) g WHERE rk = 1"
-    V[_pre + "rule_fit"] = f"""SELECT {_by}, m.name AS momentum_col, m.q0 AS momentum_threshold, r.name AS rsi_col, r.q0 AS rsi_oversold, r.q1 AS rsi_overbought, a.name AS ma_col
-  FROM {_pre}rule_mom m JOIN {_pre}rule_rsi r USING ({_by}) JOIN {_pre}rule_ma a USING ({_by})"""
+
+def _add_rule_fits(pre: str, train: str, by: str) -> None:
+    for name, family, cuts in (("rule_mom", MOMENTUM, (0.6,)), ("rule_rsi", RSI, (0.2, 0.8)), ("rule_ma", MA_RATIO, ())):
+        V[pre + name] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY r DESC, k) AS rk FROM ({_rule_family(family, cuts, train, by)}) f) g WHERE rk = 1"
+    V[pre + "rule_fit"] = f"""SELECT {by}, m.name AS momentum_col, m.q0 AS momentum_threshold, r.name AS rsi_col, r.q0 AS rsi_oversold, r.q1 AS rsi_overbought, a.name AS ma_col
+  FROM {pre}rule_mom m JOIN {pre}rule_rsi r USING ({by}) JOIN {pre}rule_ma a USING ({by})"""
+
+
+_add_rule_fits("", "model_train", "symbol")
+_add_rule_fits("wfm_", "wfm_train", "symbol, window_id")
 
 
 def _pick_sql(name, family):
     return f"CASE {name} " + " ".join(f"WHEN '{c}' THEN {c}" for c in family) + " END"
 
 
-def rule_scores(rows: str, fit: str, by: str) -> str:
-    return f"""SELECT {by}, date, actual_return, actual_direction, 'rules' AS model, prob_up, 5e-1 AS confidence, CASE WHEN 5e-1 < 4e-1 THEN 0 WHEN prob_up > 5e-1 THEN 1 ELSE -1 END AS signal FROM (
+def rule_scores(rows: str, fit: str, by: str, out: str | None = None) -> str:
+    return f"""SELECT {out or by}, date, actual_return, actual_direction, 'rules' AS model, prob_up, 5e-1 AS confidence, CASE WHEN 5e-1 < 4e-1 THEN 0 WHEN prob_up > 5e-1 THEN 1 ELSE -1 END AS signal FROM (
   SELECT m.*, CASE WHEN (CASE WHEN {_pick_sql('momentum_col', MOMENTUM)} > momentum_threshold THEN 4e-1 ELSE 0e0 END)
    + ((CASE WHEN {_pick_sql('rsi_col', RSI)} < rsi_oversold THEN 3e-1 ELSE 0e0 END) + (CASE WHEN {_pick_sql('rsi_col', RSI)} > rsi_overbought THEN -3e-1 ELSE 0e0 END))
    + (CASE WHEN {_pick_sql('ma_col', MA_RATIO)} > 1 THEN 3e-1 ELSE 0e0 END) > 0 THEN 1e0 ELSE 0e0 END AS prob_up FROM {rows} m JOIN {fit} USING ({by})) x"""
@@ -115,9 +120,7 @@ V["wfm_preds"] = f"""SELECT symbol, date, model, confidence, signal, actual_retu
 def _(t):
     """Both closed-form specialists fitted on every window's training span; only its test span is scored, and the spans are stitched."""
     by = ["symbol", "window_id"]
-    t = t.stage("bars")
-    windows = staged(windows_calendar(t.bars), "windows")
-    rows = staged(moments.with_bucket(model_rows(t).drop("split"), t.bars.groupBy("symbol").agg(F.expr("min(date) AS first_date")), 21), "model_rows")
+    rows, windows = walk_forward_inputs(t)
     fits = specialists.walk_forward_fits(rows, windows, "actual_direction")
     test = moments.test_rows(rows, windows).join(fits, by)
     cols = ["symbol", "date", "model", "confidence", "signal", "actual_return", "actual_direction"]
@@ -127,16 +130,68 @@ def _(t):
 
 
 TRAIN_SYMBOLS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
-V["pool_fit"] = ("SELECT " + ", ".join(f"coalesce({rho_sql(c, 'actual_direction')}, 0e0) AS w_{c}" for c in NEWS)
-                 + " FROM model_rows WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')")
+_pool = "symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')"
+V["pool_train"] = f"SELECT *, 1 AS pool FROM model_rows WHERE {_pool}"
+V["pool_test"] = f"SELECT *, 1 AS pool FROM model_rows WHERE NOT {_pool}"
+V["pool_fit"] = "SELECT " + ", ".join(f"coalesce({rho_sql(c, 'actual_direction')}, 0e0) AS w_{c}" for c in NEWS) + " FROM pool_train"
+_add_rule_fits("pool_", "pool_train", "pool")
+V["pool_scores"] = f"""SELECT symbol, model, signal, actual_direction FROM ({rule_scores('pool_test', 'pool_rule_fit', 'pool', 'symbol')}) r
+  UNION ALL SELECT symbol, model, signal, actual_direction FROM ({sent_scores('pool_test', ', pool_fit', '2e-2')}) s"""
+
+
+@query("cross_symbol_transfer", "model symbol n_rows:i trades:i accuracy:6 coverage:6",
+       """SELECT model, symbol, count(*) AS n_rows, count(*) FILTER (signal <> 0) AS trades, coalesce(count(*) FILTER (signal <> 0 AND signal = actual_direction) * 1e0 / nullif(count(*) FILTER (signal <> 0), 0), 0e0) AS accuracy,
+       avg(CASE WHEN signal <> 0 THEN 1e0 ELSE 0e0 END) AS coverage FROM pool_scores GROUP BY model, symbol""")
+def _(t):
+    """Rules and news specialists fitted on a pool of symbols, judged on all others."""
+    return pooled.transfer(staged(model_rows(t.stage("bars")), "model_rows"), TRAIN_SYMBOLS, news_confidence=0.02)
+
+
+# ---- leakage tests that fit again in every window ----
+
+SHIFTS, SEEDS = [-2, -1, 0, 1, 2], [42, 43, 44]
+_moved = {f"{'early_' if k < 0 else 'late_'}{abs(k)}": k for k in SHIFTS}
+_move = lambda c, k: c if not k else f"{'lead' if k > 0 else 'lag'}({c}, {abs(k)}) OVER {W}"
+V["shifted_labels"] = "SELECT *, " + ", ".join(f"{_move('actual_direction', k)} AS y_{n}, {_move('actual_return', k)} AS r_{n}" for n, k in _moved.items()) + " FROM model_rows"
+_deals = " ".join(f"""JOIN (SELECT symbol, actual_direction AS y_shuffle_{s}, row_number() OVER (PARTITION BY symbol ORDER BY {draw(f"'{s}'", 'symbol', 'date')}, date) AS rn FROM model_rows) d{s} USING (symbol, rn)""" for s in SEEDS)
+V["shuffled_labels"] = f"SELECT * FROM (SELECT *, row_number() OVER {W} AS rn FROM model_rows) m {_deals}"
+
+
+def _refit_views(pre: str, source: str, variants: dict[str, tuple[str, str, str]]) -> None:
+    labels = sorted({v[0] for v in variants.values()})
+    known = " AND ".join(f"m.{c} IS NOT NULL" for c in sorted({c for v in variants.values() for c in v}))
+    V[pre + "_rows"] = f"""SELECT m.*, w.window_id, CASE WHEN m.date < w.test_start THEN 'train' ELSE 'test' END AS role FROM {source} m
+      JOIN wf_windows w ON m.symbol = w.symbol AND m.date >= w.train_start AND m.date < w.test_end WHERE {known}"""
+    V[pre + "_fit"] = "SELECT symbol, window_id, " + ", ".join(f"coalesce({rho_sql(c, y)}, 0e0) AS w_{y}_{c}" for y in labels for c in NEWS) + f" FROM {pre}_rows WHERE role = 'train' GROUP BY symbol, window_id"
+    parts = []
+    for name, (label, judged, earned) in variants.items():
+        total = " + ".join(f"{c} * w_{label}_{c}" for c in NEWS)
+        parts.append(f"SELECT symbol, date, '{name}' AS variant, greatest(0e0, least(1e0, (({total}) + 1) / 2)) AS prob_up, {judged} AS actual_direction, {earned} AS actual_return FROM {pre}_rows JOIN {pre}_fit USING (symbol, window_id) WHERE role = 'test'")
+    V[pre + "_scores"] = f"""SELECT *, CASE WHEN confidence < 1e-1 THEN 0 WHEN prob_up > 5e-1 THEN 1 WHEN prob_up < 5e-1 THEN -1 ELSE 0 END AS signal
+      FROM (SELECT *, 2 * abs(prob_up - 5e-1) AS confidence FROM ({' UNION ALL '.join(parts)}) v) x"""
+    V[pre + "_metrics"] = f"SELECT * FROM ({signal_sql(pre + '_scores', 'symbol, variant')}) a JOIN ({pnl_sql(net_sql(pre + '_scores', 'symbol, variant'), 'symbol, variant')}) b USING (symbol, variant)"
+
+
+_refit_views("moved_fit", "shifted_labels", {n: (f"y_{n}", f"y_{n}", f"r_{n}") for n in _moved})
+_refit_views("dealt_fit", "shuffled_labels", {"true": ("actual_direction", "actual_direction", "actual_return")} | {f"shuffle_{s}": (f"y_shuffle_{s}", "actual_direction", "actual_return") for s in SEEDS})
+
+
+def walk_forward_inputs(t):
+    """(rows with buckets, windows), each computed once."""
+    t = t.stage("bars")
+    first = t.bars.groupBy("symbol").agg(F.expr("min(date) AS first_date"))
+    return staged(moments.with_bucket(model_rows(t).drop("split"), first, 21), "model_rows"), staged(windows_calendar(t.bars), "windows")
+
+
+@query("refit_time_shift_test", f"symbol variant {SIG_COLS} {PNL_COLS}", "SELECT * FROM moved_fit_metrics")
+def _(t):
+    return leakage.refit_time_shift(*walk_forward_inputs(t), SHIFTS)
 
 
-@query("cross_symbol_transfer", "symbol n_rows:i trades:i accuracy:6 coverage:6",
-       f"""SELECT symbol, count(*) AS n_rows, count(*) FILTER (signal <> 0) AS trades, coalesce(count(*) FILTER (signal <> 0 AND signal = actual_direction) * 1e0 / nullif(count(*) FILTER (signal <> 0), 0), 0e0) AS accuracy,
-       avg(CASE WHEN signal <> 0 THEN 1e0 ELSE 0e0 END) AS coverage FROM ({sent_scores('model_rows', ', pool_fit', '2e-2')}) s
-       WHERE symbol NOT IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') GROUP BY symbol""")
+@query("refit_label_shuffle_test", f"symbol variant {SIG_COLS} {PNL_COLS} passed:b",
+       "SELECT *, abs(directional_accuracy - 5e-1) < 1e-1 AND total_return < 5e-2 AS passed FROM dealt_fit_metrics")
 def _(t):
-    return specialists.transfer(model_rows(t), TRAIN_SYMBOLS, min_confidence=0.02)
+    return leakage.refit_label_shuffle(*walk_forward_inputs(t), SEEDS)
 
 
 # ---- ensembles over a long prediction table ----
