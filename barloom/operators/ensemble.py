@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import RESEARCH
 from barloom.operators.backtest import net_returns, pnl_metrics, signal_metrics
+from barloom.plans.stage import staged
 
 
 def score_simple_average(preds: DataFrame, by: list[str] = ["symbol", "date"], min_confidence: float = RESEARCH.min_confidence) -> DataFrame:
@@ -22,7 +23,8 @@ def score_simple_average(preds: DataFrame, by: list[str] = ["symbol", "date"], m
 def ablate(preds: DataFrame, outcomes: DataFrame, configs: dict[str, list[str]], min_confidence: float = RESEARCH.min_confidence) -> DataFrame:
     """The average ensemble with subsets of its members, back-tested per symbol.
 
-    Each prediction goes to the configurations that contain its model, so there is no join with them.
+    Each prediction goes to the configurations that contain its model, so there is no join with them. The scored rows are stored
+    once for both kinds of metrics.
     ``outcomes`` has ``actual_return`` and ``actual_direction`` per symbol and date.
     """
     models = sorted({m for members in configs.values() for m in members})
@@ -30,7 +32,7 @@ def ablate(preds: DataFrame, outcomes: DataFrame, configs: dict[str, list[str]],
         f"WHEN '{m}' THEN array({', '.join(repr(c) for c, members in configs.items() if m in members)})" for m in models
     )
     spread = preds.selectExpr("*", f"explode(CASE model {lists} ELSE array() END) AS configuration")
-    scored = score_simple_average(spread, ["configuration", "symbol", "date"], min_confidence).join(outcomes, ["symbol", "date"])
+    scored = staged(score_simple_average(spread, ["configuration", "symbol", "date"], min_confidence).join(outcomes, ["symbol", "date"]), "ablation")
     key = ["configuration", "symbol"]
     return signal_metrics(scored, key).join(pnl_metrics(net_returns(scored, key), key), key)
 

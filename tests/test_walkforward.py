@@ -113,10 +113,12 @@ def test_exact_quantiles_of_a_pool(spark):
     assert pooled.exact_quantiles(df.selectExpr("CAST(NULL AS DOUBLE) AS x", "t"), {"x": (0.5,), "t": (1.0,)}) == {"x": [None], "t": [2.0]}
 
 
-@pytest.mark.parametrize("name", ["walk_forward_backtest", "refit_time_shift_test", "refit_label_shuffle_test", "cross_symbol_transfer"])
+@pytest.mark.parametrize("name", ["walk_forward_backtest", "refit_time_shift_test", "refit_label_shuffle_test", "cross_symbol_transfer", "component_ablation", "average_ensemble",
+                                  "path_survival", "path_results", "portfolio_stress", "stress_summary", "falsification_verdict"])
 def test_bars_are_scanned_once(spark, monkeypatch, name):
     """All reads of lineitem, those of the stages included, by counting them in every plan that is written or returned."""
-    from workloads import catalog, q_models, views
+    from barloom.operators import ensemble
+    from workloads import catalog, q_falsify, q_models, views
 
     seen = []
 
@@ -124,7 +126,7 @@ def test_bars_are_scanned_once(spark, monkeypatch, name):
         seen.append(count_scans(df))
         return stage.staged(df, stage_name)
 
-    for module in (views, q_models):
+    for module in (views, q_models, q_falsify, ensemble):
         monkeypatch.setattr(module, "staged", counting)
     out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sum(seen) + count_scans(out) <= 2

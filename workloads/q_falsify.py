@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.operators import nulls, paths, regimes, resample, stress
 from barloom.operators.regimes import vol_gate
+from barloom.plans.stage import staged
 from workloads.oracle import ORACLE_VIEWS as V
 from workloads.q_backtest import conditional_sql
 from workloads.registry import query
@@ -226,12 +227,12 @@ V["surv_rows"] = """SELECT symbol, count(*) AS paths_tested, count(*) FILTER (ma
 
 @query("path_results", "symbol path_type path_id:i max_dd:6 final_return:6 survived", "SELECT *, max_dd > -25e-2 AS survived FROM path_res")
 def _(t):
-    return paths.path_results(paths.hostile_suite(gated(t)))
+    return paths.path_results(paths.hostile_suite(staged(gated(t), "gate")))
 
 
 @query("path_survival", "symbol paths_tested:i survived:i survival_rate:6 worst_dd:6 worst_path passed", "SELECT * FROM surv_rows")
 def _(t):
-    return paths.survival(paths.path_results(paths.hostile_suite(gated(t))))
+    return paths.survival(paths.path_results(paths.hostile_suite(staged(gated(t), "gate"))))
 
 
 # ---- portfolio stress ----
@@ -258,23 +259,27 @@ V["st_sum"] = """SELECT portfolio_id, count(*) AS total_scenarios, count(*) FILT
 
 
 def book(t):
-    return vol_gate(t.bars).selectExpr("concat('P', CAST((CAST(substr(symbol, 7) AS INT) - 1) DIV 4 AS STRING)) AS portfolio_id", "symbol", "date", "ret", "position")
+    return book_of(vol_gate(t.bars))
+
+
+def book_of(gate):
+    return gate.selectExpr("concat('P', CAST((CAST(substr(symbol, 7) AS INT) - 1) DIV 4 AS STRING)) AS portfolio_id", "symbol", "date", "ret", "position")
 
 
 @query("stress_asset_drawdowns", "portfolio_id symbol scenario asset_dd:6", "SELECT *, dd * 100 AS asset_dd FROM (" + dd_sql("SELECT * FROM st_rows", "portfolio_id, symbol, scenario", "sr") + ") z")
 def _(t):
-    return stress.asset_drawdowns(stress.stressed_returns(book(t)))
+    return stress.asset_drawdowns(stress.stressed_returns(staged(book(t), "book")))
 
 
 @query("portfolio_stress", "portfolio_id scenario portfolio_dd:6 kill_switch_triggered survived",
        "SELECT portfolio_id, scenario, dd * 100 AS portfolio_dd, dd <= -1e-1 AS kill_switch_triggered, dd > -1e-1 AS survived FROM st_port")
 def _(t):
-    return stress.portfolio_stress(stress.stressed_returns(book(t)))
+    return stress.portfolio_stress(stress.stressed_returns(staged(book(t), "book")))
 
 
 @query("stress_summary", "portfolio_id total_scenarios:i scenarios_passed:i survival_rate:6 worst_dd:6 worst_scenario overall_pass", "SELECT * FROM st_sum")
 def _(t):
-    return stress.stress_summary(stress.portfolio_stress(stress.stressed_returns(book(t))))
+    return stress.stress_summary(stress.portfolio_stress(stress.stressed_returns(staged(book(t), "book"))))
 
 
 @query("falsification_verdict", "symbol portfolio_id null_pass permutation_pass survival_pass stress_pass overall_pass",
@@ -283,9 +288,12 @@ def _(t):
        coalesce(s.passed, false) AS survival_pass, coalesce(x.overall_pass, false) AS stress_pass FROM (SELECT DISTINCT symbol, portfolio_id FROM book) m
        LEFT JOIN null_pass n USING (symbol) LEFT JOIN perm_summary p USING (symbol) LEFT JOIN surv_rows s USING (symbol) LEFT JOIN st_sum x USING (portfolio_id)) v""")
 def _(t):
-    gate, arrays = gated(t), gate_arrays(t)
+    """All four phases from one stored gate; the book and the portfolio returns are stored too, as phases read them again."""
+    gate = staged(gated(t), "gate")
+    arrays = staged(resample.series_arrays(gate, ["ret", "position", "regime"]), "arrays")
+    held = staged(book_of(gate), "book")
     return stress.verdict(
-        nulls.null_verdict(nulls.compare_nulls(nulls.null_results(gate))),
+        nulls.null_verdict(nulls.compare_nulls(staged(nulls.null_results(gate), "nulls"))),
         resample.permutation_summary(arrays, resample.resample_metrics(resample.block_bootstrap(arrays, N_PERM))),
         paths.survival(paths.path_results(paths.hostile_suite(gate))),
-        stress.stress_summary(stress.portfolio_stress(stress.stressed_returns(book(t)))), book(t))
+        stress.stress_summary(stress.portfolio_stress(stress.stressed_returns(held))), held)

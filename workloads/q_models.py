@@ -201,14 +201,14 @@ V["long_preds"] = """SELECT symbol, date, model, prob_up, confidence, signal FRO
 
 
 def long_preds(t):
-    """Predictions of the three specialists for rows that none of them was fitted on."""
-    rows = model_rows(t)
+    """Predictions of the three specialists for rows that none of them was fitted on. ``t`` has its bars stored."""
+    rows = staged(model_rows(t), "model_rows")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    fits = specialists.fit_rules(train, "actual_direction").join(specialists.fit_sentiment(train, "actual_direction"), "symbol")
     cols = ["symbol", "date", "model", "prob_up", "confidence", "signal"]
-    rules = specialists.score_rules(test, specialists.fit_rules(train, "actual_direction"), min_confidence=0.4)
-    tone = specialists.score_sentiment(test, specialists.fit_sentiment(train, "actual_direction"), min_confidence=0.1)
+    both = specialists.score_both(test.join(fits, "symbol"), 0.4, 0.1)
     momentum = t.preds.join(test.select("symbol", "date"), ["symbol", "date"], "left_semi")
-    return momentum.select(*cols).unionByName(rules.select(*cols)).unionByName(tone.select(*cols))
+    return momentum.select(*cols).unionByName(both.select(*cols))
 
 
 def avg_sql(source: str, by: str) -> str:
@@ -218,7 +218,7 @@ def avg_sql(source: str, by: str) -> str:
 
 @query("average_ensemble", "symbol date prob_up:6 confidence:6 signal:i n_models:i", avg_sql("long_preds", "symbol, date"))
 def _(t):
-    return ensemble.score_simple_average(long_preds(t), min_confidence=0.3)
+    return ensemble.score_simple_average(long_preds(t.stage("bars")), min_confidence=0.3)
 
 
 CONFIGS = {"baseline": ["momentum", "rules", "sentiment"], "no_sentiment": ["momentum", "rules"], "no_rules": ["momentum", "sentiment"],
@@ -232,6 +232,7 @@ V["abl_rows"] = f"SELECT a.*, o.actual_return, o.actual_direction FROM ({avg_sql
        f"""SELECT * FROM ({signal_sql('abl_rows', 'configuration, symbol')}) a JOIN ({pnl_sql(net_sql('abl_rows', 'configuration, symbol'), 'configuration, symbol')}) b
        USING (configuration, symbol)""")
 def _(t):
+    t = t.stage("bars")
     return ensemble.ablate(long_preds(t), t.preds.select("symbol", "date", "actual_return", "actual_direction"), CONFIGS, 0.3)
 
 
@@ -283,6 +284,7 @@ def _(t):
 
 @query("meta_ensemble", "symbol date prob_up:6 confidence:6 signal:i")
 def _(t):
+    t = t.stage("bars")
     context = price.price_features(t.bars).selectExpr("symbol", "date", "coalesce(volatility_5d, 0D) AS volatility")
     models = ["momentum", "rules", "sentiment"]
     stacked = trees.stack(long_preds(t), models, context).join(t.preds.select("symbol", "date", "actual_direction"), ["symbol", "date"])
