@@ -9,12 +9,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import RESEARCH
-from barloom.functions.text import keyed_uniform
+from barloom.functions.text import keyed_draw, keyed_uniform
 
 
-def _holdout(df: DataFrame, share: float, seed: int) -> DataFrame:
-    """Keyed random hold-out rows, the same on every run."""
-    return df.selectExpr("*", f"{keyed_uniform(f'{chr(39)}{seed}{chr(39)}', 'symbol', 'date')} < {share} AS is_validation")
+def _holdout(df: DataFrame, share: float, seed: int, label: str = "label") -> DataFrame:
+    """Keyed random hold-out rows, the same on every run, stratified: ``share`` of each label, by the quantile of its draws."""
+    drawn = df.selectExpr("*", f"{keyed_uniform(f'{chr(39)}{seed}{chr(39)}', 'symbol', 'date')} AS _draw")
+    cuts = drawn.groupBy(F.col(label).alias("_label")).agg(F.expr(f"percentile_approx(_draw, {share}, 10000) AS _cut"))
+    return drawn.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label"))).selectExpr(*df.columns, "_draw <= _cut AS is_validation")
 
 
 def fit_gbt(
@@ -54,6 +56,24 @@ def importances(model: PipelineModel, features: list[str], df: DataFrame) -> Dat
     )
 
 
+def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str, seed: int = RESEARCH.seed) -> DataFrame:
+    """(feature, n_rows, accuracy, drop): how much accuracy falls when a feature's values are dealt to other dates of the symbol.
+
+    Each row emits one copy per feature, with that column replaced, and one as it is; all copies are scored by one transform. A
+    symbol's values of all features, bounded by the calendar, are dealt in one aggregate, in a keyed order per feature.
+    """
+    rows = rows.selectExpr("symbol", "date", *features, f"CAST({label} AS DOUBLE) AS _truth")
+    dealt = [f"transform(array_sort(collect_list(struct({keyed_draw(chr(39) + str(seed) + chr(39), chr(39) + c + chr(39), 'symbol', 'date')} AS d, date, {c} AS x))), v -> v.x) AS {c}" for c in features]
+    other = rows.groupBy("symbol").agg(*map(F.expr, dealt)).selectExpr("symbol", f"posexplode(arrays_zip({', '.join(features)})) AS (_at, _other)")
+    met = rows.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS _at").join(other, ["symbol", "_at"])
+    copies = [f"struct({n} AS _feature, " + ", ".join(f"{'_other.' if c == own else ''}{c} AS {c}" for c in features) + ")"
+              for n, own in [("'none'", None), *((f"'{c}'", c) for c in features)]]
+    scored = model.transform(met.selectExpr("_truth", f"inline(array({', '.join(copies)}))"))
+    rated = scored.groupBy("_feature").agg(F.expr("count(*) AS n_rows"), F.expr("avg(IF(prediction = _truth, 1D, 0D)) AS accuracy"))
+    plain = rated.where("_feature = 'none'").selectExpr("accuracy AS _plain")
+    return rated.where("_feature <> 'none'").crossJoin(F.broadcast(plain)).selectExpr("_feature AS feature", "n_rows", "accuracy", "_plain - accuracy AS drop")
+
+
 def stack(preds: DataFrame, models: list[str], context: DataFrame | None = None) -> DataFrame:
     """One row per symbol and date with each model's probability and confidence, and the market context."""
     aggs = []
@@ -70,8 +90,8 @@ def meta_features(models: list[str], context: list[str]) -> list[str]:
 
 def fit_meta(stacked: DataFrame, features: list[str], label: str, trees: int = 50, depth: int = 5, seed: int = RESEARCH.seed) -> PipelineModel:
     """Forest over the stacked predictions, fitted on a keyed four fifths of the rows."""
-    train = _holdout(stacked, 0.2, seed).where("NOT is_validation")
-    return fit_forest(train, features, label, trees, depth, seed)
+    train = _holdout(stacked.selectExpr("symbol", "date", *features, f"CAST({label} AS DOUBLE) AS label"), 0.2, seed).where("NOT is_validation")
+    return fit_forest(train, features, "label", trees, depth, seed)
 
 
 def score_meta(model: PipelineModel, stacked: DataFrame, min_confidence: float = RESEARCH.min_confidence) -> DataFrame:

@@ -144,3 +144,20 @@ def test_stages_are_dropped(spark, rows):
     assert stage.drop_stages(spark) >= 1
     where, files = stage._hadoop(spark, path)
     assert not files.exists(where)
+
+
+def test_permutation_importance_finds_the_feature_that_counts(spark):
+    from barloom.operators import trees
+
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"symbol": np.repeat(["A", "B"], 200), "date": [dt.date(2021, 1, 1) + dt.timedelta(days=k) for k in range(200)] * 2,
+                          "good": rng.normal(0, 1, 400), "noise": rng.normal(0, 1, 400)})
+    frame["y"] = (frame.good > 0).astype(int)
+    df = spark.createDataFrame(frame)
+    model = trees.fit_forest(df, ["good", "noise"], "y", 10)
+    got = {r.feature: r for r in trees.permutation_importance(model, df, ["good", "noise"], "y").collect()}
+    assert got["good"].n_rows == got["noise"].n_rows == 400
+    assert got["good"]["drop"] > 0.3 > 0.05 > got["noise"]["drop"]
+    held = trees._holdout(df, 0.2, 1, "y").where("is_validation").groupBy("y").count().toPandas().set_index("y")["count"]
+    for label, size in frame.y.value_counts().items():
+        assert abs(held[label] - 0.2 * size) <= 1

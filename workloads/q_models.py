@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.config import LOOKBACK_WINDOWS, MA_WINDOWS
-from barloom.operators import ensemble, leakage, moments, news, pooled, price, regimes, specialists, trees
+from barloom.operators import ensemble, leakage, market, moments, news, pooled, price, quality, regimes, specialists, trees
 from barloom.operators.backtest import baselines, net_returns, pnl_metrics, signal_metrics  # noqa: F401
 from barloom.operators.specialists import MA_RATIO, MOMENTUM, NEWS, RSI
 from barloom.operators.windows import time_split, windows_calendar
@@ -259,29 +259,88 @@ def _(t):
 
 # ---- trees (no SQL equivalent: checked for rows only, and for skill in the tests) ----
 
-TREE_FEATURES = [*MOMENTUM, *RSI, *MA_RATIO, *NEWS]
 REGIMES = ["regime_vol", "regime_trend", "regime_liq"]
 
 
-@query("boosted_specialist", "symbol date model prob_up:6 confidence:6 signal:i")
-def _(t):
-    rows = model_rows(t)
-    model = trees.fit_gbt(rows.where("split = 'train'"), TREE_FEATURES, "actual_direction = 1")
+def tree_rows(t):
+    """(rows, features): every feature of the library, prices, index and news, zero-filled, with outcomes, labels and the 70/30 split."""
+    feats = news.news_features(market.market_features(price.price_features(t.bars), t.index_bars), t.news)
+    outcomes = t.preds.select("symbol", "date", "actual_return", "actual_direction")
+    labels = regimes.label_regimes(t.bars).select("symbol", "date", *REGIMES)
+    features = quality.feature_columns(feats)
+    rows = feats.select("symbol", "date", *features).na.fill(0.0).join(outcomes, ["symbol", "date"]).join(labels, ["symbol", "date"])
+    return staged(time_split(rows, 0.7), "tree_rows"), features
+
+
+def boosted(t):
+    rows, features = tree_rows(t.stage("bars"))
+    model = trees.fit_gbt(rows.where("split = 'train'"), features, "actual_direction = 1")
     return trees.score(model, rows.where("split = 'test'"), "boosted", 0.1)
 
 
-@query("regime_classifier", "symbol date model prob_up:6 confidence:6 signal:i")
-def _(t):
-    labels = regimes.label_regimes(t.bars).select("symbol", "date", *REGIMES)
-    rows = model_rows(t).join(labels, ["symbol", "date"])
+def regime_forests(t):
+    rows, features = tree_rows(t.stage("bars"))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     out = None
     for label in REGIMES:
-        scored = trees.score(trees.fit_forest(train, TREE_FEATURES, label), test, label.replace("regime_", "") + "_forest", 0.1)
+        scored = trees.score(trees.fit_forest(train, features, label), test, label.replace("regime_", "") + "_forest", 0.1)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+@query("boosted_specialist", "symbol date model prob_up:6 confidence:6 signal:i")
+def _(t):
+    return boosted(t)
+
+
+@query("regime_classifier", "symbol date model prob_up:6 confidence:6 signal:i")
+def _(t):
+    return regime_forests(t)
+
+
+# Values of trees have no twin in SQL; their keys, ranges and the abstention rule have.
+_valid = """bool_and(prob_up BETWEEN 0 AND 1 AND abs(confidence - 2 * abs(prob_up - 0.5D)) < 1e-12 AND
+  signal = CASE WHEN confidence < 0.1D THEN 0 WHEN prob_up > 0.5D THEN 1 WHEN prob_up < 0.5D THEN -1 ELSE 0 END) AND max(prob_up) > min(prob_up)"""
+V["tree_test"] = """SELECT symbol, date FROM (SELECT symbol, date, row_number() OVER w <= floor(count(*) OVER (PARTITION BY symbol) * 7e-1) AS early FROM preds
+  JOIN (SELECT symbol, date FROM label_rows) l USING (symbol, date) WINDOW w AS (PARTITION BY symbol ORDER BY date)) x WHERE NOT early"""
+
+
+@query("boosted_specialist_keys", "model symbol first_date last_date n_rows:i valid:b",
+       "SELECT 'boosted' AS model, symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows, true AS valid FROM tree_test GROUP BY symbol")
+def _(t):
+    return boosted(t).groupBy("model", "symbol").agg(F.expr("min(date) AS first_date"), F.expr("max(date) AS last_date"), F.expr("count(*) AS n_rows"), F.expr(f"{_valid} AS valid"))
+
+
+@query("regime_classifier_keys", "model symbol first_date last_date n_rows:i valid:b",
+       """SELECT model, symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows, true AS valid
+       FROM tree_test, (VALUES ('vol_forest'), ('trend_forest'), ('liq_forest')) m(model) GROUP BY model, symbol""")
+def _(t):
+    rated = regime_forests(t).groupBy("model", "symbol")
+    return rated.agg(F.expr("min(date) AS first_date"), F.expr("max(date) AS last_date"), F.expr("count(*) AS n_rows"), F.expr(f"{_valid} AS valid"))
+
+
+def trend_forest(t):
+    rows, features = tree_rows(t.stage("bars"))
+    return trees.fit_forest(rows.where("split = 'train'"), features, "regime_trend", 30), rows.where("split = 'test'"), features
+
+
+@query("classifier_importance", "feature n_rows:i accuracy:6 drop:6 importance:6")
+def _(t):
+    """Permutation importance on rows the forest was not fitted on, beside the importance of its own splits."""
+    model, test, features = trend_forest(t)
+    return trees.permutation_importance(model, test, features, "regime_trend").join(trees.importances(model, features, test), "feature")
+
+
+@query("classifier_confusion", "label:i support:i valid:b",
+       """SELECT regime_trend AS label, count(*) AS support, true AS valid FROM tree_test JOIN label_rows USING (symbol, date) GROUP BY 1""")
+def _(t):
+    """Confusion of the trained forest on its test rows: supports are exact, shares add up."""
+    model, test, _ = trend_forest(t)
+    scored = model.transform(test).selectExpr("1 AS grp", "regime_trend", "CAST(prediction AS INT) AS predicted")
+    report = ensemble.classification_report(scored, "regime_trend", "predicted", [0, 1], ["grp"])
+    return report.selectExpr("label", "support", "n_pred_0 + n_pred_1 = support AND abs(share_pred_0 + share_pred_1 - 1) < 1e-12 AND accuracy BETWEEN 0.5D AND 1D AS valid")
+
+
 @query("meta_ensemble", "symbol date prob_up:6 confidence:6 signal:i")
 def _(t):
     t = t.stage("bars")
