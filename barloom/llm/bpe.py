@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-MAX_STATES = 60_000
+MAX_STATES = 200_000
 #: Pieces in each of two generations of the memory.
-MAX_PIECES = 100_000
+MAX_PIECES = 120_000
 #: Rows handed on at once.
 ROWS = 250
 #: Bytes handed to the UTF-8 machine at once.
@@ -56,6 +56,10 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.growing = {token[:i] for token in ranks for i in range(1, len(token))}
         self._merges()
+        self.clear()
+
+    def clear(self) -> None:
+        """No states and no vocabulary nodes made yet."""
         self.nodes: dict[bytes, int] = {}
         self.node_bytes: list[bytes] = []
         self.node_ends: list[tuple[list[tuple[int, int]], list[int]]] = []
@@ -211,6 +215,11 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Give back what was learnt of texts: a worker that idles between tasks holds only the vocabulary."""
+        self.known, self.older = {}, {}
+        self.transducer.clear()
+
     def encode(self, text: str) -> list[int]:
         known, encode = self.known, self.transducer.encode
         if len(known) > MAX_PIECES:  # pieces that come again move to the new generation
@@ -304,6 +313,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, checked: bool = False)
                         hashes.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
                 columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))] + [pa.array(hashes, pa.string())] * checked
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in added)])
+        encoder.forget()
         gc.enable()
 
     return docs.mapInArrow(run, StructType([*docs.schema, *added]))

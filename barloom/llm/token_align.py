@@ -169,6 +169,7 @@ def align(docs: DataFrame, file_a: str, file_b: str, pattern: str) -> DataFrame:
                     [batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.string()),
                      pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(numbers)))],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "numbers"])
+        aligner.known, aligner.older = {}, {}  # a worker that idles between tasks holds only the vocabularies
         gc.enable()
 
     return docs.mapInArrow(run, out)
