@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from barloom.llm.common import stored
 
 #: Windows in each of two generations of the memory.
-MAX_WINDOWS = 200_000
+MAX_WINDOWS = 400_000
 #: Tokens of a window up to which it is remembered.
 MAX_REMEMBERED = 64
 FREQUENT = 500_000
@@ -67,7 +67,9 @@ class Aligner:
         for token, i in ranks.items():
             bytes_a[i] = token
         bytes_b = [bytes((int(self.b.id_to_piece(i)[3:5], 16),)) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        self.bytes_a, self.bytes_b = bytes_a, bytes_b
+        self.bytes_b = bytes_b
+        self.lengths_a, self.lengths_b = list(map(len, bytes_a)), list(map(len, bytes_b))
+        self.names = list(map(str, range(max(len(bytes_a), len(bytes_b)))))
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
         self.marks_a, self.marks_b = (np.array([x[:1] == b" " for x in t]) for t in (bytes_a, bytes_b))
         self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
@@ -83,21 +85,24 @@ class Aligner:
 
     def window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
         """Groups of a window of ids, as text, and the linked pairs, the last ids of each group: both byte counts run until they agree."""
-        a, b, bytes_a, bytes_b = array("I", a), array("I", b), self.bytes_a, self.bytes_b
+        a, b = array("I", a).tolist(), array("I", b).tolist()
+        lengths_a, lengths_b, names = self.lengths_a, self.lengths_b, self.names
         parts, pairs = [], []
-        i = j = from_i = from_j = 0
+        j, last = 0, len(b)
+        text = carried = ""  # ids of A and of B in the group so far
         ahead = 0  # bytes by which A's tokens are ahead of B's
-        while i < len(a) or j < len(b):
-            if ahead <= 0:
-                ahead += len(bytes_a[a[i]])
-                i += 1
-            else:
-                ahead -= len(bytes_b[b[j]])
+        for x in a:
+            text = f"{text},{names[x]}" if text else names[x]
+            ahead += lengths_a[x]
+            while ahead > 0 and j < last:
+                y = b[j]
+                ahead -= lengths_b[y]
+                carried = f"{carried},{names[y]}" if carried else names[y]
                 j += 1
             if not ahead:
-                parts.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                pairs.append((b[j - 1] << 32) + a[i - 1])
-                from_i, from_j = i, j
+                parts.append(f"{text}|{carried}")
+                pairs.append((b[j - 1] << 32) + x)
+                text = carried = ""
         return ";".join(parts), array("q", pairs).tobytes()
 
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +174,6 @@ def align(docs: DataFrame, file_a: str, file_b: str, pattern: str) -> DataFrame:
                     [batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.string()),
                      pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(numbers)))],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "numbers"])
-        aligner.known, aligner.older = {}, {}  # a worker that idles between tasks holds only the vocabularies
         gc.enable()
 
     return docs.mapInArrow(run, out)
