@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from barloom.operators import backtest, killswitch, market, news, nulls, paths, portfolio, price, quality, reconcile, regimes, resample, stress, telemetry
 from barloom.operators.regimes import vol_gate
 from barloom.plans.gate import gate_versus_hold
+from barloom.plans.stage import staged
 from barloom.session import build_session
 from workloads import q_falsify, q_models
 from workloads.views import Inputs
@@ -47,9 +48,9 @@ QUERIES = {
     "permutation_1000": permutation_1000,
     "threshold_by_cost": threshold_by_cost,
     "null_comparison": lambda t: nulls.compare_nulls(nulls.null_results(vol_gate(t.bars))),
-    "path_survival": lambda t: paths.survival(paths.path_results(paths.hostile_suite(q_falsify.gated(t)))),
-    "portfolio_stress": lambda t: stress.portfolio_stress(stress.stressed_returns(q_falsify.book(t))),
-    "specialist_scores": lambda t: q_models.long_preds(t),
+    "path_survival": lambda t: paths.survival(paths.path_results(paths.hostile_suite(staged(q_falsify.gated(t), "gate")))),
+    "portfolio_stress": lambda t: stress.portfolio_stress(stress.stressed_returns(staged(q_falsify.book(t), "book"))),
+    "specialist_scores": lambda t: q_models.long_preds(t.stage("bars")),
     "correlation_matrix": lambda t: portfolio.correlation_matrix(vol_gate(t.bars)),
     "slippage_stats": lambda t: telemetry.slippage_stats(telemetry.slippage(t.fills)),
     "fill_reconciliation": lambda t: reconcile.reconcile_fills(t.order_ledger, t.broker_fills),
