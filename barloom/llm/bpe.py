@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import functions as F
 
 MAX_STATES = 200_000
 #: Pieces in each of two generations of the memory.
@@ -293,43 +293,43 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, checked: bool = False)
     """All columns of ``docs`` with ``tokens`` (array of int). The vocabulary, of fixed size, is read once and broadcast.
 
     ``checked`` decodes the ids in the same task and adds ``decoded_sha256``, without a second Python worker or the decoded text.
+    Added columns replace those of the same name. Only texts go to Python, and they do not come back.
     """
     with open(rank_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    added = [StructField("tokens", ArrayType(IntegerType()))] + [StructField("decoded_sha256", StringType())] * checked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("tokens array<int>, decoded_sha256 string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = _coder(shared.value, pattern)
         gc.disable()  # neither states nor pieces are in cycles, and looking through them takes a fifth of the time
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at in range(0, len(whole), ROWS):
                 offsets, parts, hashes = [0], [np.zeros(0, np.int32)], []
-                for text in batch.column(batch.schema.get_field_index("text")):
+                for text in whole[at:at + ROWS]:
                     ids = encoder.encode(text.as_py()) if text.is_valid else []
                     parts.append(np.array(ids, np.int32))
                     offsets.append(offsets[-1] + len(ids))
-                    if checked:
-                        hashes.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
-                columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))] + [pa.array(hashes, pa.string())] * checked
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for f in added)])
+                    hashes.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest() if checked else None)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.StructArray.from_arrays([tokens, pa.array(hashes, pa.string())], names=["tokens", "decoded_sha256"])
         encoder.forget()
         gc.enable()
 
-    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
+    added = ["tokens", "decoded_sha256"] if checked else ["tokens"]
+    coded = docs.select(*[c for c in docs.columns if c not in added], run("text").alias("__coded"))
+    return coded.select("*", *[F.col(f"__coded.{c}") for c in added]).drop("__coded")
 
 
 def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
-    """All columns of ``tokens`` with ``decoded`` (string)."""
+    """All columns of ``tokens`` with ``decoded`` (string), which replaces a column of that name."""
     with open(rank_file, "rb") as f:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(parse_ranks(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                texts = [decoder.decode(row.values.to_numpy().tolist() if row.is_valid else []) for row in batch.column(batch.schema.get_field_index("tokens"))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            for at in range(0, len(whole), ROWS):
+                yield pa.array([decoder.decode(row.values.to_numpy().tolist() if row.is_valid else []) for row in whole[at:at + ROWS]], pa.string())
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema, StructField("decoded", StringType())]))
+    return tokens.withColumn("decoded", run("tokens"))

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: At most so many labelled rows are fitted on: those with the smallest hash of their id.
 SAMPLE = 4000
@@ -59,6 +58,19 @@ def _byte_classes() -> np.ndarray:
 BYTE_CLASSES = _byte_classes()
 
 
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of the whole text, in lists that are not empty: one of a short text, one a piece of a long one."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        words = text[at:end].split()
+        if words:
+            yield words
+        at = end
+
+
 def count_terms(text: str | None) -> np.ndarray:
     """Counts of all terms of the whole text."""
     out = np.zeros(TERMS, np.float32)
@@ -67,14 +79,17 @@ def count_terms(text: str | None) -> np.ndarray:
     for at in range(0, max(len(raw) - 1, 0), PIECE):
         classes = BYTE_CLASSES[raw[at:at + PIECE + 1]]
         out[:CLASSES * CLASSES] += np.bincount(classes[:-1] * CLASSES + classes[1:], minlength=CLASSES * CLASSES)
-    words = text.split()
-    n = len(words)
+    n, repeated, seen, last = 0, 0, set(), [""]
+    for words in word_lists(text):
+        n += len(words)
+        repeated += sum(map(eq, words, last + words))
+        seen.update(words)
+        last = words[-1:]
     at = CLASSES * CLASSES
     out[at + min(n.bit_length() // 3, _LENGTHS - 1)] = 1
     if n:
-        repeated = sum(map(eq, words, words[1:])) / n
-        out[at + _LENGTHS + min(int(repeated * 2 * _REPEATS), _REPEATS - 1)] = 1
-        out[at + _LENGTHS + _REPEATS + min(int(len(set(words)) / n * _VARIETY), _VARIETY - 1)] = 1
+        out[at + _LENGTHS + min(int(repeated / n * 2 * _REPEATS), _REPEATS - 1)] = 1
+        out[at + _LENGTHS + _REPEATS + min(int(len(seen) / n * _VARIETY), _VARIETY - 1)] = 1
     return out
 
 
@@ -145,19 +160,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return Model(counts, qualities)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score``."""
-    out = StructType([*docs.schema, StructField("quality_score", DoubleType())])
+def scored(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the score as ``name``, which replaces a column of that name. Only texts go to Python, only scores come back."""
     if model is None:
-        return docs.withColumn("quality_score", F.lit(NO_LABELS))
+        return docs.withColumn(name, F.lit(NO_LABELS))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                counts = np.stack([count_terms(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))])
-                scores = shared.value.score(counts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
-
-    return docs.mapInArrow(run, out)
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [np.zeros(0)]
+            for at in range(0, len(texts), BLOCK):
+                parts.append(shared.value.score(np.stack([count_terms(t.as_py()) for t in texts[at:at + BLOCK]])))
+            yield pa.array(np.concatenate(parts), pa.float64())
+            del texts, parts
+            pa.default_memory_pool().release_unused()
+
+    return docs.withColumn(name, score("text"))
