@@ -39,6 +39,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -75,7 +88,6 @@ def release(spark: SparkSession, *finished: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     for df in finished:
         for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            delete_path(spark, path)
     gc.collect()
     jvm.System.gc()

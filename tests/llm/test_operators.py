@@ -69,11 +69,28 @@ def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, fan_in=2)
     for k in range(5):
         batch = spark.createDataFrame([(k * 10 + d, h, h) for d in range(3) for h in (1, 2 + k)], "doc_id long, h1 long, h2 long")
-        fresh = {r.h1 for r in runs.add(batch).where("fresh").collect()}
-        if k < 1:  # later batches may be merged with earlier ones
-            assert fresh == {1, 2}
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+        runs.add(batch)
+        keys = [r.h1 for level in runs.levels for name in level for r in spark.table(name).collect()]
+        assert sorted(keys) == list(range(1, 3 + k))  # a key stands in one run: what the anti-join found was not added again
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and [len(level) for level in runs.updates] == [0, 0, 1]
     assert {r.h1: (r.n_docs, r.max_doc) for r in runs.totals().collect()} == {1: (15, 42)} | {2 + k: (3, 10 * k + 2) for k in range(5)}
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_batches_follow_the_rows(docs_of, spark, monkeypatch):
+    added = []
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, pairs, add=line_dedup.LineRuns.add: added.append(1) or add(self, pairs))
+    docs = docs_of([(i, f"{'a common line of text that all documents share'}\n{i:050d}\n{i // 6:050d} six") for i in range(120)])
+    lost = line_dedup.repeated_lines(docs, batch_rows=1 + 360 // (9 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    assert lost.distinct().count() == 119 + 100 and len(added) > line_dedup.BATCHES
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_beside_columns_of_its_names(docs_of):
+    docs = docs_of([(i, "x" * 50) for i in range(6)]).selectExpr("*", "9 AS line_total", "doc_id AS line_dropped")
+    got = line_dedup.dedup_lines(docs, total="__n", dropped="__gone").collect()
+    assert all(r.line_total == 9 and r.line_dropped == r.doc_id and r["__gone"] == (r.doc_id < 5) for r in got)
 
 
 def test_line_dedup_empty(docs_of, spark):
