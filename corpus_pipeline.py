@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontaminate, line_dedup, lsa_quality, order_minhash
-from barloom.llm.common import stored, table
+from barloom.llm.common import free_name, stored, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lsa_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return lsa_quality.scored(docs, model).where(F.col("quality_score") >= lsa_quality.CUT).select(*docs.columns)
+    score = free_name(docs, "quality_score")
+    return lsa_quality.scored(docs, model, score).where(F.col(score) >= lsa_quality.CUT).select(*docs.columns)
 
 
 def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,8 +33,9 @@ def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose every line with text go."""
-    cut = line_dedup.dedup_lines(docs)
-    return recounted(cut.where((F.col("line_dropped") == 0) | (F.btrim("text", F.lit(line_dedup.WHITE)) != "")), docs.columns)
+    total, dropped = free_name(docs, "line_total"), free_name(docs, "line_dropped")
+    cut = line_dedup.dedup_lines(docs, total=total, dropped=dropped)
+    return recounted(cut.where((F.col(dropped) == 0) | (F.btrim("text", F.lit(line_dedup.WHITE)) != "")), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
