@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import give_back
+
 MAX_STATES = 200_000
 #: Pieces in each of two generations of the memory.
 MAX_PIECES = 120_000
@@ -314,6 +316,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, checked: bool = False)
                 yield pa.StructArray.from_arrays([tokens, pa.array(hashes, pa.string())], names=["tokens", "decoded_sha256"])
         encoder.forget()
         gc.enable()
+        give_back()
 
     added = ["tokens", "decoded_sha256"] if checked else ["tokens"]
     coded = docs.select(*[c for c in docs.columns if c not in added], run("text").alias("__coded"))

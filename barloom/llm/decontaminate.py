@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from barloom.llm.common import stored
+from barloom.llm.common import give_back, stored
 
 WINDOW = 10
 #: Bytes of item text in one automaton: what is broadcast at once is bounded by this, further items take further passes.
 BLOCK_BYTES = 4 << 20
+#: Automata that a task reads one after the other in one pass.
+BLOCKS_AT_ONCE = 8
 #: Spans longer than so many words are cut, shorter ones stay; texts with more than this share of hit words go.
 MAX_SPAN_WORDS = 9
 MAX_COVERAGE = 0.5
@@ -179,32 +181,33 @@ def automata(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BY
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``word_count``, ``hit_spans`` (flat starts and ends, in words, merged) and ``hit_items`` (sorted ids).
 
-    Each block is one more pass over the stream of batches inside the same task: nothing is shuffled.
+    Added columns replace those of the same name. Nothing is shuffled. A task holds ``BLOCKS_AT_ONCE`` automata at most:
+    with more blocks the rows are stored after each group of them.
     """
-    return matched(docs, automata(items, window, block_bytes))
+    return matched(docs.drop("word_count", "hit_spans", "hit_items"), automata(items, window, block_bytes))
 
 
 def matched(docs: DataFrame, shared_blocks: list[Broadcast]) -> DataFrame:
     """``matches`` for automata that are already broadcast."""
     out = StructType([*docs.schema, StructField("word_count", LongType()), StructField("hit_spans", ArrayType(LongType())), StructField("hit_items", ArrayType(StringType()))])
     found = docs.select("*", F.lit(0).cast("long").alias("word_count"), F.array().cast("array<bigint>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    for shared in shared_blocks:
+    for k in range(0, len(shared_blocks), BLOCKS_AT_ONCE):
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+        def scan(batches: Iterator[pa.RecordBatch], group=tuple(shared_blocks[k:k + BLOCKS_AT_ONCE])) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, spans, names = [], [], []
-                old_spans, old_names = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                for text, before, known in zip(batch.column(batch.schema.get_field_index("text")), old_spans, old_names):
+                counts, spans, names = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                for i, text in enumerate(batch.column(batch.schema.get_field_index("text"))):
                     words = words_of(text.as_py())
-                    new_spans, new_items = automaton.scan(words)
                     counts.append(len(words))
-                    spans.append(merged(before, new_spans) if before and new_spans else before or new_spans)
-                    names.append(sorted({*known, *new_items}))
+                    for shared in group:
+                        new_spans, new_items = shared.value.scan(words)
+                        spans[i] = merged(spans[i], new_spans) if spans[i] and new_spans else spans[i] or new_spans
+                        names[i] = sorted({*names[i], *new_items})
                 columns = batch.columns[:-3] + [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            give_back()
 
-        found = found.mapInArrow(scan, out)
+        found = (stored(found, "matches") if k else found).mapInArrow(scan, out)
     return found
 
 
@@ -231,6 +234,36 @@ def without_spans(text: str, spans: list[int], max_span_words: int) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
+def cut_text(text: str | None, scan, max_span_words: int, max_coverage: float) -> tuple[bool, str | None]:
+    """Whether the text goes, and what is left of it if anything was cut."""
+    words = words_of(text)
+    n, gone, left, spans = len(words), 0, None, scan(words)[0]
+    while spans:
+        if gone + sum(spans[1::2]) - sum(spans[::2]) > max_coverage * n:
+            return True, None
+        long = sum(e - b for b, e in zip(spans[::2], spans[1::2]) if e - b > max_span_words)
+        if not long:
+            break
+        left = without_spans(text if left is None else left, spans, max_span_words)
+        gone += long
+        spans = scan(words_of(left))[0]
+    return False, left
+
+
+def _cut_alone(docs: DataFrame, shared: Broadcast, max_span_words: int, max_coverage: float) -> DataFrame:
+    """``decontaminate`` for one automaton: one Python pass that only texts enter and only changed texts leave."""
+
+    @F.arrow_udf("gone boolean, changed string")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [cut_text(t.as_py(), shared.value.scan, max_span_words, max_coverage) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([g for g, _ in rows], pa.bool_()), pa.array([c for _, c in rows], pa.string())], names=["gone", "changed"])
+        give_back()
+
+    found = docs.select("*", cut("text").alias("__cut")).where("NOT __cut.gone")
+    return found.withColumn("text", F.coalesce("__cut.changed", "text")).drop("__cut")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``docs``: spans over the length limit are cut from ``text``, texts over the coverage limit go.
 
@@ -238,8 +271,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_S
     before count as hit. Shorter spans, those of whole short items, stay. One automaton is searched again at once; with
     more, the texts that were cut make further rounds over all of them.
     """
-    schema, blocks = docs.schema, automata(items, WINDOW, block_bytes)
-    only = blocks[0] if len(blocks) == 1 else None
+    blocks = automata(items, WINDOW, block_bytes)
+    if len(blocks) == 1:
+        return _cut_alone(docs, blocks[0], max_span_words, max_coverage)
+    named, docs = docs.columns, docs.toDF(*[c if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)])
+    schema = docs.schema
     # words at the start (null before the first round), words cut so far, whether to search again
     state = [StructField("_words", LongType()), StructField("_cut", LongType()), StructField("_again", BooleanType())]
     full = StructType([*schema, *state])
@@ -252,19 +288,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_S
             changed = {}
             for i, s in enumerate(spans):
                 words[i] = counts[i] if words[i] is None else words[i]
-                while s:
+                if s:
                     if gone[i] + sum(s[1::2]) - sum(s[::2]) > max_coverage * words[i]:
                         keep[i] = False
-                        break
+                        continue
                     long = sum(e - b for b, e in zip(s[::2], s[1::2]) if e - b > max_span_words)
                     if not long:
-                        break
+                        continue
                     changed[i] = without_spans(changed[i] if i in changed else texts[i].as_py(), s, max_span_words)
                     gone[i] += long
-                    if only is None:
-                        again[i] = True
-                        break
-                    s = only.value.scan(words_of(changed[i]))[0]
+                    again[i] = True
             columns = batch.columns[:width]
             if changed:
                 columns[at] = pa.array([changed[i] if i in changed else t.as_py() for i, t in enumerate(texts)], texts.type)
@@ -275,8 +308,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_S
         return matched(rows, blocks).mapInArrow(cut, full)
 
     rows = one_round(docs.select("*", F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"), F.lit(False).alias("_again")))
-    if only is not None:
-        return rows.select(*schema.names)
     rows = stored(rows, "decontaminated")
     done = rows.where("NOT _again")
     rows = rows.where("_again")
@@ -284,4 +315,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span_words: int = MAX_S
         rows = stored(one_round(rows), "decontaminated")
         done = done.unionAll(rows.where("NOT _again"))
         rows = rows.where("_again")
-    return done.select(*schema.names)
+    return done.select(*schema.names).toDF(*named)

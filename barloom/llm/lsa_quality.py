@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import give_back
+
 #: At most so many labelled rows are fitted on: those with the smallest hash of their id.
 SAMPLE = 4000
 RANK = 48
@@ -173,7 +175,6 @@ def scored(docs: DataFrame, model: Model | None, name: str = "quality_score") ->
             for at in range(0, len(texts), BLOCK):
                 parts.append(shared.value.score(np.stack([count_terms(t.as_py()) for t in texts[at:at + BLOCK]])))
             yield pa.array(np.concatenate(parts), pa.float64())
-            del texts, parts
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.withColumn(name, score("text"))

@@ -100,10 +100,8 @@ RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, public_tokenizers.PATTERN)
-    both = bpe.decode(ids.select("doc_id", "tokens"), RANK_FILE)
-    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, public_tokenizers.PATTERN, checked=True)
+    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
