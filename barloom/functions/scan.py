@@ -7,7 +7,9 @@ what came before its bucket. No task has to see a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def running_sum(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -62,3 +64,41 @@ def trailing_count(df: DataFrame, by: list[str], ts: str, seconds: int, out: str
         f"count(*) OVER (PARTITION BY {inner} ORDER BY unix_micros({ts}) RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS {out}",
     )
     return counted.where(f"_bucket = {own}").drop("_bucket")
+
+
+def drawdown(df: DataFrame, by: list[str], bucket: str, order: list[str], ret: str, out: str = "drawdown", equity: str = "equity", start: float | None = None) -> DataFrame:
+    """Compounded equity of ``1 + ret`` and its drop from the running peak; ``start`` counts as the first peak when given.
+
+    A bucket is summed up by its product and its highest point, both relative to its start. The product before a bucket scales
+    its points, and the highest scaled point before it is the peak it starts with. As in a window, rows without a return leave equity as it is.
+    """
+    key, inner = ", ".join(by), ", ".join([*by, "_bucket"])
+    local = f"OVER (PARTITION BY {inner} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"OVER (PARTITION BY {key} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    df = df.selectExpr("*", f"{bucket} AS _bucket", f"1 + coalesce({ret}, 0D) AS _factor")
+    frame = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_rise", F.product("_factor").over(frame))
+    ends = df.groupBy(*by, "_bucket").agg(F.product("_factor").alias("_product"), F.max("_rise").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_scale", F.coalesce(F.product("_product").over(earlier), F.lit(1.0)))
+    ends = ends.selectExpr(*by, "_bucket", "_scale", f"max(_top * _scale) {before} AS _peak")
+    joined = df.join(ends, [*by, "_bucket"]).selectExpr("*", f"_scale * _rise AS {equity}")
+    first = "" if start is None else f", {float(start)!r}D"
+    joined = joined.selectExpr("*", f"greatest(max({equity}) {local}, _peak{first}) AS _high")
+    return joined.selectExpr("* EXCEPT (_bucket, _factor, _rise, _scale, _peak, _high)", f"try_divide({equity} - _high, _high) AS {out}")
+
+
+def in_blocks(df: DataFrame, by: str, bucket: str, order: list[str], size: int, halo: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(df)`` for window features per ``by`` that look back at most ``halo`` rows, in blocks of ``size`` rows.
+
+    Rows are numbered per group by bucket counts, cut into blocks, and the last ``halo`` rows of a block are copied to the
+    next one. ``build`` sees ``by`` as (group, block), so a group of any length is spread over many tasks; copies are dropped after it.
+    """
+    if halo > size:
+        raise ValueError("a block must be at least as long as its halo")
+    numbered = running_sum(df.selectExpr("*", "1 AS _one"), [by], bucket, order, "_one", "_row").drop("_one")
+    own = f"(_row - 1) DIV {size}"
+    copied = numbered.selectExpr("*", f"explode(IF((_row - 1) % {size} >= {size - halo}, array({own}, {own} + 1), array({own}))) AS _block")
+    copied = copied.selectExpr(f"* EXCEPT ({by}, _block, _row)", f"struct({by} AS value, _block AS block) AS {by}", f"_block = {own} AS _own")
+    built = build(copied).where("_own")
+    return built.select(*[F.col(f"{by}.value").alias(by) if c == by else F.col(c) for c in built.columns if c != "_own"])

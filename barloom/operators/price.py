@@ -14,6 +14,9 @@ from barloom.config import LOOKBACK_WINDOWS, MA_WINDOWS, TRADING_DAYS, VOL_WINDO
 from barloom.functions import rolling as R
 from barloom.functions.text import div, safe_div
 
+#: Rows before its own that a feature of ``price_features`` can depend on: the longest mean and its slope's lag, or two nested windows.
+LOOK_BACK = max(max(MA_WINDOWS) + 5, max(VOL_WINDOWS), 20 + 60) + 1
+
 _HELPERS = ("_prev_close", "_delta", "_tr", "_illiq")
 
 # The largest of the three ranges; greatest() skips the null ranges of a symbol's first bar.

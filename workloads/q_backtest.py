@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.config import Costs
+from barloom.functions import scan
 from barloom.operators import backtest as B, regimes
 from barloom.plans.gate import gate_versus_hold
 from workloads.oracle import ORACLE_VIEWS as V
@@ -95,6 +96,13 @@ def _(t):
     return B.drawdown(B.drawdown(df), start=1.0, out="drawdown_from_start")
 
 
+@query("drawdown_by_bucket", "symbol date drawdown:6",
+       f"""SELECT symbol, date, eq / greatest(max(eq) OVER {RUN}, 1e0) - 1 AS drawdown
+       FROM (SELECT symbol, date, product(1 + net_return) OVER {RUN} AS eq FROM net_rows) x""")
+def _(t):
+    return scan.drawdown(B.net_returns(t.preds), ["symbol"], "year(date)", ["date"], "net_return", start=1.0)
+
+
 @query("pnl_summary", f"symbol {PNL_COLS} n_days:i", "SELECT * FROM pnl_rows")
 def _(t):
     return B.pnl_metrics(B.net_returns(t.preds))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.config import NEGATIVE_WORDS, NEGATIVE_WORDS_TRADE, POSITIVE_WORDS, POSITIVE_WORDS_TRADE
+from barloom.functions import scan
 from barloom.operators import market, news, price, regimes
 from barloom.operators.align import asof_join
 from workloads.oracle import ORACLE_VIEWS as V
@@ -36,6 +37,12 @@ def _(t):
     return price.price_features(t.bars)
 
 
+@query("price_volatility_by_block", _cols([f"volatility_{n}d" for n in (5, 10, 20, 60)]),
+       "SELECT symbol, date, " + ", ".join(f"{roll('stddev_samp', 'r1', n)} AS volatility_{n}d" for n in (5, 10, 20, 60)) + " FROM px_ret")
+def _(t):
+    return scan.in_blocks(t.bars, "symbol", "year(date)", ["date"], 500, price.LOOK_BACK, price.price_features)
+
+
 @query("price_realized_vol", _cols([f"realized_vol_{n}d" for n in (5, 10, 20, 60)]),
        "SELECT symbol, date, " + ", ".join(f"({roll('stddev_samp', 'r1', n)}) * sqrt(252e0) AS realized_vol_{n}d" for n in (5, 10, 20, 60)) + " FROM px_ret")
 def _(t):
