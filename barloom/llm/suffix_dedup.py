@@ -39,6 +39,8 @@ MAX_BUCKET = 5000
 #: Texts are hashed in pieces of so many bytes.
 CHUNK = 1 << 18
 NO_ID = -(1 << 63)
+#: Neighbouring pieces of a text overlap in most of their bytes, which this codec finds.
+CODEC = "zstd"
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -199,7 +201,7 @@ def _bucket_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple[bytes, int, int]] = []
     bucket = None
 
-    def results(rows: list[tuple[bytes, int, int]]) -> tuple[list[bytes], list[list[int]]]:
+    def results(h: int, rows: list[tuple[bytes, int, int]]) -> tuple[list[int], list[bytes], list[list[int]]]:
         strings, ids = [r[0] for r in rows], [r[1] for r in rows]
         names, values = [], []
         for (piece, _, last), least in zip(rows, [ids] if len(rows) == 1 else smallest_ids(strings, ids)):
@@ -207,21 +209,23 @@ def _bucket_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if low < last:
                 names.append(piece)
                 values.append([low] if max(least) == low else least)
-        return names, values
+        return [h] * len(names), names, values
+
+    def rows(hs: list[int], names: list[bytes], values: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["h", "piece", "least"])
 
     for batch in batches:
-        names, values = [], []
+        found: tuple[list, list, list] = ([], [], [])
         for h, piece, least, most in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if h != bucket and held:
-                for out, more in zip((names, values), results(held)):
+                for out, more in zip(found, results(bucket, held)):
                     out += more
                 held = []
             bucket = h
             held.append((piece, least, most))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["piece", "least"])
+        yield rows(*found)
     if held:
-        names, values = results(held)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["piece", "least"])
+        yield rows(*results(bucket, held))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,21 +268,24 @@ def _removed(docs: DataFrame) -> DataFrame:
     several = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     wanted = stored(found.join(several, "h").groupBy("id").agg(F.collect_set("h").alias("wanted")), "suffix-wanted")
     release(spark, found)
-    cut = stored(docs.join(wanted, "id").select("id", "node", "text", "wanted").mapInArrow(_cut, "id long, node long, first int, h long, piece binary"), "suffix-pieces")
+    cut = stored(docs.join(wanted, "id").select("id", "node", "text", "wanted").mapInArrow(_cut, "id long, node long, first int, h long, piece binary"), "suffix-pieces", CODEC)
     release(spark, wanted)
-    unique = stored(cut.groupBy("h", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "suffix-unique")
+    unique = stored(cut.groupBy("h", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "suffix-unique", CODEC)
     release(spark)
-    large = unique.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET).select("h")
+    # written first, so that Spark knows its size and does not deal the pieces by h to join it if it is small
+    large = stored(unique.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MAX_BUCKET).select("h"), "suffix-large")
     sorted_rows = unique.join(large, "h", "left_anti").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    by_order = sorted_rows.select("h", "piece", "id", "last").mapInArrow(_bucket_results, StructType([StructField("piece", BinaryType()), StructField("least", ArrayType(LongType()))]))
-    windows = unique.join(large, "h", "left_semi").select("piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - LENGTH + 1)).alias("at"))
+    by_order = sorted_rows.select("h", "piece", "id", "last").mapInArrow(
+        _bucket_results, StructType([StructField("h", LongType()), StructField("piece", BinaryType()), StructField("least", ArrayType(LongType()))]))
+    windows = unique.join(large, "h", "left_semi").select("h", "piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - LENGTH + 1)).alias("at"))
     windows = windows.withColumn("window", F.substring(F.col("piece"), F.col("at"), F.lit(LENGTH)))
     least = windows.groupBy("window").agg(F.min("id").alias("low"))
-    by_window = windows.join(least, "window").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("all")).select("piece", F.col("all.low").alias("least"))
-    results = stored(by_order.union(by_window).select(F.unhex(F.md5("piece")).alias("name"), "least"), "suffix-results")
-    release(spark, unique)
+    by_window = windows.join(least, "window").groupBy("h", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("all")).select("h", "piece", F.col("all.low").alias("least"))
+    # 128 bits name a piece: its minimiser and a hash of its own
+    results = stored(by_order.union(by_window).select("h", F.xxhash64("piece").alias("name"), "least"), "suffix-results", CODEC)
+    release(spark, unique, large)
     # one number stands for all windows of a piece
-    at = cut.select("id", "node", "first", F.length("piece").alias("size"), F.unhex(F.md5("piece")).alias("name")).join(results, "name")
+    at = cut.select("id", "node", "first", F.length("piece").alias("size"), "h", F.xxhash64("piece").alias("name")).join(results, ["h", "name"])
     whole = F.when(F.col("least")[0] < F.col("id"), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b"))))
     hits = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda j: F.get(F.col("least"), j) < F.col("id"))
     single = F.transform(hits, lambda j: F.struct((F.col("first") + j).alias("a"), (F.col("first") + j + LENGTH).alias("b")))
