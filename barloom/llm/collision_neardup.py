@@ -13,8 +13,8 @@ every pair of a component is verified by its cosine, in blocks of vectors. A com
 blocks that meet pairwise in tasks of their own, so no group is gathered in one task; its links are counted in full, which is
 the only work that grows with the square of a group of different vectors. Equal vectors are one vector.
 
-A cell of more than ``CELL`` vectors is cut by further directions, and what these can't part at random: then each vector of it meets
-``CELL`` others at most in that table, which finds any group that fills a cell, but may miss a lone link inside one; the other tables look for it too.
+A cell of more than ``CELL`` vectors is dealt into blocks, and all blocks whose windows reach each other meet in tasks of their own: the same
+pairs are counted as in one task, none is left out.
 
 Defined results: null, empty and zero vectors and those that hold null or non-finite components link with nothing. Vectors of different length don't link.
 A null id is no component's id and never kept. Rows that repeat an id, or a vector, keep a row each.
@@ -42,9 +42,8 @@ PASSED = 0.999
 COUNTED = 64
 #: Steps of the counted projections in half a window; values beyond 111 steps are held there, so differences fit a byte.
 HALF, HELD = 16, 111
-#: Vectors that share a cell on average, and at most.
+#: Vectors that share a cell on average, and at most in one task.
 IN_CELL, CELL = 256, 4096
-DEEPER, DEPTHS = 3, 4
 BLOCK = 4096
 TABLES_A_ROUND = 4
 SEED = 13
@@ -218,21 +217,26 @@ def _forests(placed: DataFrame, least: int) -> DataFrame:
     return placed.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _cut_cells(placed: DataFrame, most: int) -> DataFrame:
-    """``placed`` with cells of at most about ``most`` vectors: larger ones are cut by further directions, at last at random."""
-    for depth in range(DEPTHS + 1):
-        full = placed.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > most)
-        full = stored(full, "collide-full")
-        if full.isEmpty():
-            return placed
-        hot = placed.join(full, "cell")
-        if depth < DEPTHS:
-            ways = [F.expr(f"shiftright(((conv(hex(substring(sketch, {depth * DEEPER + k + 1}, 1)), 16, 10) + 128) % 256) + pmod(xxhash64(at, {k}), 32), 5)") for k in range(DEEPER)]
-            cell = F.xxhash64("cell", *ways)
-        else:
-            cell = F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("size") * 2 / most)))
-        placed = stored(placed.join(full, "cell", "left_anti").unionByName(hot.withColumn("cell", cell).drop("size")), "collide-placed")
-    return placed
+def _met_in_blocks(placed: DataFrame, most: int) -> DataFrame:
+    """``placed`` with every cell of more than ``most`` vectors replaced by meetings of its blocks, so that no pair of a cell is lost.
+
+    Slabs as wide as half a window, along the cell's sorted direction, hold a pair that can collide in one slab or in neighbours. A slab is dealt
+    into blocks of about ``most`` vectors, and each block meets every other one of its slab and of both neighbours in a group of its own.
+    """
+    full = stored(placed.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > most).select("cell"), "collide-full")
+    if full.isEmpty():
+        return placed
+    slab = F.expr(f"int(((conv(hex(substring(sketch, at + 1, 1)), 16, 10) + 128) % 256) / {HALF})")
+    hot = placed.join(full, "cell").withColumn("slab", slab)
+    slabs = hot.groupBy("cell", "slab").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    slabs = slabs.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("slab", "blocks"))).alias("blocks"))
+    number = "{} * 4294967296L + {}"  # of a block: its slab and its place there
+    own = F.expr(number.format("slab", "pmod(xxhash64(node), blocks[slab])"))
+    others = F.expr(f"""flatten(transform(filter(sequence(slab - 1, slab + 1), s -> map_contains_key(blocks, s)),
+        s -> transform(sequence(0, blocks[s] - 1), b -> {number.format("s", "b")})))""")
+    met = hot.join(slabs, "cell").select("cell", "at", "node", "sketch", own.alias("own"), F.explode(others).alias("other"))
+    met = met.withColumn("cell", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).select(*placed.columns)
+    return placed.join(full, "cell", "left_anti").unionByName(met)
 
 
 def _links(members: DataFrame, cosine: float, block: int) -> DataFrame:
@@ -287,7 +291,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
         here = range(start, min(start + TABLES_A_ROUND, plan.tables))
         cells = F.explode(F.array(*[F.struct(F.xxhash64(F.col("cells")[t], F.lit(t)).alias("cell"), F.lit(t % COUNTED).alias("at")) for t in here]))
         placed = sketches.select(cells.alias("c"), "node", "sketch").select("c.cell", "c.at", "node", "sketch")
-        found = stored(_forests(_cut_cells(placed, cell), plan.least), "collide-forest")
+        found = stored(_forests(_met_in_blocks(placed, cell), plan.least), "collide-forest")
         forests = found if forests is None else forests.union(found)
     candidates = components(forests).withColumnRenamed("label", "component")
     links = stored(_links(nodes.join(candidates, "node").select("component", "node", "copies", "v"), cosine, block), "collide-links")

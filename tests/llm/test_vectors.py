@@ -198,6 +198,26 @@ def test_near_vectors_against_all_pairs(spark, cosine, cell, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_links(rows, cosine)
 
 
+@pytest.mark.parametrize("cell", [16, 100])
+def test_full_cells_lose_no_lone_link(spark, monkeypatch, cell):
+    """All vectors in one cell of one table, far more than a task takes, with links of two inside of a dense crowd."""
+
+    class OneCell(collision_neardup.Plan):
+        def __init__(self, n, *rest):
+            super().__init__(n, *rest)
+            self.tables, self.digits, self.width = 1, 1, 1e9
+
+    monkeypatch.setattr(collision_neardup, "Plan", OneCell)
+    rng = np.random.default_rng(17)
+    crowd = 1.5 * collision_neardup.unit(rng.standard_normal((1, 48))) + collision_neardup.unit(rng.standard_normal((240, 48)))
+    pairs = crowd[:120] + 0.02 * rng.standard_normal((120, 48))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((crowd, pairs)).astype(np.float32))]
+    truth = plain_links(rows, 0.98)
+    assert sum(r[1] == 1 for r in truth) >= 200
+    got = collision_neardup.near_vectors(vectors_of(spark, rows), 0.98, cell=cell)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == truth
+
+
 def test_near_vectors_empty(spark):
     assert collision_neardup.near_vectors(vectors_of(spark, near_rows()).limit(0)).count() == 0
     lone = collision_neardup.near_vectors(vectors_of(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])).collect()
