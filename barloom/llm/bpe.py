@@ -16,8 +16,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import give_back
 
-MAX_STATES = 200_000
+MAX_STATES = 90_000
+#: A state's moves are made when one was missing so often; before, and for as many bytes at once, its open places are followed.
+LEAST_ASKED, AHEAD = 3, 48
 #: Pieces in each of two generations of the memory.
-MAX_PIECES = 120_000
+MAX_PIECES = 100_000
 #: Rows handed on at once.
 ROWS = 250
 #: Bytes handed to the UTF-8 machine at once.
@@ -52,6 +54,17 @@ def merge_bytes(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class State(dict):
+    """The next state by byte.
+
+    ``places``: the current end, then where open tokens may start, longest first; a place is (place where its last token starts, that token,
+    number of tokens since the last sent one), and the first one of all holds the last sent token. ``sent``: tokens sent on the way here.
+    ``asked``: how often a move was missing.
+    """
+
+    __slots__ = ("node", "places", "sent", "end", "asked")
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -65,7 +78,9 @@ class Transducer:
         self.nodes: dict[bytes, int] = {}
         self.node_bytes: list[bytes] = []
         self.node_ends: list[tuple[list[tuple[int, int]], list[int]]] = []
-        self.node_moves: dict[int, int] = {}
+        #: 256 * node + byte: next node; the tokens that may end here, longest first, as (number of the open place they start at, bytes, token);
+        #: the numbers of the open places that stay open
+        self.node_moves: dict[int, tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]] = {}
         self._node(b"")
         self._forget()
 
@@ -99,21 +114,25 @@ class Transducer:
                 limit, right = min(limit, right + 1), b[0]
 
     def _forget(self) -> None:
-        self.index: dict[tuple, int] = {}
-        #: node of the open bytes; last token sent; for each place in the open bytes where its last token starts, and that token
-        self.states: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = []
-        #: 256 * state + byte: next state, tokens sent
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
-        self._state((0, -1, (0,), (-1,)))
-
-    def _state(self, state: tuple) -> int:
-        number = self.index.get(state)
-        if number is None:
-            number = self.index[state] = len(self.states)
-            self.states.append(state)
-        return number
+        for state in getattr(self, "index", {}).values():  # they lead to each other in circles
+            state.clear()
+        self.index: dict[tuple, State] = {}
+        #: last token << 32 | next token
+        self.stable: dict[int, bool] = {}
+        if len(self.node_moves) > 4 * self.max_states:
+            self.node_moves.clear()
+        self.start = self._state(0, ((None, -1, 0),), ())
+
+    def _full(self) -> bool:
+        return len(self.index) > self.max_states or len(self.stable) > 4 * self.max_states or len(self.node_moves) > 4 * self.max_states
+
+    def _state(self, node: int, places: tuple, sent: tuple[int, ...]) -> State:
+        key = node, places, sent
+        state = self.index.get(key)
+        if state is None:
+            state = self.index[key] = State()
+            state.node, state.places, state.sent, state.end, state.asked = node, places, sent, None, 0
+        return state
 
     def _node(self, tail: bytes) -> int:
         """Vocabulary node: the longest end of ``tail`` that is a token's beginning, with the tokens and beginnings among its ends."""
@@ -127,111 +146,147 @@ class Transducer:
                 tail = tail[1:]
         return self.nodes[tail]
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        node, sent, starts, tokens = self.states[number]
-        step = 256 * node + byte
-        at = self.node_moves.get(step)
-        if at is None:
-            at = self.node_moves[step] = self._node(self.node_bytes[node] + bytes((byte,)))
+    def _node_move(self, node: int, byte: int) -> tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]:
+        number = {size: k for k, size in enumerate((0, *self.node_ends[node][1]))}
+        at = self._node(self.node_bytes[node] + bytes((byte,)))
         endings, beginnings = self.node_ends[at]
-        n, stable = len(tokens), self.stable
-        for size, token in endings:
-            if size > n:
-                continue
-            start = n - size
-            before = tokens[start] if start else sent
-            if before < 0:
-                break
-            ok = stable.get((before, token))
-            if ok is None:
-                ok = stable[before, token] = self._stays(before, token)
-            if ok:
-                break
-        starts, tokens = (*starts, start), (*tokens, token)
-        base = n
-        for size in beginnings:  # a token may start so far back: what both ways share is settled
-            place = n - size
-            if place < 0:
-                continue
-            while base != place:
-                if base > place:
-                    base = starts[base]
+        made = self.node_moves[256 * node + byte] = at, tuple([(number[size - 1], size, token) for size, token in endings]), tuple([number[size - 1] for size in beginnings])
+        return made
+
+    def _run(self, node: int, places: tuple, part: bytes) -> tuple[int, tuple]:
+        """Node and open places after ``part``, without making states; nothing is sent."""
+        stable, node_moves = self.stable, self.node_moves
+        if len(part) == 1:
+            node, endings, open_still = node_moves.get(256 * node + part[0]) or self._node_move(node, part[0])
+            for k, _, token in endings:
+                before = places[k]
+                last = before[1]
+                if last < 0 or stable.get(last << 32 | token) or self._stable(last, token):
+                    break
+            return node, ((before, token, before[2] + 1), *[places[k] for k in open_still])
+        reached = {-size: place for size, place in zip((0, *self.node_ends[node][1]), places)}  # by the number of bytes since
+        at = 0
+        for byte in part:
+            at += 1
+            node, endings, _ = node_moves.get(256 * node + byte) or self._node_move(node, byte)
+            for _, size, token in endings:
+                before = reached[at - size]
+                last = before[1]
+                if last < 0 or stable.get(last << 32 | token) or self._stable(last, token):
+                    break
+            reached[at] = before, token, before[2] + 1
+        return node, (reached[at], *[reached[at - size] for size in self.node_ends[node][1]])
+
+    def _stable(self, last: int, token: int) -> bool:
+        pair = last << 32 | token
+        ok = self.stable.get(pair)
+        if ok is None:
+            ok = self.stable[pair] = self._stays(last, token)
+        return ok
+
+    def _settled(self, node: int, places: tuple) -> State:
+        """The state of these open places: what all of them share is sent."""
+        base, others = places[0], places[1:]
+        for place in others:
+            while base is not place:
+                if base[2] > place[2]:
+                    base = base[0]
                 else:
-                    place = starts[place]
-        out: tuple[int, ...] = ()
-        if base:
-            out = self._tokens(starts, tokens, base)
-            sent = tokens[base]
-            starts, tokens = (0, *[x - base for x in starts[base + 1:]]), (-1, *tokens[base + 1:])
-        # tokens of places that no open way passes say nothing any more, nor does the last sent one if no token may start after it
-        live, n = set(), len(tokens) - 1
-        for size in (0, *beginnings):
-            place = n - size
-            while place > 0 and place not in live:
-                live.add(place)
-                place = starts[place]
-        if len(live) < n:
-            starts = tuple([x if i in live else 0 for i, x in enumerate(starts)])
-            tokens = tuple([x if i in live else -1 for i, x in enumerate(tokens)])
-        if n not in beginnings:
-            sent = -1
-        made = self.moves[256 * number + byte] = (self._state((at, sent, starts, tokens)), out)
+                    place = place[0]
+        sent = self._tokens(base) if base[2] else ()
+        # the last sent token says nothing any more if no token may start after it
+        last = base[1] if any([place is base for place in others]) else -1
+        if sent or last != base[1]:
+            moved = {id(base): (None, last, 0)}
+            places = tuple([self._rebased(place, moved) for place in places])
+        return self._state(node, places, sent)
+
+    def _rebased(self, place: tuple, moved: dict[int, tuple]) -> tuple:
+        made = moved.get(id(place))
+        if made is None:
+            before = self._rebased(place[0], moved)
+            made = moved[id(place)] = before, place[1], before[2] + 1
         return made
 
     @staticmethod
-    def _tokens(starts: tuple[int, ...], tokens: tuple[int, ...], end: int) -> tuple[int, ...]:
+    def _tokens(place: tuple) -> tuple[int, ...]:
         out = []
-        while end:
-            out.append(tokens[end])
-            end = starts[end]
+        while place[2]:
+            out.append(place[1])
+            place = place[0]
         return tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
+        if self._full():
             self._forget()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves.get(256 * state + byte)
-            if move is None:
-                if len(self.states) > 2 * self.max_states:  # inside one long piece
-                    here = self.states[state]
-                    self._forget()
-                    moves, state = self.moves, self._state(here)
-                move = self._move(state, byte)
-            state, tokens = move
-            if tokens:
-                out += tokens
-        end = self.ends.get(state)
-        if end is None:
-            _, _, starts, ids = self.states[state]
-            end = self.ends[state] = self._tokens(starts, ids, len(ids) - 1)
-        out += end
+        state, out, at, end = self.start, [], 0, len(piece)
+        while at < end:
+            for byte in piece[at:] if at else piece:
+                after = state.get(byte)
+                if after is None:
+                    break
+                state = after
+                at += 1
+                if state.sent:
+                    out += state.sent
+            else:
+                break
+            if state.asked < LEAST_ASKED:  # few pieces come here: go on from the open places
+                state.asked += 1
+                stop = at + AHEAD
+                node, places = self._run(state.node, state.places, piece[at:stop])
+                if stop >= end:
+                    out += self._tokens(places[0])
+                    return out
+                state = self._settled(node, places)
+                at = stop
+            else:
+                after = state[byte] = self._settled(*self._run(state.node, state.places, piece[at:at + 1]))
+                state = after
+                at += 1
+            if state.sent:
+                out += state.sent
+            if self._full():
+                here = state.node, state.places, state.sent
+                self._forget()
+                state = self._state(*here)
+        if state.end is None:
+            state.end = self._tokens(state.places[0])
+        out += state.end
         return out
 
 
+class Memory(dict):
+    """Ids, as bytes of 32-bit numbers, of the pieces asked for; a new one is looked up in the older generation, then encoded."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]], older: dict[str, bytes]):
+        self.make, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.make(piece.encode())).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids: the pattern's pieces, each through the transducer, with a bounded memory of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.find = Transducer(ranks), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Memory(self.transducer.encode, {})
 
     def forget(self) -> None:
         """Give back what was learnt of texts: a worker that idles between tasks holds only the vocabulary."""
-        self.known, self.older = {}, {}
+        self.known = Memory(self.transducer.encode, {})
         self.transducer.clear()
 
-    def encode(self, text: str) -> list[int]:
-        known, encode = self.known, self.transducer.encode
-        if len(known) > MAX_PIECES:  # pieces that come again move to the new generation
-            self.older, self.known = known, {}
-            known = self.known
-        pieces, older = self.find(text), self.older
-        for piece in set(pieces).difference(known):
-            ids = older.get(piece)
-            known[piece] = tuple(encode(piece.encode())) if ids is None else ids
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+    def encode(self, text: str) -> np.ndarray:
+        if len(self.known) > MAX_PIECES:  # pieces that come again move to the new generation
+            self.known.older = {}
+            self.known = Memory(self.transducer.encode, self.known)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.find(text))), np.int32)
 
 
 class Utf8Machine:
@@ -308,10 +363,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, checked: bool = False)
             for at in range(0, len(whole), ROWS):
                 offsets, parts, hashes = [0], [np.zeros(0, np.int32)], []
                 for text in whole[at:at + ROWS]:
-                    ids = encoder.encode(text.as_py()) if text.is_valid else []
-                    parts.append(np.array(ids, np.int32))
+                    ids = encoder.encode(text.as_py() if text.is_valid else "")
+                    parts.append(ids)
                     offsets.append(offsets[-1] + len(ids))
-                    hashes.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest() if checked else None)
+                    hashes.append(hashlib.sha256(decoder.decode(ids.tolist()).encode()).hexdigest() if checked else None)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
                 yield pa.StructArray.from_arrays([tokens, pa.array(hashes, pa.string())], names=["tokens", "decoded_sha256"])
         encoder.forget()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +229,33 @@ def test_transducer_forgets_and_goes_on():
         assert small.encode(piece) == large.encode(piece) == bpe.merge_bytes(ranks, piece)
 
 
+def test_transducer_follows_open_places_of_rare_and_long_pieces(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    rng = random.Random(5)
+    pieces = ["".join(rng.choices("aebcdéß日 1.", k=rng.choice((1, 4, 9, 60, 300)))).encode() for _ in range(150)] * 2
+    for least, ahead in ((0, 48), (1, 3), (3, 48), (1 << 30, 7)):
+        monkeypatch.setattr(bpe, "LEAST_ASKED", least)
+        monkeypatch.setattr(bpe, "AHEAD", ahead)
+        transducer = bpe.Transducer(ranks)
+        for piece in pieces:
+            assert transducer.encode(piece) == bpe.merge_bytes(ranks, piece)
+
+
+def test_encoder_of_many_words_stays_small():
+    """Words that come once do not fill the memory of a task with states."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        encoder = bpe.Encoder(bpe.parse_ranks(f.read()), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    parts = ["an", "the", "rer", "tion", "ing", "of", "sh", "wh", "nd", "ea", "ble", "on", "ti", "er", "au", "schen", "keit", "ü"]
+    text = " ".join("".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(30_000))
+    tracemalloc.start()
+    encoder.encode(text)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 10_000_000
+
+
 def test_utf8_machine():
     text = "aé漢😀b" * 50
     raw = text.encode()
