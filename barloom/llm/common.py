@@ -70,15 +70,6 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Like ``stored``, as a table bucketed and sorted by ``column``, one file a bucket: joins and aggregates on it need no shuffle."""
-    spark, n = df.sparkSession, partitions(df.sparkSession)
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    (df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", scratch_path(spark, table_name))
-     .format("parquet").saveAsTable(table_name))
-    return spark.table(table_name)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; ``lower`` does that faster where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

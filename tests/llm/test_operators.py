@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -420,6 +421,83 @@ def test_remove_repeats(docs_of, monkeypatch, max_bucket):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def joined(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def test_pieces_do_not_depend_on_neighbours(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab" if k % 3 else b" ") for _ in range(rng.choice((0, 10, 49, 50, 51, 120, 299, 300, 301, 700)))) for k in range(120)]
+    got = defaultdict(list)
+    for k, *piece in zip(*(c.tolist() for c in suffix_dedup.pieces(*joined(texts)))):
+        got[k].append(piece)
+    contents = {}
+    for k, text in enumerate(texts):
+        alone = [piece for _, *piece in zip(*(c.tolist() for c in suffix_dedup.pieces(*joined([text]))))]
+        assert got[k] == alone
+        assert [p for _, _, at, n in alone for p in range(at, at + n)] == list(range(len(text) - 49))
+        for _, name, at, n in alone:
+            assert contents.setdefault(name, text[at:at + n + 49]) == text[at:at + n + 49]
+
+
+def test_shared_string_as_one_symbol(monkeypatch):
+    rng = random.Random(6)
+    middle = bytes(rng.randrange(97, 123) for _ in range(suffix_dedup.K))
+    for _ in range(50):
+        sides = [bytes(rng.choice(b"ab") for _ in range(52)) for _ in range(2)]
+        strings, middles = [], []
+        for _ in range(rng.randrange(2, 7)):
+            left, right = rng.randrange(20, 27), rng.randrange(20, 27)
+            strings.append(sides[rng.randrange(2)][26 - left:26] + middle + sides[rng.randrange(2)][26:26 + max(right, 26 - left)])
+            middles.append(left)
+        ids = [rng.randrange(5) for _ in strings]
+        expected = suffix_dedup.smallest_ids(strings, ids)
+        assert suffix_dedup.bucket_ids(strings, ids, middles) == suffix_dedup.bucket_ids(strings, ids, [-1] * len(ids)) == expected
+
+
+def test_only_first_holders_ship_bytes(docs_of):
+    """Copies of a piece, also of one that has to be sorted, go by name."""
+    rows = [(i, prose(300, 1)) for i in range(40)] + [(100 + i, prose(300, 1)[700 + i // 10:]) for i in range(40)]
+    docs = docs_of(rows).selectExpr("doc_id AS id", "xxhash64(text) AS node", "text")
+    shipped = suffix_dedup._shipped(docs, suffix_dedup._answered(docs)).where("h IS NOT NULL").collect()
+    assert shipped and {r.id for r in shipped} <= {0, *range(100, 140, 10)} and len(shipped) == len({(r.h, r.piece) for r in shipped})
+
+
+@pytest.mark.parametrize("block", [1 << 19, 5])
+def test_answers_folded_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(7)
+    entries = [(rng.randrange(3), rng.randrange(6), rng.randrange(20), rng.randrange(-5, 40)) for _ in range(400)]  # bucket, minimiser, name, id
+    entries = sorted((b, 10 * b + h, 1000 * (10 * b + h) + n, i) for b, h, n, i in entries)
+    blocks = [(b, *zip(*[e[1:] for e in entries if e[0] == b][k:k + 7])) for b in range(3) for k in range(0, 400, 7) if [e for e in entries if e[0] == b][k:k + 7]]
+    rng.shuffle(blocks)
+    blocks.sort(key=lambda x: x[0])
+    data = [[np.array(x[k], t).tobytes() for x in blocks] for k, t in ((1, np.uint32), (2, np.uint64), (3, np.int64))]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], names=["bucket", "h", "name", "id"])
+    answers = pa.Table.from_batches(suffix_dedup._answers(4)(iter([batch.slice(0, 11), batch.slice(11)]))).sort_by("grp").to_batches()
+    low, by_h = {}, defaultdict(set)
+    for _, h, n, i in entries:
+        low[h, n] = min(low.get((h, n), i), i)
+    for (h, n), i in low.items():
+        by_h[h].add(i)
+    got = {r["id"]: (set(r["gone"]), set(r["wanted"])) for b in suffix_dedup._by_text(iter(answers)) for r in b.to_pylist()}
+    expected = defaultdict(lambda: (set(), set()))
+    for _, h, n, i in entries:
+        if i > low[h, n]:
+            expected[i][0].add(n)
+        elif len(by_h[h]) > 1:
+            expected[i][1].add(n)
+    assert got == dict(expected)
+
+
+def test_answer_blocks_are_few(monkeypatch):
+    """Whole and wanted pieces share a block, so blocks are at most one per task and group."""
+    data = [pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in (([1, 1, 1, 2], np.uint32), ([5, 5, 6, 7], np.uint64), ([1, 3, 3, 1], np.int64))]
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *data], names=["bucket", "h", "name", "id"])
+    assert sum(b.num_rows for b in suffix_dedup._answers(1)(iter([batch]))) == 1
+
+
 # ---- 9 sharding
 
 
