@@ -65,6 +65,24 @@ class State(dict):
     __slots__ = ("node", "places", "sent", "end", "asked")
 
 
+class Stable(dict):
+    """Whether a token is stable behind another one, looked up when first asked; behind the beginning (-1) it is."""
+
+    __slots__ = ("stays", "token")
+
+    def __init__(self, stays: Callable[[int, int], bool], token: int):
+        self.stays, self.token = stays, token
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[-1] = True
+
+    def __missing__(self, last: int) -> bool:
+        ok = self[last] = self.stays(last, self.token)
+        return ok
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -78,9 +96,11 @@ class Transducer:
         self.nodes: dict[bytes, int] = {}
         self.node_bytes: list[bytes] = []
         self.node_ends: list[tuple[list[tuple[int, int]], list[int]]] = []
-        #: 256 * node + byte: next node; the tokens that may end here, longest first, as (number of the open place they start at, bytes, token);
+        #: 256 * node + byte: next node; the tokens that may end here, longest first, as (number of the open place they start at, bytes, token, its pairs);
         #: the numbers of the open places that stay open
-        self.node_moves: dict[int, tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]] = {}
+        self.node_moves: dict[int, tuple[int, tuple[tuple[int, int, int, Stable], ...], tuple[int, ...]]] = {}
+        #: by the second token of a pair
+        self.stable: dict[int, Stable] = {}
         self._node(b"")
         self._forget()
 
@@ -117,14 +137,15 @@ class Transducer:
         for state in getattr(self, "index", {}).values():  # they lead to each other in circles
             state.clear()
         self.index: dict[tuple, State] = {}
-        #: last token << 32 | next token
-        self.stable: dict[int, bool] = {}
+        for pairs in self.stable.values():  # moves hold them
+            pairs.forget()
+        self.n_stable = 0
         if len(self.node_moves) > 4 * self.max_states:
             self.node_moves.clear()
         self.start = self._state(0, ((None, -1, 0),), ())
 
     def _full(self) -> bool:
-        return len(self.index) > self.max_states or len(self.stable) > 4 * self.max_states or len(self.node_moves) > 4 * self.max_states
+        return len(self.index) > self.max_states or self.n_stable > 4 * self.max_states or len(self.node_moves) > 4 * self.max_states
 
     def _state(self, node: int, places: tuple, sent: tuple[int, ...]) -> State:
         key = node, places, sent
@@ -146,43 +167,48 @@ class Transducer:
                 tail = tail[1:]
         return self.nodes[tail]
 
-    def _node_move(self, node: int, byte: int) -> tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]:
+    def _node_move(self, node: int, byte: int) -> tuple[int, tuple[tuple[int, int, int, Stable], ...], tuple[int, ...]]:
         number = {size: k for k, size in enumerate((0, *self.node_ends[node][1]))}
         at = self._node(self.node_bytes[node] + bytes((byte,)))
         endings, beginnings = self.node_ends[at]
-        made = self.node_moves[256 * node + byte] = at, tuple([(number[size - 1], size, token) for size, token in endings]), tuple([number[size - 1] for size in beginnings])
+        made = self.node_moves[256 * node + byte] = (
+            at, tuple([(number[size - 1], size, token, self._pairs(token)) for size, token in endings]), tuple([number[size - 1] for size in beginnings]))
         return made
 
     def _run(self, node: int, places: tuple, part: bytes) -> tuple[int, tuple]:
         """Node and open places after ``part``, without making states; nothing is sent."""
-        stable, node_moves = self.stable, self.node_moves
+        node_moves = self.node_moves
         if len(part) == 1:
             node, endings, open_still = node_moves.get(256 * node + part[0]) or self._node_move(node, part[0])
-            for k, _, token in endings:
+            for k, _, token, stable in endings:
                 before = places[k]
-                last = before[1]
-                if last < 0 or stable.get(last << 32 | token) or self._stable(last, token):
+                if stable[before[1]]:
                     break
             return node, ((before, token, before[2] + 1), *[places[k] for k in open_still])
-        reached = {-size: place for size, place in zip((0, *self.node_ends[node][1]), places)}  # by the number of bytes since
-        at = 0
+        sizes = self.node_ends[node][1]
+        at = sizes[0] if sizes else 0
+        reached: list = [None] * at + [places[0]]  # by the number of bytes since the longest open place
+        for size, place in zip(sizes, places[1:]):
+            reached[at - size] = place
         for byte in part:
             at += 1
             node, endings, _ = node_moves.get(256 * node + byte) or self._node_move(node, byte)
-            for _, size, token in endings:
+            for _, size, token, stable in endings:
                 before = reached[at - size]
-                last = before[1]
-                if last < 0 or stable.get(last << 32 | token) or self._stable(last, token):
+                if stable[before[1]]:
                     break
-            reached[at] = before, token, before[2] + 1
+            reached.append((before, token, before[2] + 1))
         return node, (reached[at], *[reached[at - size] for size in self.node_ends[node][1]])
 
-    def _stable(self, last: int, token: int) -> bool:
-        pair = last << 32 | token
-        ok = self.stable.get(pair)
-        if ok is None:
-            ok = self.stable[pair] = self._stays(last, token)
-        return ok
+    def _pairs(self, token: int) -> Stable:
+        pairs = self.stable.get(token)
+        if pairs is None:
+            pairs = self.stable[token] = Stable(self._counted, token)
+        return pairs
+
+    def _counted(self, last: int, token: int) -> bool:
+        self.n_stable += 1
+        return self._stays(last, token)
 
     def _settled(self, node: int, places: tuple) -> State:
         """The state of these open places: what all of them share is sent."""

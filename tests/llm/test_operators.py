@@ -257,6 +257,23 @@ def test_encoder_of_many_words_stays_small():
     assert held < 10_000_000
 
 
+def test_pairs_are_kept_by_token():
+    """Each pair is worked out once, is found under its second token, and is bounded and forgotten with the states."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    transducer = bpe.Transducer(ranks)
+    pieces = [prose(3, k).encode() for k in range(60)]
+    expected = [bpe.merge_bytes(ranks, piece) for piece in pieces]
+    assert [transducer.encode(piece) for piece in pieces] == expected
+    n = transducer.n_stable
+    assert n == sum(len(pairs) - 1 for pairs in transducer.stable.values()) > 0
+    assert all(pairs[-1] and pairs[last] == transducer._stays(last, token) for token, pairs in transducer.stable.items() for last in list(pairs) if last >= 0)
+    assert [transducer.encode(piece) for piece in pieces] == expected and transducer.n_stable == n
+    transducer._forget()
+    assert transducer.n_stable == 0 and all(pairs == {-1: True} for pairs in transducer.stable.values())
+    assert [transducer.encode(piece) for piece in pieces] == expected
+
+
 def test_utf8_machine():
     text = "aé漢😀b" * 50
     raw = text.encode()
